@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 from lodeweave.llm.bpe import op9_bpe
+from lodeweave.llm.exact_dedup import OP8_SQL, op8_exact_dedup
 from lodeweave.llm.html_extract import op10_html
 from lodeweave.llm.langid import op7_langid
 from lodeweave.llm.secret_scan import op3_secrets
+from lodeweave.llm.sharding import op5_sharding
 
 
 def queries() -> dict:
     """Query name -> function of (spark, sf_dir)."""
     return {
         "op3_secrets": op3_secrets,
+        "op5_sharding": op5_sharding,
         "op7_langid": op7_langid,
+        "op8_exact_dedup": op8_exact_dedup,
         "op9_bpe": op9_bpe,
         "op10_html": op10_html,
     }
@@ -20,4 +24,4 @@ def queries() -> dict:
 
 def oracle_sql() -> dict:
     """DuckDB SQL by query name; queries that SQL can't express have none and are tested against brute force."""
-    return {}
+    return {"op8_exact_dedup": OP8_SQL}
