@@ -7,6 +7,7 @@ from lodeweave.llm.decontaminate import op6_decontaminate
 from lodeweave.llm.exact_dedup import OP8_SQL, op8_exact_dedup
 from lodeweave.llm.html_extract import op10_html
 from lodeweave.llm.langid import op7_langid
+from lodeweave.llm.ngram_join import op1_ngram_join
 from lodeweave.llm.secret_scan import op3_secrets
 from lodeweave.llm.sharding import op5_sharding
 from lodeweave.llm.warc import OP4_SQL, op4_warc
@@ -15,6 +16,7 @@ from lodeweave.llm.warc import OP4_SQL, op4_warc
 def queries() -> dict:
     """Query name -> function of (spark, sf_dir)."""
     return {
+        "op1_ngram_join": op1_ngram_join,
         "op3_secrets": op3_secrets,
         "op4_warc": op4_warc,
         "op5_sharding": op5_sharding,
