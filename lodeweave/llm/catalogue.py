@@ -10,6 +10,7 @@ from lodeweave.llm.langid import op7_langid
 from lodeweave.llm.ngram_join import op1_ngram_join
 from lodeweave.llm.secret_scan import op3_secrets
 from lodeweave.llm.sharding import op5_sharding
+from lodeweave.llm.suffix_dedup import op2_suffix_dedup
 from lodeweave.llm.warc import OP4_SQL, op4_warc
 
 
@@ -17,6 +18,7 @@ def queries() -> dict:
     """Query name -> function of (spark, sf_dir)."""
     return {
         "op1_ngram_join": op1_ngram_join,
+        "op2_suffix_dedup": op2_suffix_dedup,
         "op3_secrets": op3_secrets,
         "op4_warc": op4_warc,
         "op5_sharding": op5_sharding,
