@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from lodeweave.llm.bpe import op9_bpe
 from lodeweave.llm.decontaminate import op6_decontaminate
 from lodeweave.llm.exact_dedup import OP8_SQL, op8_exact_dedup
@@ -27,6 +28,7 @@ def queries() -> dict:
         "op8_exact_dedup": op8_exact_dedup,
         "op9_bpe": op9_bpe,
         "op10_html": op10_html,
+        "pipeline": corpus_pipeline.run,
     }
 
 

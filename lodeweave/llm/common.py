@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 
@@ -49,6 +50,14 @@ def delete_scratch(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A DataFrame of a few rows made on the driver, as one literal that the JVM parses."""
+    names = [x.split()[0] for x in schema.split(",")]
+    text = json.dumps([dict(zip(names, row, strict=True)) for row in rows])
+    kinds = ", ".join(x.strip().replace(" ", ": ", 1) for x in schema.split(","))
+    return spark.range(1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{kinds}>>")))
+
+
 #: Membership bitmaps have 2**BITMAP_BITS bits (4 MB): a fixed size, whatever the input's.
 BITMAP_BITS = 25
 

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeweave.llm.common import materialise
+from lodeweave.llm.common import materialise, small_table
 
 #: The directory has at most 2**MAX_DEPTH slots, whatever the input's size.
 MAX_DEPTH = 14
@@ -28,12 +28,17 @@ def normalised(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
 
 
+def fingerprint(id_col: str, text_col: str) -> Column:
+    """A 64-bit hash of a row's id and text, by which decisions find their rows again."""
+    return F.xxhash64(F.col(id_col), F.col(text_col))
+
+
 @dataclass
 class Index:
     """The files of an index: entries by row, chains by distinct text, and the directory."""
 
-    entries: DataFrame  # row_id, id, key, sha, n_bytes, text
-    chains: DataFrame  # bucket, key, chain, sha, keep_id, keep_row, group_size
+    entries: DataFrame  # row_id, id, row, key, sha, n_bytes, text
+    chains: DataFrame  # bucket, key, chain, sha, keep_id, keep_row_id, keep_row, group_size
     directory: np.ndarray  # slot -> bucket
     depth: int
 
@@ -76,10 +81,10 @@ def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capac
     copies like others. An empty table gives empty files. Other columns are ignored.
     """
     spark = docs.sparkSession
-    text = docs.select(F.col(id_col).alias("id"), normalised(F.col(text_col)).alias("text"))
+    text = docs.select(F.col(id_col).alias("id"), fingerprint(id_col, text_col).alias("row"), normalised(F.col(text_col)).alias("text"))
     entries = materialise(
         text.select(
-            F.monotonically_increasing_id().alias("row_id"), "id", F.xxhash64("text").alias("key"), F.sha2("text", 256).alias("sha"), F.octet_length("text").cast("long").alias("n_bytes"), "text"
+            F.monotonically_increasing_id().alias("row_id"), "id", "row", F.xxhash64("text").alias("key"), F.sha2("text", 256).alias("sha"), F.octet_length("text").cast("long").alias("n_bytes"), "text"
         ),
         "entries",
     )
@@ -88,18 +93,18 @@ def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capac
     for row in histogram.toLocalIterator():  # at most 2**MAX_DEPTH rows of two numbers
         sizes[row["slot"]] = row["n"]
     directory, depth = split_buckets(sizes, capacity)
-    slots = spark.createDataFrame([(i, int(b)) for i, b in enumerate(directory)], "slot bigint, bucket bigint")
+    slots = small_table(spark, [(i, int(b)) for i, b in enumerate(directory)], "slot bigint, bucket bigint")
     order = F.coalesce(F.col("id"), F.lit(-(1 << 63))) if entries.schema["id"].dataType.simpleString() in ("bigint", "int", "smallint", "tinyint") else F.col("id")
     # grouping by the text compares whole texts; its partial step runs before the exchange
     groups = (
         entries.groupBy("key", "text")
-        .agg(F.max("id").alias("keep_id"), F.max_by("row_id", order).alias("keep_row"), F.count("*").alias("group_size"))
-        .select("key", F.sha2("text", 256).alias("sha"), "keep_id", "keep_row", "group_size", _slot(F.col("key"), depth).alias("slot"))
+        .agg(F.max("id").alias("keep_id"), F.max_by("row_id", order).alias("keep_row_id"), F.max_by("row", order).alias("keep_row"), F.count("*").alias("group_size"))
+        .select("key", F.sha2("text", 256).alias("sha"), "keep_id", "keep_row_id", "keep_row", "group_size", _slot(F.col("key"), depth).alias("slot"))
     )
     # the directory's size is fixed (2**MAX_DEPTH slots at most), so it may be broadcast
     owned = groups.join(F.broadcast(slots), "slot").drop("slot")
     clash = F.row_number().over(_by_key())
-    chains = materialise(owned.select("bucket", "key", clash.alias("chain"), "sha", "keep_id", "keep_row", "group_size"), "chains")
+    chains = materialise(owned.select("bucket", "key", clash.alias("chain"), "sha", "keep_id", "keep_row_id", "keep_row", "group_size"), "chains")
     return Index(entries, chains, directory, depth)
 
 
@@ -112,9 +117,20 @@ def _by_key():
 def resolve(index: Index) -> DataFrame:
     """One row per entry: row_id, id, keep_id, group_size, kept, sha. Exactly one row of each group is kept:
     that with the largest id and, among repeated rows with the same id, any one."""
-    chains = index.chains.select("key", "sha", "keep_id", "keep_row", "group_size")
+    chains = index.chains.select("key", "sha", "keep_id", "keep_row_id", "keep_row", "group_size")
     rows = index.entries.select("row_id", "id", "key", "sha")
-    return rows.join(chains, ["key", "sha"]).select("row_id", "id", "keep_id", "group_size", (F.col("row_id") == F.col("keep_row")).alias("kept"), "sha")
+    return rows.join(chains, ["key", "sha"]).select("row_id", "id", "keep_id", "group_size", (F.col("row_id") == F.col("keep_row_id")).alias("kept"), "sha")
+
+
+def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each group of equal texts, that with the largest id, with all its columns.
+
+    Of rows that repeat an id and text any one stays, whatever their other columns hold.
+    """
+    keep = build(docs, id_col, text_col).chains.select(F.col("keep_row").alias("_row"))
+    marked = docs.withColumn("_row", fingerprint(id_col, text_col))
+    # the semi join deals the rows by _row, and so the repeats are dropped without a further exchange
+    return marked.join(keep, "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

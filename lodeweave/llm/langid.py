@@ -294,6 +294,22 @@ def identify(docs: DataFrame, model: Model, id_cols: list[str], text_col: str =
     return found.withColumnsRenamed({f"_{i}": c for i, c in enumerate(id_cols)})
 
 
+def identified(docs: DataFrame, model: Model, text_col: str = "text", penalty: float = 12.0) -> DataFrame:
+    """The rows of ``docs`` whose language the model can tell, with all their columns; no shuffle.
+
+    Rejected are null texts and texts without a letter.
+    """
+    shared, place = docs.sparkSession.sparkContext.broadcast(model.to_bytes()), docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Model.from_bytes(shared.value)
+        for batch in batches:
+            got = spans_of(lowered(batch.column(place)), own, penalty)
+            yield batch.filter(pa.array([g[0] != UNKNOWN for g in got], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     """Rows that the model never learns from: a null id counts as held out."""
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(True))

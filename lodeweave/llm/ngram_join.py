@@ -230,9 +230,9 @@ def _labelled(buckets: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 
 def link(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """The rows (id, row, sid, n, component) and the verified links between sets (a, b).
+    """The rows (id, row, sid, n, label, component) and the verified links between sets (a, b).
 
-    ``component`` is the smallest id that a row reaches by links; of an empty set its own id. Null
+    ``label`` names a component by its smallest set. ``component`` is the smallest id that a row reaches by links; of an empty set its own id. Null
     and empty texts have empty sets, linked with nothing. Null ids are passed over as the smallest,
     unless a component has no other. Repeated rows are one class. An empty table gives no rows.
     Other columns are ignored. Sets are told apart by 64-bit names and shingles by 64-bit hashes.
@@ -273,11 +273,30 @@ def link(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id",
     labels = components(links, "a", "b")
     named = sets.select("sid", "id").join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
     least = named.groupBy("label").agg(F.min("id").alias("component"))
-    named = named.join(least, "label").select("sid", "component")
-    out = rows.join(named, "sid", "left").select("id", "row", "sid", "n", F.when(F.col("sid").isNull(), F.col("id")).otherwise(F.col("component")).alias("component"))
+    named = named.join(least, "label").select("sid", "label", "component")
+    out = rows.join(named, "sid", "left").select("id", "row", "sid", "n", "label", F.when(F.col("sid").isNull(), F.col("id")).otherwise(F.col("component")).alias("component"))
     return out, links
 
 
+def without_near_copies(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each component, that with the smallest id, with all its columns.
+
+    Rows without words all stay; of rows that repeat an id and text one stays.
+    """
+    rows, _ = link(docs, k, percent, id_col, text_col)
+    rows = materialise(rows.where("label is not null"), "components")
+    # null ids come last
+    keep = rows.groupBy("label").agg(F.min(F.struct(F.col("id").isNull(), "id", "row"))["row"].alias("keep"))
+    marked = rows.join(keep, "label").select("row", (F.col("row") == F.col("keep")).alias("stays"))
+    known = materialise(marked.groupBy("row").agg(F.min("stays").alias("stays"), F.count("*").alias("times")).where("not stays or times > 1"), "decisions")
+    tagged = docs.withColumn("_row", F.xxhash64(F.col(id_col), F.col(text_col)))
+    out = tagged.join(known.withColumnRenamed("row", "_row"), "_row", "left_anti")
+    repeated = known.where("stays").select(F.col("row").alias("_row"))
+    if not repeated.isEmpty():
+        out = out.unionByName(tagged.join(repeated, "_row", "left_semi").dropDuplicates(["_row"]))
+    return out.select(*docs.columns)
+
+
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, _ = link(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=4, percent=85)
     return rows.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodeweave.llm.common import materialise
+from lodeweave.llm.common import materialise, small_table
 
 #: Each round of probes splits an interval by so many bits.
 BITS = 12
@@ -125,7 +125,7 @@ def _descend(rows: DataFrame, opened: list[Node], level: int) -> DataFrame:
     out = rows.withColumn("node", F.lit(0).cast("long"))
     for at in range(level):
         steps = [(n.number, d, c.number) for n in opened if n.level == at for d, c in n.children.items() if c.number >= 0]
-        table = rows.sparkSession.createDataFrame(steps, "node bigint, digit bigint, next bigint")
+        table = small_table(rows.sparkSession, steps, "node bigint, digit bigint, next bigint")
         # a row for each opened node: few at any input size
         out = out.withColumn("digit", digit(at)).join(F.broadcast(table), ["node", "digit"]).drop("node", "digit").withColumnRenamed("next", "node")
     return out
@@ -140,7 +140,7 @@ def exchange(rows: DataFrame, how: Plan, id_col: str) -> DataFrame:
         table = [
             (n.number, d, c.number if c.number >= 0 else None, c.shard, c.part, c.offset) for n in how.opened if n.level == at for d, c in n.children.items()
         ]
-        frame = spark.createDataFrame(table, f"_node bigint, _digit bigint, _next bigint, _shard{at} int, _part{at} int, _offset{at} bigint")
+        frame = small_table(spark, table, f"_node bigint, _digit bigint, _next bigint, _shard{at} int, _part{at} int, _offset{at} bigint")
         # 2**BITS rows at most for each opened node: fixed by the tolerance, not by the rows
         out = out.withColumn("_digit", digit(at)).join(F.broadcast(frame), ["_node", "_digit"], "left").drop("_node", "_digit")
         # a row that has reached its leaf has no further node and so finds nothing below
