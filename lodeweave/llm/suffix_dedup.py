@@ -8,7 +8,8 @@ anchor whose run gets past what every string of the wanted length around it must
 
 A string of the wanted length belongs to the first anchor in its inner part. Where the whole stretch
 of an alive anchor's strings occurs elsewhere, all of them do; only at the edges of repeats (and where
-there is no anchor for long) are the strings compared one by one, by 128-bit hashes of their bytes.
+there is no anchor for long, as in periodic text) are the strings compared one by one, by 128-bit
+hashes of their bytes. Of strings without an anchor, each text gives every distinct one once.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodeweave.llm.common import bitmap_has, materialise, membership_bitmap
@@ -29,7 +30,8 @@ from lodeweave.llm.shingles import packed, pieces, random_odd, spread
 
 #: Texts of one task that are remembered, so that copies give their anchors once.
 REMEMBERED = 500_000
-_FAR = -2
+#: In place of a run: a string without an anchor, and one that its own text holds more than once.
+_FAR, _TWICE = -2, -3
 _BYTES = random_odd(1 << 30, 256)
 
 
@@ -105,12 +107,19 @@ class Marks:
         """Starts of strings that belong to no anchor."""
         if n < shape.length:
             return np.zeros(0, dtype=np.int64)
-        free = np.ones(n - shape.length + 2, dtype=np.int64)
         own = self.low <= self.high
-        change = np.zeros(len(free), dtype=np.int64)
+        change = np.zeros(n - shape.length + 2, dtype=np.int64)
         np.add.at(change, self.low[own], 1)
         np.add.at(change, self.high[own] + 1, -1)
-        return np.flatnonzero((np.cumsum(change) == 0)[:-1] & (free[:-1] > 0))
+        return np.flatnonzero((np.cumsum(change) == 0)[:-1])
+
+
+def far_strings(view: memoryview, starts: list[int], length: int) -> dict[bytes, list[int]]:
+    """The starts of each distinct string among those at ``starts``."""
+    out: dict[bytes, list[int]] = {}
+    for p in starts:
+        out.setdefault(xxhash.xxh3_128_digest(view[p : p + length]), []).append(p)
+    return out
 
 
 def marks(at: np.ndarray, n: int, shape: Shape) -> Marks:
@@ -162,11 +171,11 @@ def _positions(docs: DataFrame, text_col: str, shape: Shape) -> DataFrame:
                         out[1].append(i)
                         out[2].append(k if ok else -1)
                         out[3].append(_signed(h))
-                    for p in m.far(n, shape).tolist():
+                    for string, places in far_strings(here, m.far(n, shape).tolist(), length).items():
                         out[0].append(tid)
-                        out[1].append(p)
-                        out[2].append(_FAR)
-                        out[3].append(_signed(digest(here[p : p + length], 2)))
+                        out[1].append(places[0])
+                        out[2].append(_FAR if len(places) == 1 else _TWICE)
+                        out[3].append(_signed(digest(string, 2)))
                 if out[0]:
                     kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64())
                     yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=["tid", "i", "run", "h"])
@@ -174,14 +183,14 @@ def _positions(docs: DataFrame, text_col: str, shape: Shape) -> DataFrame:
     return docs.select(F.xxhash64(text_col).alias("tid"), F.col(text_col).alias("text")).where(F.octet_length("text") >= shape.length).mapInArrow(run, "tid bigint, i int, run int, h bigint")
 
 
-def _repeated(rows: DataFrame, key: list[str], spot: list[str]) -> DataFrame:
-    """The rows whose key occurs at another spot as well, with the key's new rank: the least name of its spots.
+def _repeated(rows: DataFrame, key: list[str], spot: list[str], keep: Column | None = None) -> DataFrame:
+    """The rows (besides those to ``keep``) whose key occurs at another spot as well, with the key's new rank: the least name of its spots.
 
     Spark sorts the keys; equal neighbours get one rank. Repeated rows of one spot count once.
     """
     group = Window.partitionBy(*key)
     named = rows.withColumn("_u", F.xxhash64(*spot))
-    return named.select("*", F.min("_u").over(group).alias("rank"), F.max("_u").over(group).alias("_most")).where("rank <> _most").drop("_u", "_most")
+    return named.select("*", F.min("_u").over(group).alias("rank"), F.max("_u").over(group).alias("_most")).where(F.col("rank") != F.col("_most") if keep is None else keep | (F.col("rank") != F.col("_most"))).drop("_u", "_most")
 
 
 def _doubled(first: DataFrame, shape: Shape) -> DataFrame:
@@ -285,7 +294,13 @@ def _cleaned(texts: DataFrame, shape: Shape) -> DataFrame:
             for row in range(batch.num_rows):
                 data = _opened(batch.column(1)[row])
                 change = np.zeros(len(data) + 1, dtype=np.int64)
-                for x in batch.column(2)[row].as_py():
+                found = batch.column(2)[row].as_py()
+                twice = {x["low"] for x in found if x["high"] < 0}
+                if twice:  # every place of a string that the text holds more than once
+                    at, _ = anchors(data, np.array([0, len(data)]), shape)
+                    places = far_strings(memoryview(data), marks(at, len(data), shape).far(len(data), shape).tolist(), shape.length)
+                    found = [x for x in found if x["high"] >= 0] + [{"low": p, "high": p} for own in places.values() if own[0] in twice for p in own]
+                for x in found:
                     change[x["low"]] += 1
                     change[x["high"] + shape.length] -= 1
                 gone = np.cumsum(change)[:-1] > 0
@@ -317,10 +332,11 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = materialise(docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("tid"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("sha")), "rows")
     copies = rows.groupBy("tid").agg(F.count("*").alias("copies"))
-    first = _repeated(_positions(docs, text_col, shape), ["h"], ["tid", "i"]).select("tid", "i", "run", "rank")
+    first = _repeated(_positions(docs, text_col, shape), ["h"], ["tid", "i"], F.col("run") == _TWICE).select("tid", "i", "run", "rank")
     first = materialise(first.dropDuplicates(["tid", "i", "run"]), "ranks-1")
     alive = _doubled(first.where(F.col("run") > _FAR), shape)
-    far = first.where(F.col("run") == _FAR).groupBy("tid").agg(F.collect_list(F.struct(F.col("i").alias("low"), F.col("i").alias("high"))).alias("far"))
+    twice = F.when(F.col("run") == _TWICE, F.lit(-1)).otherwise(F.col("i"))
+    far = first.where(F.col("run") <= _FAR).groupBy("tid").agg(F.collect_list(F.struct(F.col("i").alias("low"), twice.alias("high"))).alias("far"))
     wanted = alive.groupBy("tid").agg(F.collect_list(F.struct("i", "rank")).alias("alive")).join(far, "tid", "full")
     texts = materialise(_fetch(docs, text_col, wanted), "texts")
     stretches = materialise(_stretches(texts, shape), "stretches")
@@ -331,10 +347,11 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
     settled = stretches.join(kinds.where("one <> most"), ["rank", "stretch"])
     sole = stretches.join(kinds.where("one = most").select("rank", "stretch"), ["rank", "stretch"], "left_semi")
     samples = settled.where(F.col("one") == spot).join(open_runs, "rank", "left_semi")
-    single = sole.select("tid", "low", "high").union(samples.select("tid", "low", "high")).union(texts.select("tid", F.explode("far").alias("x")).select("tid", "x.low", "x.high"))
+    far = texts.select("tid", F.explode("far").alias("x"))
+    single = sole.select("tid", "low", "high").union(samples.select("tid", "low", "high")).union(far.select("tid", "x.low", F.col("x.low").alias("high")))
     strings = _strings(texts.select("tid", "text").join(_ranges(single), "tid"), shape)
     found = _repeated(strings, ["string"], ["tid", "p"]).select("tid", F.col("p").alias("low"), F.col("p").alias("high"))
-    ranges = _ranges(settled.select("tid", "low", "high").union(found))
+    ranges = _ranges(settled.select("tid", "low", "high").union(found).union(far.where("x.high = -1").select("tid", "x.low", "x.high")))
     cleaned = materialise(_cleaned(texts.select("tid", "text").join(ranges, "tid"), shape), "cleaned")
     joined = rows.join(copies.where("copies > 1"), "tid", "left").join(cleaned, "tid", "left")
     whole = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
