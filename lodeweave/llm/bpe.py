@@ -96,7 +96,7 @@ class PrefixCoder:
         known = self._fits.get(key)
         if known is None:
             known = self._fits[key] = self._separate(self.spines(left)[1], self.spines(right)[0])
-            if len(self._fits) > 2_000_000:
+            if len(self._fits) > 400_000:
                 self._fits.clear()
         return known
 
@@ -201,7 +201,7 @@ class _Pieces(dict):
 class Codec:
     """Splits texts by a pattern and encodes each match on its own, as the tiktoken library does."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, cached_pieces: int = 700_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, cached_pieces: int = 400_000):
         self.coder = PrefixCoder(ranks)
         self.find = regex.compile(pattern).findall
         self.cache = _Pieces(self.coder, cached_pieces)
@@ -214,6 +214,13 @@ class Codec:
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.encode_bytes(text), dtype="<u4").tolist()
 
+    def forget(self, most: int = 150_000) -> None:
+        """Free large caches at the end of a task: a worker that waits for other work shouldn't hold them."""
+        if len(self.cache) > most:
+            self.cache.clear()
+        if len(self.coder._fits) > most:
+            self.coder._fits.clear()
+
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.table.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
 
@@ -263,6 +270,7 @@ def encode(docs: DataFrame, vocabulary: bytes, pattern: str, id_col: str = "doc_
                     columns.append(pa.array(all_ids, pa.binary()))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
+        own.forget()
 
     return source.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 

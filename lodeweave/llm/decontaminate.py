@@ -44,7 +44,7 @@ _END, _DIGIT, _UNITS, _CAPITAL = 1, 2, 4, 8
 class _Vocabulary(dict):
     """Token -> its place in the arrays of hashes and flags."""
 
-    def __init__(self, most: int = 600_000):
+    def __init__(self, most: int = 300_000):
         super().__init__()
         self.most = most
         self.hashes, self.flags = np.zeros(most, dtype=np.uint64), np.zeros(most, dtype=np.uint8)

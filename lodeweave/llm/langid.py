@@ -35,7 +35,7 @@ SCRIPTS = ("other", *dict.fromkeys(name for _, _, name in SCRIPT_RANGES))
 #: Slots of the hashed feature table; with the languages' number they bound the model's size.
 SLOTS = 1 << 16
 #: Code points handled at a time (a longer text is handled alone and whole).
-CHUNK = 3_000_000
+CHUNK = 2_000_000
 
 _LETTER: np.ndarray | None = None
 _SCRIPT: np.ndarray | None = None
@@ -90,7 +90,8 @@ def words_of(texts: list[str]) -> Words:
 
     slots = np.stack([slot(code * a + right * b + np.uint32(1)), slot(left * a + code * b + right * c + np.uint32(7))])
     if len(first):
-        place = (np.arange(len(code)) - np.repeat(np.concatenate([[0], first]), np.diff(np.concatenate([[0], first, [len(code)]])))).astype(np.uint32)
+        heads = np.concatenate([[0], first]).astype(np.uint32)
+        place = np.arange(len(code), dtype=np.uint32) - np.repeat(heads, np.diff(np.concatenate([[0], first, [len(code)]])))
         mixed = np.where(is_letter, (code + np.uint32(1)) * ((place * a + np.uint32(0x9E3779B9)) | np.uint32(1)), np.uint32(0))
         whole = np.add.reduceat(mixed, first, dtype=np.uint32)
         whole = (whole ^ (whole >> np.uint32(13))) * c
@@ -178,6 +179,12 @@ def lowered(column: pa.Array) -> list[str]:
     return pc.utf8_lower(pc.fill_null(column, "")).to_pylist()
 
 
+def _parts(batch: pa.RecordBatch, rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """A batch in parts, to bound what is held beside it."""
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
 def training_rows(docs: DataFrame, condition: Column, lang: str, id_col: str, per_language: int) -> DataFrame:
     """About ``per_language`` rows of each language, chosen by a hash of the id: the bounded training sample."""
     labelled = docs.where(condition & F.col(lang).isNotNull())
@@ -281,14 +288,15 @@ def identify(docs: DataFrame, model: Model, id_cols: list[str], text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model.from_bytes(shared.value)
-        for batch in batches:
-            got = spans_of(lowered(batch.column(len(id_cols))), own, penalty)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(i) for i in range(len(id_cols))]
-                + [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())]
-                + [pa.array([[dict(zip(("start", "end", "lang"), s, strict=True)) for s in g[2]] for g in got], span)],
-                names=[f"_{i}" for i in range(len(id_cols))] + ["lang_pred", "score", "spans"],
-            )
+        for whole in batches:
+            for batch in _parts(whole):
+                got = spans_of(lowered(batch.column(len(id_cols))), own, penalty)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(i) for i in range(len(id_cols))]
+                    + [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())]
+                    + [pa.array([[dict(zip(("start", "end", "lang"), s, strict=True)) for s in g[2]] for g in got], span)],
+                    names=[f"_{i}" for i in range(len(id_cols))] + ["lang_pred", "score", "spans"],
+                )
 
     found = source.mapInArrow(run, f"{kinds}, lang_pred string, score double, spans array<struct<start:bigint,end:bigint,lang:string>>")
     return found.withColumnsRenamed({f"_{i}": c for i, c in enumerate(id_cols)})
@@ -303,9 +311,10 @@ def identified(docs: DataFrame, model: Model, text_col: str = "text", penalty: f
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model.from_bytes(shared.value)
-        for batch in batches:
-            got = spans_of(lowered(batch.column(place)), own, penalty)
-            yield batch.filter(pa.array([g[0] != UNKNOWN for g in got], pa.bool_()))
+        for whole in batches:
+            for batch in _parts(whole):
+                got = spans_of(lowered(batch.column(place)), own, penalty)
+                yield batch.filter(pa.array([g[0] != UNKNOWN for g in got], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
