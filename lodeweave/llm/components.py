@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from lodeweave.llm.common import materialise
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first())
+def _written(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The edges, written, and their count and digest, taken while they are written."""
+    seen = Observation(f"edges-{uuid.uuid4().hex}")
+    out = materialise(edges.observe(seen, F.count("*").alias("n"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40))).alias("digest")), "edges")
+    return out, tuple(seen.get.values())
 
 
 def components(edges: DataFrame, u: str = "u", v: str = "v", rounds: int = 60) -> DataFrame:
@@ -21,10 +26,9 @@ def components(edges: DataFrame, u: str = "u", v: str = "v", rounds: int = 60) -
     can be split. Edges are written to the shared folder each round.
     """
     pairs = edges.select(F.least(u, v).alias("u"), F.greatest(u, v).alias("v")).where("u < v").distinct()
-    now = materialise(pairs, "edges")
+    now, state = _written(pairs)
     seen = None
     for _ in range(rounds):
-        state = _state(now)
         if state == seen or not state[0]:
             break
         seen = state
@@ -35,5 +39,5 @@ def components(edges: DataFrame, u: str = "u", v: str = "v", rounds: int = 60) -
         least = smaller.groupBy("u").agg(F.min("v").alias("m"))
         joined = smaller.join(least, "u")
         small = joined.select(F.col("m").alias("u"), F.col("v")).where("u <> v").union(joined.select(F.col("m"), F.col("u"))).distinct()
-        now = materialise(small, "edges")
+        now, state = _written(small)
     return now.select(F.col("v").alias("node"), F.col("u").alias("label"))

@@ -6,10 +6,12 @@ similarity of at least t share a shingle in their prefixes of n - ceil(t n) + 1
 meet in the buckets of their prefix shingles.
 
 A group of near copies would fill a bucket with all its pairs. Only links between components matter,
-so a bucket first compares all its members to one of them (a star). Members that are one component
-then need no further comparison; after some stars, what still differs is compared pair by pair.
-Length, positional and suffix filters drop most pairs, and each that is left is verified once, on
-the words of both texts.
+so a bucket first compares all its members to its most central one, whose shingles are the commonest
+on the whole (a star). Members of one component need no further comparison; what still differs is
+compared pair by pair. Length, positional and suffix filters are conditions of the join; each pair
+that is left is verified once, on the words of both texts. The suffix filter compares the shingle
+counts in 256 parts of the hash range: each unit of difference is a shingle that only one set has. The
+join itself compares their parities, which are a few integers; the counts follow for pairs that pass.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -30,10 +33,8 @@ from lodeweave.llm.shingles import shingle_sets
 
 #: Hashed counts: 2**COUNT_BITS in blocks of 2**16. Their size (2 MB as orders of magnitude) is fixed.
 COUNT_BITS = 21
-#: Parts of the hash range whose shingle counts the suffix filter compares.
-PARTS = 64
-#: Rounds of stars before pairs are compared one by one.
-STARS = 2
+#: The suffix filter's parities, 64 to a column.
+PARITIES = ("q0", "q1", "q2", "q3")
 #: Distinct sets of one task that are remembered, so that copies give their prefix once.
 REMEMBERED = 500_000
 
@@ -52,52 +53,77 @@ def least_overlap(n: Column, m: Column, percent: int) -> Column:
     return F.ceil(F.lit(percent) * (n + m) / F.lit(100.0 + percent) - F.lit(1e-9))
 
 
+def _counts(s: np.ndarray) -> np.ndarray:
+    """How many of a set's hashes are in each 256th of their range."""
+    return np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=256)
+
+
+def _parities(counts: np.ndarray) -> np.ndarray:
+    """Whether each count is odd, as four integers."""
+    return np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
+
+
 def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("row"), F.col(text_col).alias("text"))
 
 
 def describe(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, np.ndarray]:
-    """Per row: id, row hash, set name (null if empty), set size and the counts by part; and the orders of magnitude."""
+    """Per row: id, row hash, set name (null if empty), set size and parities; and the orders of magnitude of hashed counts."""
     source = _source(docs, id_col, text_col)
     kind = source.schema["id"].dataType.simpleString()
-    schema = f"id {kind}, row bigint, sid bigint, n bigint, hist binary, task int, block int, counts binary"
-    kinds = pa.schema([("row", pa.int64()), ("sid", pa.int64()), ("n", pa.int64()), ("hist", pa.binary()), ("task", pa.int32()), ("block", pa.int32()), ("counts", pa.binary())])
+    schema = f"id {kind}, row bigint, sid bigint, n bigint, {', '.join(f'{q} bigint' for q in PARITIES)}, hist binary, task int, block int, counts binary"
+    kinds = pa.schema(
+        [("row", pa.int64()), ("sid", pa.int64()), ("n", pa.int64()), *[(q, pa.int64()) for q in PARITIES], ("hist", pa.binary()), ("task", pa.int32()), ("block", pa.int32()), ("counts", pa.binary())]
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         table = np.zeros(1 << COUNT_BITS, dtype=np.int64)
-        id_type = None
+        id_type, many, held = None, [], 0
+
+        def add() -> None:
+            nonlocal table
+            table += np.bincount((np.concatenate(many) & np.uint64((1 << COUNT_BITS) - 1)).astype(np.int64), minlength=1 << COUNT_BITS)
+            many.clear()
+
         for batch in batches:
             id_type = batch.column(0).type
-            sids, sizes, hists, many = [], [], [], []
+            sids, sizes, parities, hists = [], [], [], []
             for s in shingle_sets(batch.column(2), k):
                 sizes.append(len(s))
                 sids.append(_name(s) if len(s) else None)
-                hists.append(np.minimum(np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=PARTS), 255).astype(np.uint8).tobytes() if len(s) else None)
+                counts = _counts(s)
+                parities.append(_parities(counts))
+                hists.append(np.minimum(counts, 255).astype(np.uint8).tobytes())
                 many.append(s)
-                if len(many) == 500:
-                    table += np.bincount((np.concatenate(many) & np.uint64((1 << COUNT_BITS) - 1)).astype(np.int64), minlength=1 << COUNT_BITS)
-                    many = []
-            if many:
-                table += np.bincount((np.concatenate(many) & np.uint64((1 << COUNT_BITS) - 1)).astype(np.int64), minlength=1 << COUNT_BITS)
+                held += len(s)
+                if held > 1 << 20:
+                    add()
+                    held = 0
             none = [None] * len(sids)
-            rest = [batch.column(1), *(pa.array(x, f.type) for x, f in zip((sids, sizes, hists, none, none, none), list(kinds)[1:], strict=True))]
+            q = np.array(parities, dtype=np.int64).reshape(-1, 4)
+            rest = [batch.column(1), pa.array(sids, pa.int64()), pa.array(sizes, pa.int64()), *[pa.array(q[:, i]) for i in range(4)], pa.array(hists, pa.binary()), *[pa.array(none, kinds.field(x).type) for x in ("task", "block", "counts")]]
             yield pa.RecordBatch.from_arrays([batch.column(0), *rest], names=["id", *kinds.names])
+        if many:
+            add()
         if table.any():
             task = TaskContext.get().partitionId()
             for block, counts in enumerate(table.reshape(-1, 1 << 16)):
-                counts = counts.astype(np.uint8 if counts.max() < 256 else np.int64)
-                row = [[None], [None], [None], [None], [task], [block], [counts.tobytes()]]
-                yield pa.RecordBatch.from_arrays([pa.array([None], id_type), *(pa.array(x, f.type) for x, f in zip(row, kinds, strict=True))], names=["id", *kinds.names])
+                row = [None] * 8 + [task, block, _pack(counts)]
+                yield pa.RecordBatch.from_arrays([pa.array([None], id_type), *(pa.array([x], f.type) for x, f in zip(row, kinds, strict=True))], names=["id", *kinds.names])
 
     both = materialise(source.mapInArrow(run, schema), "sets")
     counts = both.where("block is not null").select("task", "block", "counts")
-    return both.where("block is null").select("id", "row", "sid", "n", "hist"), _orders(counts)
+    return both.where("block is null").select("id", "row", "sid", "n", *PARITIES, "hist"), _orders(counts)
+
+
+def _pack(counts: np.ndarray) -> bytes:
+    return zlib.compress(counts.astype(np.int64).tobytes(), 1)
 
 
 def _unpack(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, dtype=np.uint8 if len(data) == 1 << 16 else np.int64)
+    return np.frombuffer(zlib.decompress(data), dtype=np.int64)
 
 
 def _orders(counts: DataFrame) -> np.ndarray:
@@ -105,8 +131,8 @@ def _orders(counts: DataFrame) -> np.ndarray:
     most = counts.agg(F.max("task")).first()[0] or 0
 
     def add(pdf):
-        total = sum((_unpack(x).astype(np.int64) for x in pdf["counts"]), np.zeros(1 << 16, dtype=np.int64))
-        return pdf.iloc[:1].assign(counts=[total.tobytes()])
+        total = sum((_unpack(x) for x in pdf["counts"]), np.zeros(1 << 16, dtype=np.int64))
+        return pdf.iloc[:1].assign(counts=[_pack(total)])
 
     while True:
         counts = counts.withColumn("task", F.floor(F.col("task") / 128).cast("int")).groupBy("task", "block").applyInPandas(add, "task int, block int, counts binary")
@@ -120,94 +146,123 @@ def _orders(counts: DataFrame) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, orders: np.ndarray, k: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The prefix shingles of each set: gram, sid, set size n and position i in the rare-first order."""
+    """The prefix shingles of each set: gram, sid, set size n and place i in the rare-first order (both in ``ni``),
+    and how rare the set's shingles are on the whole."""
     shared = docs.sparkSession.sparkContext.broadcast(orders)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = shared.value
         seen: set[int] = set()
+        names = ["gram", "sid", "ni", "rare"]
         for batch in batches:
-            grams, sids, sizes, places, held = [], [], [], [], 0
+            out: tuple[list, list, list, list] = ([], [], [], [])
+            held = 0
             for s in shingle_sets(batch.column(0), k):
                 n = len(s)
                 if not n or (sid := _name(s)) in seen:
                     continue
                 if len(seen) < REMEMBERED:
                     seen.add(sid)
-                order = np.argsort(rank[(s & np.uint64((1 << COUNT_BITS) - 1)).astype(np.int64)], kind="stable")
+                own = rank[(s & np.uint64((1 << COUNT_BITS) - 1)).astype(np.int64)]
+                order = np.argsort(own, kind="stable")
                 length = n + (-percent * n) // 100 + 1  # n - ceil(percent n / 100) + 1
-                grams.append(s[order[:length]].view(np.int64))
-                sids.append(np.full(length, sid, dtype=np.int64))
-                sizes.append(np.full(length, n, dtype=np.int32))
-                places.append(np.arange(length, dtype=np.int32))
+                out[0].append(s[order[:length]].view(np.int64))
+                out[1].append(np.full(length, sid, dtype=np.int64))
+                out[2].append((n << 32) + np.arange(length, dtype=np.int64))
+                out[3].append(np.full(length, -int(1000 * own.mean()), dtype=np.int32))
                 held += length
                 if held > 200_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (grams, sids, sizes, places)], names=["gram", "sid", "n", "i"])
-                    grams, sids, sizes, places, held = [], [], [], [], 0
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=names)
+                    out, held = ([], [], [], []), 0
             if held:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (grams, sids, sizes, places)], names=["gram", "sid", "n", "i"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=names)
 
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "gram bigint, sid bigint, n int, i int")
+    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "gram bigint, sid bigint, ni bigint, rare int")
 
 
-def _may_match(a: str, b: str, percent: int) -> Column:
-    """Length and positional filters for two members of a bucket."""
-    n, m, i, j = F.col(f"{a}n"), F.col(f"{b}n"), F.col(f"{a}i"), F.col(f"{b}i")
+def _may_match(percent: int) -> Column:
+    """Length and positional filters for two members, a and b, of a bucket."""
+    n, m, i, j = (F.col(x) for x in ("an", "bn", "ai", "bi"))
     length = F.lit(100) * F.least(n, m) >= F.lit(percent) * F.greatest(n, m)
-    place = F.least(i, j) + 1 + F.least(n - i, m - j) - 1 >= least_overlap(n, m, percent)
-    return length & place
+    return length & (F.least(i, j) + F.least(n - i, m - j) >= least_overlap(n, m, percent))
 
 
-def _suffix_filter(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Drop pairs whose counts by part of the hash range differ too much: each unit is a shingle that only one set has."""
-    small = sets.select("sid", "n", "hist")
-    joined = pairs.join(small.withColumnsRenamed({"sid": "a", "n": "an", "hist": "ah"}), "a").join(small.withColumnsRenamed({"sid": "b", "n": "bn", "hist": "bh"}), "b")
+def _near(percent: int) -> Column:
+    """The suffix filter for sets a and b: parts of the hash range whose counts differ in parity."""
+    n, m = F.col("an"), F.col("bn")
+    apart = sum((F.bit_count(F.col(f"a{q}").bitwiseXOR(F.col(f"b{q}"))) for q in PARITIES), F.lit(0))
+    return apart <= n + m - 2 * least_overlap(n, m, percent)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            c = {x: batch.column(x) for x in ("a", "b", "an", "bn", "ah", "bh")}
-            left, right = (np.frombuffer(b"".join(x.as_py() for x in c[h]), dtype=np.uint8).reshape(-1, PARTS).astype(np.int32) for h in ("ah", "bh"))
-            total = c["an"].to_numpy() + c["bn"].to_numpy()
-            least = -((-percent * total) // (100 + percent))
-            keep = np.abs(left - right).sum(axis=1) <= total - 2 * least
-            yield pa.RecordBatch.from_arrays([c["a"].filter(pa.array(keep)), c["b"].filter(pa.array(keep))], names=["a", "b"])
 
-    return joined.mapInArrow(run, "a bigint, b bigint")
+def _member(letter: str) -> list[Column]:
+    """The columns of a member, named for one side of a pair."""
+    return [F.col(x).alias(f"{letter}{y}") for x, y in (("sid", ""), ("n", "n"), ("i", "i"), *[(q, q) for q in PARITIES])]
+
 
+def _texts(docs: DataFrame, wanted: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
+    """sid and compressed text of the rows in ``wanted``; a bitmap of fixed size spares the other texts.
 
-def _texts(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """sid and compressed text of the sets in ``wanted`` (sid, row); a bitmap of fixed size spares the other rows the exchange."""
+    The bitmap lets a few rows too many pass; a join by sid drops them. No exchange.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(membership_bitmap(wanted, "row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = np.frombuffer(shared.value, dtype=np.uint8)
+        bitmap, coder = np.frombuffer(shared.value, dtype=np.uint8), zstandard.ZstdCompressor(level=6)
+        seen: set[int] = set()
+        for batch in batches:
+            texts = batch.column(1).filter(pa.array(bitmap_has(bitmap, batch.column(0).to_numpy())))
+            sids, packs, held = [], [], 0
+            for text, s in zip(texts, shingle_sets(texts, k), strict=True):
+                sid = _name(s)
+                if len(s) and sid not in seen:
+                    if len(seen) < REMEMBERED:
+                        seen.add(sid)
+                    sids.append(sid)
+                    packs.append(coder.compress(text.as_py().encode("utf-8", "surrogatepass")))
+                    held += len(packs[-1])
+                    if held > 4 << 20:
+                        yield pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), pa.array(packs, pa.binary())], names=["sid", "text"])
+                        sids, packs, held = [], [], 0
+            if sids:
+                yield pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), pa.array(packs, pa.binary())], names=["sid", "text"])
+
+    return _source(docs, id_col, text_col).select("row", "text").mapInArrow(run, "sid bigint, text binary")
+
+
+def _close(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The suffix filter on counts, for pairs a and b."""
+    need = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
+    own = materialise(need.join(sets.select("sid", "n", "hist"), "sid"), "counts")
+    joined = pairs.join(own.withColumnsRenamed({"sid": "a", "n": "an", "hist": "ah"}), "a").join(own.withColumnsRenamed({"sid": "b", "n": "bn", "hist": "bh"}), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch = batch.filter(pa.array(bitmap_has(bitmap, batch.column(0).to_numpy())))
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([zlib.compress((x.as_py() or "").encode("utf-8", "surrogatepass"), 1) for x in part.column(1)], pa.binary())], names=["row", "text"])
+            if not batch.num_rows:
+                continue
+            left, right = (np.frombuffer(b"".join(x.as_py() for x in batch.column(h)), dtype=np.uint8).reshape(-1, 256).astype(np.int32) for h in ("ah", "bh"))
+            total = batch.column("an").to_numpy() + batch.column("bn").to_numpy()
+            least = -((-percent * total) // (100 + percent))
+            keep = pa.array(np.abs(left - right).sum(axis=1) <= total - 2 * least)
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
 
-    found = _source(docs, id_col, text_col).select("row", "text").mapInArrow(run, "row bigint, text binary")
-    return wanted.join(found, "row").dropDuplicates(["sid"]).select("sid", "text")
+    return joined.select("a", "b", "an", "bn", "ah", "bh").mapInArrow(run, "a bigint, b bigint")
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """a, b and whether they are similar, by the intersection of both texts' shingle sets; once for each pair."""
-    pairs = materialise(_suffix_filter(pairs, sets, percent), "candidates")
+    pairs = materialise(_close(materialise(pairs, "pairs"), sets, percent), "candidates")
     need = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
-    wanted = need.join(sets.select("sid", "row"), "sid")
-    texts = materialise(_texts(docs, wanted, id_col, text_col), "texts")
+    texts = materialise(_texts(docs, need.join(sets.select("sid", "row"), "sid"), k, id_col, text_col), "texts")
     joined = pairs.join(texts.withColumnsRenamed({"sid": "b", "text": "bt"}), "b").join(texts.withColumnsRenamed({"sid": "a", "text": "at"}), "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: OrderedDict[int, np.ndarray] = OrderedDict()
+        coder = zstandard.ZstdDecompressor()
 
         def get(sid: int, data: pa.Scalar) -> np.ndarray:
             s = kept.get(sid)
             if s is None:
-                s = kept[sid] = next(shingle_sets(pa.array([zlib.decompress(data.as_py()).decode("utf-8", "surrogatepass")]), k))
+                s = kept[sid] = next(shingle_sets(pa.array([coder.decompress(data.as_py()).decode("utf-8", "surrogatepass")]), k))
                 if len(kept) > 64:
                     kept.popitem(last=False)
             return s
@@ -220,7 +275,8 @@ def _verify(pairs: DataFrame, sets: DataFrame, docs: DataFrame, k: int, percent:
                 ok.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
 
-    return materialise(joined.mapInArrow(run, "a bigint, b bigint, ok boolean"), "verified")
+    # a text that two tasks gave is joined twice
+    return materialise(joined.mapInArrow(run, "a bigint, b bigint, ok boolean").distinct(), "verified")
 
 
 def _labelled(buckets: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -238,34 +294,31 @@ def link(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id",
     Other columns are ignored. Sets are told apart by 64-bit names and shingles by 64-bit hashes.
     """
     rows, orders = describe(docs, k, id_col, text_col)
-    sets = materialise(rows.where("sid is not null").groupBy("sid").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("hist").alias("hist"), F.min("id").alias("id")), "classes")
+    firsts = [F.first(x).alias(x) for x in ("n", *PARITIES, "hist")]
+    sets = materialise(rows.where("sid is not null").groupBy("sid").agg(F.min("row").alias("row"), F.min("id").alias("id"), *firsts), "classes")
     by_gram = Window.partitionBy("gram")
     grams = prefixes(docs, orders, k, percent, id_col, text_col).repartition("gram").dropDuplicates(["gram", "sid"])
-    pivot = F.min(F.struct("sid", "n", "i")).over(by_gram)
-    buckets = materialise(grams.select("*", F.count("*").over(by_gram).alias("size"), pivot.alias("pivot")).where("size > 1").drop("size"), "buckets")
-    labels, tested = None, None
-    for star in range(STARS):
-        if star:
-            left = _labelled(buckets, labels).where("sid <> pivot.sid").drop("pivot")
-            left = left.select("gram", "sid", "n", "i", F.min("label").over(by_gram).alias("low"), F.max("label").over(by_gram).alias("high"), pivot.alias("pivot")).where("low <> high")
-            buckets = materialise(left.drop("low", "high"), "buckets")
-        members = buckets.select(F.col("pivot.sid").alias("a"), F.col("pivot.n").alias("an"), F.col("pivot.i").alias("ai"), F.col("sid").alias("b"), F.col("n").alias("bn"), F.col("i").alias("bi"))
-        pairs = members.where("a <> b").where(_may_match("a", "b", percent)).select("a", "b").distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        found = _verify(pairs, sets, docs, k, percent, id_col, text_col)
-        tested = found if tested is None else tested.union(found)
-        labels = components(tested.where("ok"), "a", "b")
+    grams = grams.select("gram", "sid", F.shiftright("ni", 32).alias("n"), F.col("ni").bitwiseAND(F.lit(0xFFFFFFFF)).alias("i"), "rare")
+    # the exchange by gram serves the repeats, the counts and the pivots; the parities join later, when few rows are left
+    pivot = F.min(F.struct("rare", "sid", "n", "i")).over(by_gram)
+    buckets = grams.select("*", F.count("*").over(by_gram).alias("size"), pivot.alias("pivot")).where("size > 1").drop("size", "rare")
+    buckets = materialise(buckets, "buckets")
+    stars = buckets.select(F.col("pivot.sid").alias("a"), F.col("pivot.n").alias("an"), F.col("pivot.i").alias("ai"), F.col("sid").alias("b"), F.col("n").alias("bn"), F.col("i").alias("bi"))
+    pairs = stars.where("a <> b").where(_may_match(percent)).select("a", "b").distinct()
+    parities = sets.select("sid", "n", *PARITIES)
+    for side in "ab":
+        pairs = pairs.join(parities.withColumnsRenamed({"sid": side, "n": f"{side}n"} | {q: f"{side}{q}" for q in PARITIES}), side)
+    tested = _verify(pairs.where(_near(percent)).select("a", "b"), sets, docs, k, percent, id_col, text_col)
+    labels = components(tested.where("ok"), "a", "b")
     # what is left: members of different components, the larger part of a bucket against the smaller
-    left = _labelled(buckets, labels).where("sid <> pivot.sid").drop("pivot")
+    left = _labelled(buckets.where("sid <> pivot.sid").drop("pivot"), labels).repartition("gram")
     sized = left.withColumn("same", F.count("*").over(Window.partitionBy("gram", "label")))
-    left = materialise(
-        sized.select("gram", "sid", "n", "i", "label", F.max(F.struct("same", "label")).over(by_gram)["label"].alias("main"), F.min("label").over(by_gram).alias("low"), F.max("label").over(by_gram).alias("high")).where("low <> high").drop("low", "high"),
-        "mixed",
-    )
-    a = left.where("label <> main").select("gram", *[F.col(x).alias(f"a{y}") for x, y in (("sid", ""), ("n", "n"), ("i", "i"), ("label", "l"))])
-    b = left.select("gram", "main", *[F.col(x).alias(f"b{y}") for x, y in (("sid", ""), ("n", "n"), ("i", "i"), ("label", "l"))])
-    pairs = a.join(b, "gram").where("al <> bl and (bl = main or a < b)").where(_may_match("a", "b", percent))
+    spans = [F.max(F.struct("same", "label")).over(by_gram)["label"].alias("main"), F.min("label").over(by_gram).alias("low"), F.max("label").over(by_gram).alias("high")]
+    left = sized.select(*left.columns, *spans).where("low <> high").drop("low", "high")
+    left = materialise(left.join(parities.drop("n"), "sid"), "mixed")
+    a = left.where("label <> main").select("gram", F.col("label").alias("al"), *_member("a"))
+    b = left.select("gram", "main", F.col("label").alias("bl"), *_member("b"))
+    pairs = a.join(b, "gram").where("al <> bl and (bl = main or a < b)").where(_may_match(percent) & _near(percent))
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = pairs.join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     tested = tested.union(_verify(pairs, sets, docs, k, percent, id_col, text_col))
