@@ -3,7 +3,8 @@
 Words are scored for each language by smoothed character n-grams and the whole word. The ranges of
 the scripts narrow the candidates: a language in whose training text a script is rare isn't a
 candidate for a word of that script. Viterbi's algorithm over the words, with a penalty for each
-switch, then labels spans of one language.
+switch, then labels spans of one language. A text's language is that of most letters, unless it both
+begins and ends in another one: a quotation stands inside the text that quotes it.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ SCRIPT_RANGES = (
 SCRIPTS = ("other", *dict.fromkeys(name for _, _, name in SCRIPT_RANGES))
 #: Slots of the hashed feature table; with the languages' number they bound the model's size.
 SLOTS = 1 << 16
+#: Least share of letters of a language that a text begins and ends in, to be the text's.
+FRAME_SHARE = 0.2
 #: Code points handled at a time (a longer text is handled alone and whole).
 CHUNK = 2_000_000
 
@@ -265,6 +268,9 @@ def spans_of(texts: list[str], model: Model, penalty: float) -> list[tuple[str,
         for d in range(b - a):
             if total[d]:
                 top = int(letters[d].argmax())
+                frame = model.languages.index(spans[d][0][2])
+                if spans[d][0][2] == spans[d][-1][2] and letters[d, frame] >= FRAME_SHARE * total[d]:
+                    top = frame
                 out.append((model.languages[top], float(letters[d, top] / total[d]), spans[d]))
             else:
                 out.append((UNKNOWN, 0.0, []))
