@@ -183,7 +183,7 @@ def reliability_bins(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     with_(CALIBRATION)
-    + ", g AS (SELECT confidence, count(*) AS n, sum(label) AS good FROM rows GROUP BY 1) SELECT confidence, sum(n) OVER w::BIGINT AS accepted, (sum(n) OVER w - sum(good) OVER w)::BIGINT AS errors, round((sum(n) OVER w - sum(good) OVER w) / sum(n) OVER w, 6) AS risk FROM g WINDOW w AS (ORDER BY confidence DESC ROWS UNBOUNDED PRECEDING)".replace("OVER w::BIGINT", "OVER w")
+    + ", g AS (SELECT confidence, count(*) AS n, sum(label) AS good FROM rows GROUP BY 1) SELECT confidence, sum(n) OVER w AS accepted, (sum(n) OVER w - sum(good) OVER w)::BIGINT AS errors, round((sum(n) OVER w - sum(good) OVER w) / sum(n) OVER w, 6) AS risk FROM g WINDOW w AS (ORDER BY confidence DESC ROWS UNBOUNDED PRECEDING)"
 )
 def risk_coverage(spark: SparkSession, sf: str) -> DataFrame:
     r = measure.ordered_risk(calibration_rows(spark, sf))
@@ -273,7 +273,7 @@ def early_stopping(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     with_(*BASE, FEATURES)
     + ", p AS (SELECT query_id, count(*) AS n, count_if(len(conflicts) = 0 AND list_contains(matches, 'collector_number')) AS exact FROM evidence GROUP BY 1) "
-    "SELECT query_id, CASE WHEN exact = 1 THEN 'matched' WHEN n > 0 THEN 'ambiguous' ELSE 'no_match' END AS proposal FROM titles LEFT JOIN p USING (query_id)".replace("WHEN n > 0", "WHEN coalesce(n, 0) > 0")
+    "SELECT query_id, CASE WHEN exact = 1 THEN 'matched' WHEN coalesce(n, 0) > 0 THEN 'ambiguous' ELSE 'no_match' END AS proposal FROM titles LEFT JOIN p USING (query_id)"
 )
 def staged_proposal(spark: SparkSession, sf: str) -> DataFrame:
     """A proposed label: one exact candidate, some candidate, or none."""
