@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import struct
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -46,6 +47,7 @@ class PrefixCoder:
         self._spines: dict[int, tuple[list, list]] = {}
         self._parts: dict[int, tuple[int, int] | None] = {}
         self._fits: dict[int, bool] = {}
+        self._good: set[int] = set()  # tokens known to be reachable
         self._suffixes = {k[i:] for k in ranks for i in range(len(k))}
 
     # -- how a token came to be -------------------------------------------------------------
@@ -113,30 +115,39 @@ class PrefixCoder:
 
     def reachable(self, token: int) -> bool:
         """Whether merging a token's own bytes gives that token."""
-        return len(self.tokens[token]) == 1 or self.parts(token) is not None
+        reached = len(self.tokens[token]) == 1 or self.parts(token) is not None
+        if reached:
+            self._good.add(token)
+        return reached
 
     # -- the table --------------------------------------------------------------------------
     def extend(self, text: bytes, last: list[int], upto: int | None = None) -> list[int]:
         """Complete ``last`` (the last token of each prefix of ``text``, from length 1) in place."""
-        ranks, fits, suffixes, longest = self.ranks, self.fits, self._suffixes, self.longest
+        rank, known, suffixes, longest, good = self.ranks.get, self._fits.get, self._suffixes, self.longest, self._good
         for end in range(len(last) + 1, (len(text) if upto is None else upto) + 1):
-            chosen = -1
-            for start in range(end - 1, max(-1, end - 1 - longest), -1):
+            start = end
+            floor = end - longest if end > longest else 0
+            while start > floor:
+                start -= 1
                 part = text[start:end]
-                token = ranks.get(part)
-                if token is not None:
-                    if start == 0:
-                        if self.reachable(token):
-                            chosen = token
-                    elif fits(last[start - 1], token) and self.reachable(token):
-                        chosen = token
-                    if chosen >= 0:
-                        break
-                elif part not in suffixes:
+                token = rank(part)
+                if token is None:
+                    if part in suffixes:
+                        continue
+                    start = floor  # no token ends in this part
+                    break
+                if start:
+                    left = last[start - 1]
+                    fit = known(left << 32 | token)
+                    if fit is None:
+                        fit = self.fits(left, token)
+                    if not fit:
+                        continue
+                if token in good or self.reachable(token):
+                    last.append(token)
                     break
-            if chosen < 0:
+            if len(last) < end:
                 raise ValueError("the vocabulary lacks a byte or isn't closed under merging")
-            last.append(chosen)
         return last
 
     def walk(self, last: list[int], end: int | None = None) -> list[int]:
@@ -183,15 +194,23 @@ class PrefixCoder:
 
 
 class _Pieces(dict):
-    """Piece -> its ids as little-endian unsigned 32-bit integers; emptied when it grows too large."""
+    """Piece -> its ids as little-endian unsigned 32-bit integers.
+
+    When it grows too large the older half of its life is forgotten: pieces are looked for among
+    those of the last generation before they are encoded again.
+    """
 
     def __init__(self, coder: PrefixCoder, most: int):
         super().__init__()
-        self.coder, self.most = coder, most
+        self.coder, self.most, self.older = coder, most // 2, {}
 
     def __missing__(self, piece: str) -> bytes:
-        out = np.asarray(self.coder.encode(piece.encode("utf-8", "surrogatepass")), dtype="<u4").tobytes()
+        out = self.older.get(piece)
+        if out is None:
+            ids = self.coder.encode(piece.encode("utf-8", "surrogatepass"))
+            out = struct.pack(f"<{len(ids)}I", *ids)
         if len(self) >= self.most:
+            self.older = dict(self)
             self.clear()
         if len(piece) <= 64:
             self[piece] = out
@@ -201,7 +220,7 @@ class _Pieces(dict):
 class Codec:
     """Splits texts by a pattern and encodes each match on its own, as the tiktoken library does."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, cached_pieces: int = 400_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, cached_pieces: int = 500_000):
         self.coder = PrefixCoder(ranks)
         self.find = regex.compile(pattern).findall
         self.cache = _Pieces(self.coder, cached_pieces)
@@ -216,8 +235,9 @@ class Codec:
 
     def forget(self, most: int = 150_000) -> None:
         """Free large caches at the end of a task: a worker that waits for other work shouldn't hold them."""
-        if len(self.cache) > most:
+        if len(self.cache) + len(self.cache.older) > most:
             self.cache.clear()
+            self.cache.older = {}
         if len(self.coder._fits) > most:
             self.coder._fits.clear()
 
