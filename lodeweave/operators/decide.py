@@ -87,7 +87,7 @@ def candidates(signals: DataFrame, catalog: DataFrame, limit: int = retrieve.MOS
     structured = retrieve.top(retrieve.structured(signals, catalog), limit)
     fused = retrieve.fuse({"sparse": sparse, "structured": structured}, limit=limit)
     keep = ["query_id", "title", "normalized_title", "year", "collector", "position_text", "color_hints", "series_hints"]
-    joined = fused.join(signals.select(*keep), "query_id").join(catalog.select("doc_id", "search_text", "release_year", "collector_number", "series_position", "color", "series"), "doc_id")
+    joined = fused.join(retrieve.comparable_query(signals.select(*keep)), "query_id").join(retrieve.comparable_record(catalog).select("doc_id", "search_text", "release_year", "collector_number", "series_position", "color", "series", "_c_year", "_c_collector", "_c_position", "_c_color", "_c_series"), "doc_id")
     return retrieve.evidence(joined)
 
 
