@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodeweave.functions import hashing, maths, text
 from lodeweave.operators import keep, measure
 from lodeweave.plans.frames import CATALOG, TITLES, WORDS, catalog, table, titles, with_
+from lodeweave.plans.decision_plans import DECIDED, FEATURES, resolve_decisions
 from lodeweave.plans.retrieval_plans import BASE, RERANKED, reranked
 
 QUERIES: dict = {}
@@ -200,3 +201,33 @@ def schema_introspection(spark: SparkSession, sf: str) -> DataFrame:
     from lodeweave.operators.schema import columns_of
 
     return columns_of(table(spark, sf, "part")).select("column_name", F.col("data_type").rlike("int").alias("whole"))
+
+
+@query(
+    with_(*BASE, FEATURES, DECIDED)
+    + " SELECT expected_id IS NULL AS absent, count(*) AS cases, count_if(status = 'matched') AS accepted, count_if(status = 'matched' AND top_id = expected_id) AS exact, count_if(status = 'ambiguous') AS ambiguous, count_if(status = 'no_match') AS refused FROM decided GROUP BY 1"
+)
+def balanced_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """What became of titles that are in the catalogue and of those that are not."""
+    d = resolve_decisions(spark, sf).join(titles(spark, sf).select("query_id", "expected_id"), "query_id")
+    matched = F.col("status") == "matched"
+    return d.groupBy(F.col("expected_id").isNull().alias("absent")).agg(
+        F.count("*").alias("cases"), F.count_if(matched).alias("accepted"), F.count_if(matched & (F.col("doc_id") == F.col("expected_id"))).alias("exact"), F.count_if(F.col("status") == "ambiguous").alias("ambiguous"), F.count_if(F.col("status") == "no_match").alias("refused")
+    )
+
+
+@query()
+def raw_token_offsets(spark: SparkSession, sf: str) -> DataFrame:
+    """Normalised words of the titles with their places in the titles as written."""
+    from lodeweave.functions import exact
+
+    t = titles(spark, sf).select("query_id", F.explode(exact.token_offsets("title")).alias("x"))
+    return t.select("query_id", "x.token", "x.start", "x.end")
+
+
+@query("SELECT 'family-' || printf('%04d', i) AS knowledge_id, 'Family ' || i::VARCHAR || ' ' || (['coupe', 'sedan', 'wagon'])[i % 3 + 1] AS casting, sha256('family' || chr(10) || i::VARCHAR)[1:8] AS alias FROM range(3000) r(i)")
+def synthetic_families(spark: SparkSession, sf: str) -> DataFrame:
+    """3,000 made-up documents, for tests of scale."""
+    i = F.col("id")
+    kind = F.get(F.array(F.lit("coupe"), F.lit("sedan"), F.lit("wagon")), (i % 3).cast("int"))
+    return spark.range(3000).select(F.format_string("family-%04d", i).alias("knowledge_id"), F.concat(F.lit("Family "), i.cast("string"), F.lit(" "), kind).alias("casting"), F.substring(hashing.salted("family", i), 1, 8).alias("alias"))
