@@ -40,11 +40,19 @@ def materialise(df: DataFrame, label: str, partition_by: list[str] | None = None
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete scratch tables once all that was made from them is written itself."""
+    for t in tables:
+        delete_scratch(t.sparkSession, t.scratch)
 
 
 def delete_scratch(spark: SparkSession, path: str) -> None:
-    """Delete a scratch path that no returned DataFrame reads any more."""
+    """Delete a path below the shared folder that no returned DataFrame reads any more."""
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from lodeweave.llm.common import materialise
+from lodeweave.llm.common import materialise, release
 
 
 def _written(edges: DataFrame) -> tuple[DataFrame, tuple]:
@@ -39,5 +39,7 @@ def components(edges: DataFrame, u: str = "u", v: str = "v", rounds: int = 60) -
         least = smaller.groupBy("u").agg(F.min("v").alias("m"))
         joined = smaller.join(least, "u")
         small = joined.select(F.col("m").alias("u"), F.col("v")).where("u <> v").union(joined.select(F.col("m"), F.col("u"))).distinct()
+        last = now
         now, state = _written(small)
+        release(last)
     return now.select(F.col("v").alias("node"), F.col("u").alias("label"))

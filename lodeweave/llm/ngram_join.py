@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodeweave.llm.common import bitmap_has, materialise, membership_bitmap
+from lodeweave.llm.common import bitmap_has, materialise, membership_bitmap, release
 from lodeweave.llm.components import components
 from lodeweave.llm.shingles import shingle_sets
 
@@ -229,8 +229,8 @@ def _texts(docs: DataFrame, wanted: DataFrame, k: int, id_col: str, text_col: st
     return _source(docs, id_col, text_col).select("row", "text").mapInArrow(run, "sid bigint, text binary")
 
 
-def _close(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The suffix filter on counts, for pairs a and b."""
+def _close(pairs: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The suffix filter on counts, for pairs a and b; and the table of counts that it reads."""
     need = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
     own = materialise(need.join(sets.select("sid", "n", "hist"), "sid"), "counts")
     joined = pairs.join(own.withColumnsRenamed({"sid": "a", "n": "an", "hist": "ah"}), "a").join(own.withColumnsRenamed({"sid": "b", "n": "bn", "hist": "bh"}), "b")
@@ -245,12 +245,15 @@ def _close(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             keep = pa.array(np.abs(left - right).sum(axis=1) <= total - 2 * least)
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
 
-    return joined.select("a", "b", "an", "bn", "ah", "bh").mapInArrow(run, "a bigint, b bigint")
+    return joined.select("a", "b", "an", "bn", "ah", "bh").mapInArrow(run, "a bigint, b bigint"), own
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """a, b and whether they are similar, by the intersection of both texts' shingle sets; once for each pair."""
-    pairs = materialise(_close(materialise(pairs, "pairs"), sets, percent), "candidates")
+    given = materialise(pairs, "pairs")
+    close, counts = _close(given, sets, percent)
+    pairs = materialise(close, "candidates")
+    release(given, counts)
     need = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
     texts = materialise(_texts(docs, need.join(sets.select("sid", "row"), "sid"), k, id_col, text_col), "texts")
     joined = pairs.join(texts.withColumnsRenamed({"sid": "b", "text": "bt"}), "b").join(texts.withColumnsRenamed({"sid": "a", "text": "at"}), "a")
@@ -276,7 +279,9 @@ def _verify(pairs: DataFrame, sets: DataFrame, docs: DataFrame, k: int, percent:
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
 
     # a text that two tasks gave is joined twice
-    return materialise(joined.mapInArrow(run, "a bigint, b bigint, ok boolean").distinct(), "verified")
+    found = materialise(joined.mapInArrow(run, "a bigint, b bigint, ok boolean").distinct(), "verified")
+    release(pairs, texts)
+    return found
 
 
 def _labelled(buckets: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -316,12 +321,14 @@ def link(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id",
     spans = [F.max(F.struct("same", "label")).over(by_gram)["label"].alias("main"), F.min("label").over(by_gram).alias("low"), F.max("label").over(by_gram).alias("high")]
     left = sized.select(*left.columns, *spans).where("low <> high").drop("low", "high")
     left = materialise(left.join(parities.drop("n"), "sid"), "mixed")
+    release(buckets)
     a = left.where("label <> main").select("gram", F.col("label").alias("al"), *_member("a"))
     b = left.select("gram", "main", F.col("label").alias("bl"), *_member("b"))
     pairs = a.join(b, "gram").where("al <> bl and (bl = main or a < b)").where(_may_match(percent) & _near(percent))
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = pairs.join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     tested = tested.union(_verify(pairs, sets, docs, k, percent, id_col, text_col))
+    release(left)
     links = tested.where("ok").select("a", "b")
     labels = components(links, "a", "b")
     named = sets.select("sid", "id").join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))

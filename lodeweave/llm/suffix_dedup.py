@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodeweave.llm.common import bitmap_has, materialise, membership_bitmap
+from lodeweave.llm.common import bitmap_has, materialise, membership_bitmap, release
 from lodeweave.llm.shingles import packed, pieces, random_odd, spread
 
 #: Texts of one task that are remembered, so that copies give their anchors once.
@@ -195,7 +195,7 @@ def _repeated(rows: DataFrame, key: list[str], spot: list[str], keep: Column | N
 
 def _doubled(first: DataFrame, shape: Shape) -> DataFrame:
     """Alive anchors: tid, i and the rank of the run that all their strings hold."""
-    level, k, alive = first, 0, None
+    level, k, alive, levels = first, 0, None, []
     most = shape.ahead // (shape.radius + 1) + 1
     while True:
         step = 1 << k
@@ -206,10 +206,13 @@ def _doubled(first: DataFrame, shape: Shape) -> DataFrame:
         done = _repeated(here.withColumnRenamed("rank", "rank1"), ["rank1", "rank2", "run"], ["tid", "i"]).select("tid", "i", "rank")
         alive = done if alive is None else alive.union(done)
         if most < 2 * step:
-            return materialise(alive, "alive")
+            out = materialise(alive, "alive")
+            release(*levels)
+            return out
         other = level.select("tid", (F.col("i") - step).alias("i"), F.col("rank").alias("rank2"))
         pairs = level.withColumnRenamed("rank", "rank1").join(other, ["tid", "i"])
         level = materialise(_repeated(pairs, ["rank1", "rank2"], ["tid", "i"]).select("tid", "i", "run", "rank"), f"ranks-{2 * step}")
+        levels.append(level)
         k += 1
 
 
@@ -339,6 +342,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
     far = first.where(F.col("run") <= _FAR).groupBy("tid").agg(F.collect_list(F.struct(F.col("i").alias("low"), twice.alias("high"))).alias("far"))
     wanted = alive.groupBy("tid").agg(F.collect_list(F.struct("i", "rank")).alias("alive")).join(far, "tid", "full")
     texts = materialise(_fetch(docs, text_col, wanted), "texts")
+    release(first, alive)
     stretches = materialise(_stretches(texts, shape), "stretches")
     # stretches that occur elsewhere settle all their strings; the rest are compared with one of each kind of their run
     spot = F.xxhash64("tid", "i")
@@ -353,6 +357,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
     found = _repeated(strings, ["string"], ["tid", "p"]).select("tid", F.col("p").alias("low"), F.col("p").alias("high"))
     ranges = _ranges(settled.select("tid", "low", "high").union(found).union(far.where("x.high = -1").select("tid", "x.low", "x.high")))
     cleaned = materialise(_cleaned(texts.select("tid", "text").join(ranges, "tid"), shape), "cleaned")
+    release(texts, stretches)
     joined = rows.join(copies.where("copies > 1"), "tid", "left").join(cleaned, "tid", "left")
     whole = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
     everything = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end")))
