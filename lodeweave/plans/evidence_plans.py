@@ -10,6 +10,8 @@ from lodeweave.operators import decide, evidence, retrieve
 from lodeweave.plans.frames import CATALOG, NORMALIZED, TITLES, WORDS, catalog, query_signals, table, titles, with_
 from lodeweave.plans.retrieval_plans import BASE, _cosine_sql, _forms, ranked
 
+#: Most distinct atoms or words that are handed to UDFs as one table.
+MOST_ATOMS = 1_000_000
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
@@ -65,8 +67,11 @@ def _scored(spark: SparkSession, sf: str) -> DataFrame:
     """Candidates of each title with coverage and alignment evidence."""
     s, c = query_signals(spark, sf), catalog(spark, sf)
     posted = retrieve.postings(c, "doc_id", text.atoms(text.normalize(F.col("casting"))))
-    # the weights of name atoms: as many rows as the names have different atoms
-    idf = {r["token"]: r["idf"] for r in retrieve.frequencies(posted).crossJoin(F.broadcast(c.agg(F.count("*").alias("n")))).select("token", maths.idf(F.col("n"), F.col("df")).alias("idf")).collect()}
+    # the weights of name atoms go to the UDF; more than a million different atoms are refused
+    rows = retrieve.frequencies(posted).crossJoin(F.broadcast(c.agg(F.count("*").alias("n")))).select("token", maths.idf(F.col("n"), F.col("df")).alias("idf")).take(MOST_ATOMS + 1)
+    if len(rows) > MOST_ATOMS:
+        raise ValueError("too many different atoms for a shared table of weights")
+    idf = {r["token"]: r["idf"] for r in rows}
     found = decide.candidates(s, c).join(c.select("doc_id", "casting", "alias"), "doc_id")
     names = F.array("casting", "alias")
     run = evidence.window_evidence(idf, max(idf.values(), default=1.0))
@@ -106,7 +111,10 @@ def anchored_admission(spark: SparkSession, sf: str) -> DataFrame:
 def token_segmentation(spark: SparkSession, sf: str) -> DataFrame:
     """Names written together, broken into the catalogue's words again."""
     c = catalog(spark, sf)
-    terms = frozenset(r[0] for r in c.select(F.explode(text.words(F.col("casting")))).distinct().toLocalIterator())  # the words of the names
+    words = c.select(F.explode(text.words(F.col("casting")))).distinct().take(MOST_ATOMS + 1)
+    if len(words) > MOST_ATOMS:
+        raise ValueError("too many different words for a shared table")
+    terms = frozenset(r[0] for r in words)
 
     @F.udf("array<string>", useArrow=True)
     def segment(token):
