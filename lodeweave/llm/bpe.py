@@ -24,6 +24,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodeweave.llm.common import trim
+
 _NEVER = 1 << 60
 
 
@@ -233,13 +235,13 @@ class Codec:
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.encode_bytes(text), dtype="<u4").tolist()
 
-    def forget(self, most: int = 150_000) -> None:
-        """Free large caches at the end of a task: a worker that waits for other work shouldn't hold them."""
-        if len(self.cache) + len(self.cache.older) > most:
-            self.cache.clear()
-            self.cache.older = {}
-        if len(self.coder._fits) > most:
-            self.coder._fits.clear()
+    def forget(self) -> None:
+        """Free the caches at the end of a task: a worker that waits for other work shouldn't hold them."""
+        self.cache.clear()
+        self.cache.older = {}
+        self.coder._fits.clear()
+        self.coder._spines.clear()
+        trim()
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.table.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))

@@ -58,6 +58,18 @@ def delete_scratch(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def trim() -> None:
+    """Give memory that a task has freed back to the system, before the worker waits for other work."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc only
+    if give_back is not None:
+        give_back(0)
+
+
 def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A DataFrame of a few rows made on the driver, as one literal that the JVM parses."""
     names = [x.split()[0] for x in schema.split(",")]

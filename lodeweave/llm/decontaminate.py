@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodeweave.llm.common import trim
+
 WINDOW = 5
 #: Share of an item's windows that a document must hold.
 CONTAINMENT = 0.5
@@ -262,6 +264,8 @@ def without_benchmark(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
             for batch in batches:
                 keep = [not index.matches(template(x.as_py() or "", vocabulary)) for x in batch.column(place)]
                 yield batch.filter(pa.array(keep, pa.bool_()))
+            vocabulary.clear()
+            trim()
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

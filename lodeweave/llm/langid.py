@@ -19,6 +19,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodeweave.llm.common import trim
+
 UNKNOWN = "und"
 #: First and last code points of scripts' letter ranges, and the script's name (fixed values).
 SCRIPT_RANGES = (
@@ -38,7 +40,7 @@ SLOTS = 1 << 16
 #: Least share of letters of a language that a text begins and ends in, to be the text's.
 FRAME_SHARE = 0.2
 #: Code points handled at a time (a longer text is handled alone and whole).
-CHUNK = 2_000_000
+CHUNK = 1_200_000
 
 _LETTER: np.ndarray | None = None
 _SCRIPT: np.ndarray | None = None
@@ -84,6 +86,7 @@ def words_of(texts: list[str]) -> Words:
     last = np.flatnonzero(is_letter & ~after) + 1
     left = np.concatenate([code[:1] * 0 + 32, code[:-1]])
     right = np.concatenate([code[1:], code[:1] * 0 + 32])
+    del before, after
     a, b, c = np.uint32(2654435761), np.uint32(2246822519), np.uint32(3266489917)
 
     def slot(h):
@@ -101,6 +104,7 @@ def words_of(texts: list[str]) -> Words:
         whole = (whole >> np.uint32(16)) & np.uint32(SLOTS - 1)
     else:
         whole = np.zeros(0, dtype=np.uint32)
+    del code, left, right
     ends = np.cumsum([len(t) + 1 for t in texts])
     return Words(first, last, np.searchsorted(ends, first, side="right"), script[points[first]], slots, whole)
 
@@ -303,6 +307,7 @@ def identify(docs: DataFrame, model: Model, id_cols: list[str], text_col: str =
                     + [pa.array([[dict(zip(("start", "end", "lang"), s, strict=True)) for s in g[2]] for g in got], span)],
                     names=[f"_{i}" for i in range(len(id_cols))] + ["lang_pred", "score", "spans"],
                 )
+        trim()
 
     found = source.mapInArrow(run, f"{kinds}, lang_pred string, score double, spans array<struct<start:bigint,end:bigint,lang:string>>")
     return found.withColumnsRenamed({f"_{i}": c for i, c in enumerate(id_cols)})
@@ -321,6 +326,7 @@ def identified(docs: DataFrame, model: Model, text_col: str = "text", penalty: f
             for batch in _parts(whole):
                 got = spans_of(lowered(batch.column(place)), own, penalty)
                 yield batch.filter(pa.array([g[0] != UNKNOWN for g in got], pa.bool_()))
+        trim()
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodeweave.llm.common import bitmap_has, materialise, membership_bitmap, release
+from lodeweave.llm.common import bitmap_has, materialise, membership_bitmap, release, trim
 from lodeweave.llm.components import components
 from lodeweave.llm.shingles import shingle_sets
 
@@ -112,6 +112,7 @@ def describe(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "t
             for block, counts in enumerate(table.reshape(-1, 1 << 16)):
                 row = [None] * 8 + [task, block, _pack(counts)]
                 yield pa.RecordBatch.from_arrays([pa.array([None], id_type), *(pa.array([x], f.type) for x, f in zip(row, kinds, strict=True))], names=["id", *kinds.names])
+        trim()
 
     both = materialise(source.mapInArrow(run, schema), "sets")
     counts = both.where("block is not null").select("task", "block", "counts")
