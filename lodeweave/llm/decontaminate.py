@@ -27,6 +27,8 @@ WINDOW = 5
 CONTAINMENT = 0.5
 #: Literal tokens that a window must have to be looked for.
 LEAST_LITERAL = 3
+#: Tokens more or less at one point of a document's copy.
+MOST_INSERTED = 8
 #: UTF-8 bytes of benchmark text in one broadcast block; a larger benchmark is taken in blocks.
 BLOCK_BYTES = 16 << 20
 #: Words that are a unit when they follow a number (fixed values).
@@ -168,18 +170,33 @@ class Index:
         if len(np.unique(at)) < least:
             return None
         shift = ours - at
-        order = np.argsort(shift, kind="stable")
+        order = np.lexsort((ours, shift))
         ours, at, shift = ours[order], at[order], shift[order]
-        # places where the item may begin: runs of shifts that differ by a few inserted tokens
-        cuts = np.flatnonzero(np.diff(shift) > 8) + 1
+        # each shift by itself, the fullest first and exact ones before others
+        starts = np.flatnonzero(np.diff(shift, prepend=shift[0] - 1))
+        counts = np.diff(starts, append=len(shift))
+        places, theirs = at[:, None] + np.arange(width), ours[:, None] + np.arange(width)
+        equal = ((item.slots[places] == 0) | (item.raw[places] == t.raw[theirs])).all(axis=1)
         best = None
+        for k in np.lexsort((~np.logical_and.reduceat(equal, starts), -counts)).tolist():
+            if counts[k] < least:
+                break
+            part = slice(starts[k], starts[k] + counts[k])
+            same = self._slots_agree(item, t, ours[part], at[part], width)
+            if same is not None:
+                best = (int(counts[k]), same)
+                break
+        # places with a few tokens more or less: runs of shifts, in which each window is used once
+        cuts = np.flatnonzero(np.diff(shift) > MOST_INSERTED) + 1
         for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(shift)], strict=True):
-            n = len(np.unique(at[a:b]))
-            if n < least or (best and best[0] >= n):
+            if shift[a] == shift[b - 1] or len(np.unique(at[a:b])) < max(least, best[0] + 1 if best else 0):
                 continue
-            same = self._slots_agree(item, t, ours[a:b], at[a:b], width)
-            if same is not None:
-                best = (n, same)
+            for chain in _chains(ours[a:b], at[a:b]):
+                if len(chain) < least or (best and best >= (len(chain), True)):
+                    break
+                same = self._slots_agree(item, t, ours[a:b][chain], at[a:b][chain], width)
+                if same is not None and (best is None or (len(chain), same) > best):
+                    best = (len(chain), same)
         return best
 
     @staticmethod
@@ -194,6 +211,38 @@ class Index:
         return all(p[1] == p[2] for p in pairs)
 
 
+def _chains(ours: np.ndarray, at: np.ndarray) -> list[list[int]]:
+    """Alignments of an item with a document, the best first: matches that advance in both, with few changes of shift."""
+    ends: dict[int, tuple[float, int]] = {}  # shift -> the best chain that ends there: its score and last match
+    before = [-1] * len(ours)
+    waiting: list[tuple[int, float, int]] = []
+    us, them = ours.tolist(), at.tolist()
+    last = None
+    for j in np.lexsort((at, ours)).tolist():
+        if us[j] != last:
+            for shift, score, i in waiting:
+                ends[shift] = (score, i)
+            waiting.clear()
+            last = us[j]
+        shift, most, prior = us[j] - them[j], 1.0, -1
+        for change in range(-MOST_INSERTED, MOST_INSERTED + 1):
+            end = ends.get(shift + change)
+            if end and them[end[1]] < them[j] and (score := end[0] + (0.5 if change else 1.0)) > most:
+                most, prior = score, end[1]
+        before[j] = prior
+        waiting.append((shift, most, j))
+    for shift, score, i in waiting:
+        ends[shift] = (score, i)
+    out = []
+    for _, j in sorted(ends.values(), reverse=True):
+        chain = []
+        while j >= 0:
+            chain.append(j)
+            j = before[j]
+        out.append(chain[::-1])
+    return sorted(out, key=len, reverse=True)
+
+
 def blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple]]:
     """The benchmark in blocks of about ``block_bytes`` of text: each is small enough to broadcast."""
     rows = benchmark.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.length("text") > 0)

@@ -272,6 +272,23 @@ def test_decontamination_in_blocks(spark):
     assert {(r.doc_id, r.item_id) for r in decontaminate.find(docs, bench).collect()} >= {(i, i) for i in range(6)}
 
 
+def held(item, doc):
+    """What the index of one item says of one document."""
+    got = decontaminate.Index([(0, item)]).matches(decontaminate.template(doc, decontaminate._Vocabulary()))
+    return got[0][1:] if got else None
+
+
+def test_decontamination_of_repeated_windows():
+    pens = "buy 3 pens at the shop, buy 4 pens at the shop, buy 5 pens at the shop"
+    n = held(pens, pens)[0]
+    assert held(pens, "we " + pens + " today") == (n, True) and held(pens, pens.replace("4", "7")) == (n, False)
+    assert held(pens, pens.replace("3", "4").replace("5", "4")) is None
+    assert held(pens, pens.replace("4 pens at the shop,", "4 pens at the shop or then")) == (n - 4, True)
+    sheet = "What is 3 plus 4? What is 5 plus 6? What is 8 plus 8?"
+    assert held("What is 5 plus 6?", sheet) == (1, True) and held("What is 1 plus 2?", sheet) == (1, False)
+    assert held("What is 9 plus 9?", sheet) == (1, False) and held("What is 9 plus 9?", sheet[:36]) is None
+
+
 # -- 7
 def language_docs(spark, seed=1):
     r = random.Random(seed)
