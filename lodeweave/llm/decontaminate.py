@@ -5,6 +5,10 @@ are matched by hash against those of all documents; where enough of an item's wi
 one place, the slots' values are compared: each value of the item must stand for one value of the
 document and the other way round. So a question is caught with its own values and with others, but
 not a text that merely has numbers in the same places.
+
+Whether a capitalised first word is a name can't be told, and capitals tell no names in a text in one
+case. So windows are looked for in three forms: first words literal, first words as names, and all
+names literal. Windows of the last two forms count where they fit the values of the others.
 """
 
 from __future__ import annotations
@@ -67,12 +71,17 @@ class _Vocabulary(dict):
 
 @dataclass
 class Template:
-    """The template of one text: token hashes with placeholders, slot types (0: literal) and raw tokens."""
+    """The template of one text: token hashes with placeholders, slot types (0: literal), raw tokens and capitalised first words."""
 
     tokens: list[str]
     raw: np.ndarray
     codes: np.ndarray
     slots: np.ndarray
+    first: np.ndarray
+
+    def forms(self) -> np.ndarray:
+        """The codes with first words literal, with first words as names, and with all names literal."""
+        return np.stack([self.codes, np.where(self.first, np.uint64(_NAME), self.codes), np.where(self.slots == 3, self.raw, self.codes)])
 
 
 def template(text: str, vocabulary: _Vocabulary) -> Template:
@@ -93,20 +102,19 @@ def template(text: str, vocabulary: _Vocabulary) -> Template:
     unit = flags & _UNITS > 0
     unit[:1] = False
     unit[1:] &= number[:-1]
-    name = (flags & _CAPITAL > 0) & ~begins & ~unit & ~number
+    capital = (flags & _CAPITAL > 0) & ~unit & ~number
+    name, first = capital & ~begins, capital & begins
     slots = np.where(number, 1, np.where(unit, 2, np.where(name, 3, 0))).astype(np.uint8)
     codes = np.where(number, np.uint64(_NUMBER), np.where(unit, np.uint64(_UNIT), np.where(name, np.uint64(_NAME), raw)))
-    return Template([tokens[i] for i in keep.tolist()] if len(keep) < len(tokens) else tokens, raw, codes, slots)
+    return Template([tokens[i] for i in keep.tolist()] if len(keep) < len(tokens) else tokens, raw, codes, slots, first)
 
 
 def windows(codes: np.ndarray, width: int) -> np.ndarray:
-    """The hash of each window of ``width`` codes."""
-    n = len(codes) - width + 1
-    if n <= 0:
-        return np.zeros(0, dtype=np.uint64)
-    out = np.zeros(n, dtype=np.uint64)
+    """The hash of each window of ``width`` codes (of each row)."""
+    n = max(0, codes.shape[-1] - width + 1)
+    out = np.zeros((*codes.shape[:-1], n), dtype=np.uint64)
     for k in range(width):
-        x = codes[k : k + n] * _POWERS[k]
+        x = codes[..., k : k + n] * _POWERS[k]
         out += x ^ (x >> np.uint64(29))
     out *= _POWERS[width]
     return out ^ (out >> np.uint64(32))
@@ -122,35 +130,49 @@ class Index:
             t = template(text or "", vocabulary)
             width = min(WINDOW, len(t.codes))
             if width:
-                literal = np.convolve(t.slots == 0, np.ones(width, dtype=int), "valid")
-                good = np.flatnonzero(literal >= min(LEAST_LITERAL, width))
-                hashes[width].append(windows(t.codes, width)[good])
-                item[width].append(np.full(len(good), number))
-                place[width].append(good)
+                literal = np.convolve(t.slots == 0, np.ones(width, dtype=int), "valid") >= min(LEAST_LITERAL, width)
+                without_first = np.convolve((t.slots == 0) & ~t.first, np.ones(width, dtype=int), "valid") >= min(LEAST_LITERAL, width)
+                good = np.flatnonzero(literal)
+                own = windows(t.forms(), width)
+                for form, which in zip(own, (literal, without_first & (own[1] != own[0]), literal & (own[2] != own[0])), strict=True):
+                    at = np.flatnonzero(which)
+                    hashes[width].append(form[at])
+                    item[width].append(np.full(len(at), number))
+                    place[width].append(at)
             self.wanted.append(len(good) if width else 0)
             self.items.append((key, t))
         self.by_width = {}
         for width in hashes:
             h = np.concatenate(hashes[width])
             order = np.argsort(h, kind="stable")
-            self.by_width[width] = h[order], np.concatenate(item[width])[order], np.concatenate(place[width])[order]
+            h = h[order]
+            # a table of the hashes' first bits tells most windows of documents apart at once
+            shift = np.uint64(64 - max(10, min(25, (32 * len(h)).bit_length())))
+            seen = np.zeros(1 << (64 - int(shift)), dtype=bool)
+            seen[h >> shift] = True
+            self.by_width[width] = h, np.concatenate(item[width])[order], np.concatenate(place[width])[order], shift, seen
 
     def matches(self, t: Template) -> list[tuple[int, int, bool]]:
         """(number of the item, windows found, whether all slots have the item's own values)."""
         found: dict[int, list[tuple[np.ndarray, np.ndarray]]] = defaultdict(list)
-        for width, (h, item, place) in self.by_width.items():
-            own = windows(t.codes, width)
-            low = np.searchsorted(h, own, "left")
-            hit = np.flatnonzero((low < len(h)) & (h[np.minimum(low, len(h) - 1)] == own)) if len(h) else np.zeros(0, dtype=int)
-            if not len(hit):
+        forms = t.forms()
+        for width, (h, item, place, shift, seen) in self.by_width.items():
+            own = windows(forms, width)
+            n = own.shape[1]
+            own = own.ravel()
+            hit = np.flatnonzero(seen[own >> shift])
+            low = np.searchsorted(h, own[hit], "left")
+            reps = np.searchsorted(h, own[hit], "right") - low
+            if not reps.any():
                 continue
-            high = np.searchsorted(h, own[hit], "right")
-            reps = high - low[hit]
-            ours = np.repeat(hit, reps)
-            theirs = np.repeat(low[hit], reps) + np.arange(len(ours)) - np.repeat(np.cumsum(reps) - reps, reps)
+            ours = np.repeat(hit % n, reps)
+            theirs = np.repeat(low, reps) + np.arange(len(ours)) - np.repeat(np.cumsum(reps) - reps, reps)
             which = item[theirs]
-            order = np.argsort(which, kind="stable")
+            order = np.lexsort((place[theirs], ours, which))
             which, ours, at = which[order], ours[order], place[theirs[order]]
+            more = np.diff(which, prepend=-1) != 0  # a window may be the same in several forms
+            more[1:] |= (np.diff(ours) != 0) | (np.diff(at) != 0)
+            which, ours, at = which[more], ours[more], at[more]
             cuts = np.flatnonzero(np.diff(which)) + 1
             for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(which)], strict=True):
                 found[int(which[a])].append((ours[a:b], at[a:b]))
@@ -176,16 +198,15 @@ class Index:
         starts = np.flatnonzero(np.diff(shift, prepend=shift[0] - 1))
         counts = np.diff(starts, append=len(shift))
         places, theirs = at[:, None] + np.arange(width), ours[:, None] + np.arange(width)
-        equal = ((item.slots[places] == 0) | (item.raw[places] == t.raw[theirs])).all(axis=1)
+        equal = (item.raw[places] == t.raw[theirs]).all(axis=1)
         best = None
         for k in np.lexsort((~np.logical_and.reduceat(equal, starts), -counts)).tolist():
-            if counts[k] < least:
+            if counts[k] < least or (best and best[0] >= counts[k]):
                 break
             part = slice(starts[k], starts[k] + counts[k])
-            same = self._slots_agree(item, t, ours[part], at[part], width)
-            if same is not None:
-                best = (int(counts[k]), same)
-                break
+            got = self._agreeing(item, t, ours[part], at[part], width)
+            if got and got[0] >= least and (best is None or got > best):
+                best = got
         # places with a few tokens more or less: runs of shifts, in which each window is used once
         cuts = np.flatnonzero(np.diff(shift) > MOST_INSERTED) + 1
         for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(shift)], strict=True):
@@ -194,21 +215,43 @@ class Index:
             for chain in _chains(ours[a:b], at[a:b]):
                 if len(chain) < least or (best and best >= (len(chain), True)):
                     break
-                same = self._slots_agree(item, t, ours[a:b][chain], at[a:b][chain], width)
-                if same is not None and (best is None or (len(chain), same) > best):
-                    best = (len(chain), same)
+                got = self._agreeing(item, t, ours[a:b][chain], at[a:b][chain], width)
+                if got and got[0] >= least and (best is None or got > best):
+                    best = got
         return best
 
     @staticmethod
-    def _slots_agree(item: Template, t: Template, ours: np.ndarray, at: np.ndarray, width: int) -> bool | None:
-        """None if a value stands for two; else whether all values are equal."""
+    def _agreeing(item: Template, t: Template, ours: np.ndarray, at: np.ndarray, width: int) -> tuple[int, bool] | None:
+        """How many windows of an alignment agree and whether all their values are equal; None if a value stands for two.
+
+        Windows that are the same only with first words as names or with names literal are left out
+        where they don't fit the others.
+        """
         steps = np.arange(width)
-        a, b = (at[:, None] + steps).ravel(), (ours[:, None] + steps).ravel()
-        slot = item.slots[a] > 0
-        pairs = set(zip(item.slots[a][slot].tolist(), item.raw[a][slot].tolist(), t.raw[b][slot].tolist(), strict=True))
-        if len({p[:2] for p in pairs}) < len(pairs) or len({(p[0], p[2]) for p in pairs}) < len(pairs):
+        a, b = at[:, None] + steps, ours[:, None] + steps
+        kinds, x, y = np.where(item.first[a], 3, item.slots[a]), item.raw[a], t.raw[b]
+        sure = (item.codes[a] == t.codes[b]).all(axis=1)
+        slot = item.slots[a[sure]] > 0
+        pairs = set(zip(kinds[sure][slot].tolist(), x[sure][slot].tolist(), y[sure][slot].tolist(), strict=True))
+        there, back = {p[:2]: p[2] for p in pairs}, {(p[0], p[2]): p[1] for p in pairs}
+        if len(there) < len(pairs) or len(back) < len(pairs):
             return None
-        return all(p[1] == p[2] for p in pairs)
+        n, same = int(sure.sum()), all(p[1] == p[2] for p in pairs)
+        if n == len(sure):
+            return n, same
+        for word in np.unique(x[sure][item.first[a[sure]]]).tolist():  # first words that stay
+            there.setdefault((3, word), word)
+            back.setdefault((3, word), word)
+        for i in np.flatnonzero(~sure).tolist():
+            slot = kinds[i] > 0
+            pairs = set(zip(kinds[i][slot].tolist(), x[i][slot].tolist(), y[i][slot].tolist(), strict=True))
+            new, new_back = {p[:2]: p[2] for p in pairs}, {(p[0], p[2]): p[1] for p in pairs}
+            if len(new) == len(new_back) == len(pairs) and all(there.get(k, v) == v for k, v in new.items()) and all(back.get(k, v) == v for k, v in new_back.items()):
+                there |= new
+                back |= new_back
+                n += 1
+                same = same and all(p[1] == p[2] for p in pairs)
+        return n, same
 
 
 def _chains(ours: np.ndarray, at: np.ndarray) -> list[list[int]]:

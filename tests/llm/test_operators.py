@@ -289,6 +289,19 @@ def test_decontamination_of_repeated_windows():
     assert held("What is 9 plus 9?", sheet) == (1, False) and held("What is 9 plus 9?", sheet[:36]) is None
 
 
+def test_decontamination_of_first_words_and_capitals():
+    item = "Maria bakes 12 cakes every day. Maria sells 5 cakes per shop. Maria gives 2 cakes to Tom. How many are left?"
+    other = item.replace("Maria", "Petra")
+    n = held(item, item)[0]
+    assert n == 18 and held(item, other) == (n, False) and held(item, other.replace("12", "30")) == (n, False)
+    assert held(item, other.replace("Petra sells", "Anna sells"))[0] < n  # doesn't fit the other values
+    assert held(item, item.upper()) == held(item, item.lower()) == (n, True) and held(item, item.upper().replace("12", "30")) == (n, False)
+    article = "The shop near the river sells 5 pens. The man who owns the shop buys 3 more of them from Tom. The rest is lost."
+    assert held(article, article.replace("The man", "One man"))[0] >= held(article, article)[0] - 5
+    inside = "Alice has 12 apples and gives 5 kg of them to Bob near the river bank. How many apples does Alice have left?"
+    assert held(inside, "Intro. " + inside.upper()) == (*held(inside, inside)[:1], True)
+
+
 # -- 7
 def language_docs(spark, seed=1):
     r = random.Random(seed)
