@@ -9,6 +9,10 @@ not a text that merely has numbers in the same places.
 Whether a capitalised first word is a name can't be told, and capitals tell no names in a text in one
 case. So windows are looked for in three forms: first words literal, first words as names, and all
 names literal. Windows of the last two forms count where they fit the values of the others.
+
+Copies word for word are found beside that: items without a window of enough literals (numbers, lists
+of values or names) are looked for by windows of their raw tokens, and 13 raw tokens in a row of any
+item are enough, whatever their share of the item.
 """
 
 from __future__ import annotations
@@ -31,6 +35,9 @@ WINDOW = 5
 CONTAINMENT = 0.5
 #: Literal tokens that a window must have to be looked for.
 LEAST_LITERAL = 3
+#: A run of raw tokens that is enough by itself is so many windows, each of which shares a token with the next: 13 tokens.
+RUN_WINDOWS = 3
+RUN = WINDOW + (RUN_WINDOWS - 1) * (WINDOW - 1)
 #: Tokens more or less at one point of a document's copy.
 MOST_INSERTED = 8
 #: UTF-8 bytes of benchmark text in one broadcast block; a larger benchmark is taken in blocks.
@@ -80,8 +87,8 @@ class Template:
     first: np.ndarray
 
     def forms(self) -> np.ndarray:
-        """The codes with first words literal, with first words as names, and with all names literal."""
-        return np.stack([self.codes, np.where(self.first, np.uint64(_NAME), self.codes), np.where(self.slots == 3, self.raw, self.codes)])
+        """The codes with first words literal, with first words as names, with all names literal, and the raw tokens."""
+        return np.stack([self.codes, np.where(self.first, np.uint64(_NAME), self.codes), np.where(self.slots == 3, self.raw, self.codes), self.raw])
 
 
 def template(text: str, vocabulary: _Vocabulary) -> Template:
@@ -109,81 +116,122 @@ def template(text: str, vocabulary: _Vocabulary) -> Template:
     return Template([tokens[i] for i in keep.tolist()] if len(keep) < len(tokens) else tokens, raw, codes, slots, first)
 
 
-def windows(codes: np.ndarray, width: int) -> np.ndarray:
-    """The hash of each window of ``width`` codes (of each row)."""
-    n = max(0, codes.shape[-1] - width + 1)
+def windows(codes: np.ndarray, width: int, step: int = 1) -> np.ndarray:
+    """The hash of each window of ``width`` codes, ``step`` apart (of each row)."""
+    n = max(0, codes.shape[-1] - (width - 1) * step)
     out = np.zeros((*codes.shape[:-1], n), dtype=np.uint64)
     for k in range(width):
-        x = codes[..., k : k + n] * _POWERS[k]
+        x = codes[..., k * step : k * step + n] * _POWERS[k]
         out += x ^ (x >> np.uint64(29))
     out *= _POWERS[width]
     return out ^ (out >> np.uint64(32))
 
 
+class _Table:
+    """Hashes of windows with the items and places that they stand for."""
+
+    def __init__(self, hashes: list[np.ndarray], items: list[np.ndarray], places: list[np.ndarray]):
+        h = np.concatenate(hashes)
+        order = np.argsort(h, kind="stable")
+        self.hashes, self.items, self.places = h[order], np.concatenate(items)[order], np.concatenate(places)[order]
+        # a table of the hashes' first bits tells most windows of documents apart at once
+        self.shift = np.uint64(64 - max(10, min(25, (32 * len(h)).bit_length())))
+        self.seen = np.zeros(1 << (64 - int(self.shift)), dtype=bool)
+        self.seen[h >> self.shift] = True
+
+    def matches(self, own: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(item, places in the document, places in the item) of the windows of a document, given in one or more forms."""
+        n = own.shape[-1]
+        own = own.ravel()
+        hit = np.flatnonzero(self.seen[own >> self.shift])
+        low = np.searchsorted(self.hashes, own[hit], "left")
+        reps = np.searchsorted(self.hashes, own[hit], "right") - low
+        if not reps.any():
+            return
+        ours = np.repeat(hit % n, reps)
+        theirs = np.repeat(low, reps) + np.arange(len(ours)) - np.repeat(np.cumsum(reps) - reps, reps)
+        which, at = self.items[theirs], self.places[theirs]
+        order = np.lexsort((at, ours, which))
+        which, ours, at = which[order], ours[order], at[order]
+        more = np.diff(which, prepend=-1) != 0  # a window may be the same in several forms
+        more[1:] |= (np.diff(ours) != 0) | (np.diff(at) != 0)
+        which, ours, at = which[more], ours[more], at[more]
+        cuts = np.flatnonzero(np.diff(which)) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(which)], strict=True):
+            yield int(which[a]), ours[a:b], at[a:b]
+
+
 class Index:
     """The windows of one block of the benchmark."""
 
     def __init__(self, items: list[tuple[object, str | None]]):
         vocabulary = _Vocabulary()
-        self.items, hashes, item, place, self.wanted = [], defaultdict(list), defaultdict(list), defaultdict(list), []
+        self.items, self.good, self.wanted = [], [], []
+        by_width, runs = defaultdict(lambda: ([], [], [])), ([], [], [])
+
+        def add(to: tuple[list, list, list], number: int, form: np.ndarray, which: np.ndarray) -> None:
+            at = np.flatnonzero(which)
+            for column, value in zip(to, (form[at], np.full(len(at), number), at), strict=True):
+                column.append(value)
+
         for number, (key, text) in enumerate(items):
             t = template(text or "", vocabulary)
             width = min(WINDOW, len(t.codes))
+            good = np.zeros(0, dtype=bool)
             if width:
-                literal = np.convolve(t.slots == 0, np.ones(width, dtype=int), "valid") >= min(LEAST_LITERAL, width)
+                good = np.convolve(t.slots == 0, np.ones(width, dtype=int), "valid") >= min(LEAST_LITERAL, width)
                 without_first = np.convolve((t.slots == 0) & ~t.first, np.ones(width, dtype=int), "valid") >= min(LEAST_LITERAL, width)
-                good = np.flatnonzero(literal)
                 own = windows(t.forms(), width)
-                for form, which in zip(own, (literal, without_first & (own[1] != own[0]), literal & (own[2] != own[0])), strict=True):
-                    at = np.flatnonzero(which)
-                    hashes[width].append(form[at])
-                    item[width].append(np.full(len(at), number))
-                    place[width].append(at)
-            self.wanted.append(len(good) if width else 0)
+                if good.any():
+                    add(by_width[width], number, own[0], good)
+                    add(by_width[width], number, own[1], without_first & (own[1] != own[0]))
+                    add(by_width[width], number, own[2], good & (own[2] != own[0]))
+                else:  # nothing but slots: word for word only
+                    good = np.ones(len(good), dtype=bool)
+                    add(by_width[width], number, own[3], good)
+                if len(t.codes) >= RUN:
+                    run = windows(own[3], RUN_WINDOWS, WINDOW - 1)
+                    add(runs, number, run, np.ones(len(run), dtype=bool))
+            self.good.append(good)
+            self.wanted.append(int(good.sum()))
             self.items.append((key, t))
-        self.by_width = {}
-        for width in hashes:
-            h = np.concatenate(hashes[width])
-            order = np.argsort(h, kind="stable")
-            h = h[order]
-            # a table of the hashes' first bits tells most windows of documents apart at once
-            shift = np.uint64(64 - max(10, min(25, (32 * len(h)).bit_length())))
-            seen = np.zeros(1 << (64 - int(shift)), dtype=bool)
-            seen[h >> shift] = True
-            self.by_width[width] = h, np.concatenate(item[width])[order], np.concatenate(place[width])[order], shift, seen
+        self.by_width = {width: _Table(*columns) for width, columns in by_width.items()}
+        self.runs = _Table(*runs) if runs[0] else None
 
     def matches(self, t: Template) -> list[tuple[int, int, bool]]:
         """(number of the item, windows found, whether all slots have the item's own values)."""
-        found: dict[int, list[tuple[np.ndarray, np.ndarray]]] = defaultdict(list)
+        found: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        copied: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         forms = t.forms()
-        for width, (h, item, place, shift, seen) in self.by_width.items():
+        for width, table in self.by_width.items():
             own = windows(forms, width)
-            n = own.shape[1]
-            own = own.ravel()
-            hit = np.flatnonzero(seen[own >> shift])
-            low = np.searchsorted(h, own[hit], "left")
-            reps = np.searchsorted(h, own[hit], "right") - low
-            if not reps.any():
-                continue
-            ours = np.repeat(hit % n, reps)
-            theirs = np.repeat(low, reps) + np.arange(len(ours)) - np.repeat(np.cumsum(reps) - reps, reps)
-            which = item[theirs]
-            order = np.lexsort((place[theirs], ours, which))
-            which, ours, at = which[order], ours[order], place[theirs[order]]
-            more = np.diff(which, prepend=-1) != 0  # a window may be the same in several forms
-            more[1:] |= (np.diff(ours) != 0) | (np.diff(at) != 0)
-            which, ours, at = which[more], ours[more], at[more]
-            cuts = np.flatnonzero(np.diff(which)) + 1
-            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(which)], strict=True):
-                found[int(which[a])].append((ours[a:b], at[a:b]))
+            for number, ours, at in table.matches(own):
+                found[number] = ours, at
+            if width == WINDOW and self.runs:
+                for number, ours, at in self.runs.matches(windows(own[3], RUN_WINDOWS, WINDOW - 1)):
+                    copied[number] = ours, at
         out = []
-        for number in sorted(found):
-            ours, at = (np.concatenate(x) for x in zip(*found[number], strict=True))
-            got = self._placed(number, t, ours, at)
+        for number in sorted(found.keys() | copied.keys()):
+            got = self._placed(number, t, *found[number]) if number in found else None
+            if number in copied and (got is None or got < (self.wanted[number], True)):
+                run = self._copied(number, *copied[number])
+                got = run if got is None else max(got, run)
             if got:
                 out.append((number, *got))
         return out
 
+    def _copied(self, number: int, ours: np.ndarray, at: np.ndarray) -> tuple[int, bool]:
+        """The windows of an item that lie in runs of its raw tokens at one place of a document."""
+        good, most = self.good[number], 0
+        shift = ours - at
+        for one in np.unique(shift).tolist():
+            inside = np.zeros(len(good) + 1, dtype=int)
+            begin = at[shift == one]
+            np.add.at(inside, begin, 1)
+            np.add.at(inside, begin + RUN - WINDOW + 1, -1)
+            most = max(most, int((good & (np.cumsum(inside[:-1]) > 0)).sum()))
+        return most, True
+
     def _placed(self, number: int, t: Template, ours: np.ndarray, at: np.ndarray) -> tuple[int, bool] | None:
         """The best place of an item in a document that holds enough windows and whose slots agree."""
         item, wanted = self.items[number][1], self.wanted[number]
@@ -311,9 +359,10 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     """One row for each document and benchmark item that it holds: both ids, ``windows`` found, ``of_windows``, ``exact``.
 
     Whole texts are scanned without a shuffle, once for each block of the benchmark. Null and empty
-    texts and items hold and are held by nothing, as are items without a window of three literal
-    tokens. An item shorter than a window is one window. Repeated documents and items each give rows.
-    Empty tables give none. Other columns are ignored.
+    texts and items hold and are held by nothing. An item shorter than a window is one window; one without
+    a window of three literal tokens is looked for word for word. ``windows`` counts those found with
+    half of the item's, or those inside 13 or more of its raw tokens in a row. Repeated documents and
+    items each give rows. Empty tables give none. Other columns are ignored.
     """
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_kind = source.schema["id"].dataType.simpleString()

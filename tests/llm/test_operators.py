@@ -302,6 +302,18 @@ def test_decontamination_of_first_words_and_capitals():
     assert held(inside, "Intro. " + inside.upper()) == (*held(inside, inside)[:1], True)
 
 
+def test_decontamination_word_for_word():
+    assert held("What is 3 + 4", "Q: what is 3 + 4? A: 7") == (1, True) and held("What is 3 + 4", "Q: what is 3 + 5? A: 8") is None
+    values = "12 kg 7 kg 3.5 9 1,000 44 8 15 6 2"
+    assert held(values, f"Weights: {values}.")[1] and held(values, f"Weights: {values.replace('kg', 'lb').replace('44', '45').replace('9', '6')}.") is None
+    names = "Present: Tom Anna Peter Maria John Paul"
+    assert held(names, "he wrote Present Tom Anna Peter Maria John Paul on it")[1] and held(names, names.upper())[1]
+    assert held(names, "Present: Tom Carol Dave Maria Frank Paul") is None
+    words = [f"{c}{d}ord" for c in "abcdefghij" for d in "abcdefghijklmnopqrst"]
+    assert held(" ".join(words), "so " + " ".join(words[40:130]) + " end") == (86, True)
+    assert held(" ".join(words), "so " + " ".join(words[40:53]) + " end") == (9, True) and held(" ".join(words), "so " + " ".join(words[40:52]) + " end") is None
+
+
 # -- 7
 def language_docs(spark, seed=1):
     r = random.Random(seed)
