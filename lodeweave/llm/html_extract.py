@@ -2,8 +2,9 @@
 
 Every block that holds text of its own is a paragraph. It earns points for length and commas and
 passes them to its ancestors, in full to the nearest, then half, then less. A container's total,
-weighted by its tag and names and discounted by its link density, is its score; the best container
-is kept together with those siblings that score well beside it. Boilerplate (menus, page headers and
+weighted by its tag and names and discounted by its link density, is its score; the best container,
+or the whole article or main element that it lies in, is kept together with those siblings that score
+well beside it. Boilerplate (menus, page headers and
 footers, sidebars, notices, adverts, forms, scripts, reader comments) is cut before scoring, by
 element, role and whole words of class and id.
 """
@@ -263,13 +264,27 @@ def _total(node: Node) -> float:
     return worth * (1 - node.linked / node.chars) if node.chars else 0.0
 
 
+def _whole(node: Node) -> Node:
+    """The outermost article around a container, or else the outermost main element; without either the container itself."""
+    article = main = None
+    up: Node | None = node
+    while up is not None:
+        roles = _names(up)[1]
+        if up.tag == "article" or "article" in roles:
+            article = up
+        elif up.tag == "main" or "main" in roles:
+            main = up
+        up = up.parent
+    return article or main or node
+
+
 def best(order: list[Node]) -> list[Node]:
-    """The best container and its good siblings, in page order; empty if the page has no text."""
+    """The best container (with all of the article that it lies in) and its good siblings, in page order; empty if the page has no text."""
     totals = [(_total(x), -i) for i, x in enumerate(order) if x.points > 0 and x.tag not in INLINE]
     if not totals:
         return [x for x in order[:1] if x.chars]
     most, at = max(totals)
-    top = order[-at]
+    top = _whole(order[-at])
     if top.parent is None or top.tag == "body":
         return [top]
     kept = []

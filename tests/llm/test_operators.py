@@ -463,6 +463,17 @@ def test_html(spark):
     assert html_extract.extract(df).count() == len(pages) and html_extract.extract(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("around", ["<article>|</article>", "<main>|</main>", "<div role='main'>|</div>", "<main><article>|</article></main>"])
+@pytest.mark.parametrize("n", [2, 20, 200])
+def test_html_keeps_the_article_whole(around, n):
+    long = "A paragraph, with commas, and with words, that is long enough, to count in full, for the container it lies in."
+    rest = ["Short end.", "one", "two", "cell", "Quote"]
+    inner = f"<div><p>{'</p><p>'.join([long] * n)}</p></div><nav>menu</nav><div class=sidebar><p>{long}</p></div>"
+    inner += "<div><p>Short end.</p></div><ul><li>one<li>two</ul><table><tr><td>cell</table><blockquote>Quote</blockquote>"
+    page = f"<html><body><header>Site</header><div>{around.replace('|', '<h1>Title</h1>' + inner)}</div><footer>f</footer></body></html>"
+    assert html_extract.main_text(page).split("\n") == ["Title", *[long] * n, *rest]
+
+
 # -- shared
 def test_bitmap(spark):
     import numpy as np
