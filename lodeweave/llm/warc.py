@@ -7,7 +7,8 @@ a separator behind each row; a member's last byte is the top byte of its length
 an empty member behind it).
 
 The reader checks each member and record. Where a check fails it looks for the next valid member or
-version line, goes on from there, and gives the bytes that it skipped as a quarantined gap.
+version line, goes on from there, and gives the bytes that it skipped as a quarantined gap. Inside a
+member of several records it looks in the decompressed data.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ _EMPTY_MEMBER = zlib.compressobj(6, zlib.DEFLATED, 31).flush()
 _CONTROL = re.compile(r"[\x00-\x20\x7f]")
 #: Bytes decompressed at a time.
 _STEP = 1 << 16
+#: A version line is no longer than this.
+_LINE = 32
 
 
 def record(page_id, url: str | None, payload: bytes, digest: str, size: int, refers_to=None, revisit: bool = False, date: str = "1970-01-01T00:00:00Z") -> bytes:
@@ -151,41 +154,76 @@ def _next_start(data: bytes, at: int) -> int:
     return line_at
 
 
+def _member(data: bytes, at: int) -> tuple[list[tuple[str | None, dict | None, bytes | None]], int]:
+    """(fault, headers, block) of what the member at ``at`` holds, gaps without headers, and where it ends.
+
+    Behind a bad record the next version line of the decompressed data is looked for. A damaged member
+    gives what was decompressed and ends where the next one begins.
+    """
+    coder, pos, rest, out = zlib.decompressobj(31), at, b"", []
+    past, broken, lost = 0, None, None  # decompressed bytes before ``rest``; the member's fault; the open gap's fault and begin
+
+    def gap(until: int) -> None:
+        if until > lost[1]:
+            out.append((f"{lost[0]}: bytes {lost[1]} to {until} of the member's data", None, None))
+
+    while not (broken or coder.eof):
+        try:
+            piece = coder.unconsumed_tail or data[pos : pos + _STEP]
+            if not coder.unconsumed_tail:
+                pos += len(piece)
+            if piece:
+                rest += coder.decompress(piece, 1 << 22)
+            else:
+                broken = "the member is cut off"
+        except zlib.error as e:
+            broken = str(e)
+        last, done = bool(broken or coder.eof), 0
+        while done < len(rest):
+            got, fault = None, broken or "the record is cut off"
+            try:
+                got = _parse(rest, done)
+                if got is None and not last:
+                    break
+            except _Bad as e:
+                fault = str(e)
+            if got is not None:
+                if lost:
+                    gap(past + done)
+                    lost = None
+                out.append((None, *got[:2]))
+                done = got[2]
+                continue
+            lost = lost or (fault, past + done)
+            line = _VERSION.search(rest, done + 1)
+            if line is None and not last:
+                done = max(done, len(rest) - _LINE)
+                break
+            done = line.start() if line else len(rest)
+        rest, past = rest[done:], past + done
+    if lost:
+        if broken and lost[0] != broken:
+            lost = (f"{lost[0]}; {broken}", lost[1])
+        gap(past)
+    if not broken:
+        return out, pos - len(coder.unused_data)
+    if not lost:
+        out.append((broken, None, None))
+    return out, max(at + 1, _next_start(data, at + 1))
+
+
 def salvage(data: bytes) -> Iterator[tuple[int, int, str | None, dict | None, bytes | None]]:
     """(offset, length, fault, headers, block) of each record, and of each gap with its fault and no headers.
 
-    Records of one member share its offset and length. Gaps and members together cover the archive.
+    Records of one member share its offset and length, as do the gaps between them, whose faults say which
+    of the decompressed bytes they are. Gaps and members together cover the archive.
     """
     at, n = 0, len(data)
     while at < n:
-        fault = None
         if data.startswith(_MAGIC, at):
-            coder, pos, rest, found = zlib.decompressobj(31), at, b"", []
-            try:
-                while not coder.eof:
-                    piece = coder.unconsumed_tail or data[pos : pos + _STEP]
-                    if not coder.unconsumed_tail:
-                        pos += len(piece)
-                    if not piece:
-                        raise _Bad("the member is cut off")
-                    rest += coder.decompress(piece, 1 << 22)
-                    done = 0
-                    while done < len(rest):
-                        got = _parse(rest, done)
-                        if got is None:
-                            break
-                        found.append(got[:2])
-                        done = got[2]
-                    rest = rest[done:]
-                if rest:
-                    raise _Bad("the record is cut off")
-            except (zlib.error, _Bad) as e:
-                fault = str(e)
-            end = pos - len(coder.unused_data) if fault is None else max(at + 1, _next_start(data, at + 1))
-            for headers, block in found:
-                yield at, end - at, None, headers, block
-            if fault is not None:
-                yield at, end - at, fault, None, None
+            found, end = _member(data, at)
+            for fault, headers, block in found:
+                yield at, end - at, fault, headers, block
             at = end
             continue
         try:

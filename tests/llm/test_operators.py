@@ -230,6 +230,28 @@ def test_warc_salvage(mode):
         assert all(b in blocks for *_, h, b in out if h and "warc-block-digest" in h)
 
 
+@pytest.mark.parametrize("damage", ["block", "length", "longer", "version", "endless"])
+def test_warc_salvage_inside_a_member(damage):
+    r = random.Random(1)
+    payloads = [bytes(r.randrange(256) for _ in range(n)) for n in (50, 900, 4000, 0, 300, 100_000, 70)]
+    records = [warc.record(i, f"http://x/{i}", p, hashlib.sha256(p).hexdigest(), len(p)) for i, p in enumerate(payloads)]
+    length = re.search(rb"(?m)^Content-Length: (\d+)\r\nX-Page", records[2])[1]
+    new = {
+        "block": records[2].replace(payloads[2][:9], b"123456789"), "length": records[2].replace(b": " + length, b": 17"), "longer": records[2].replace(b": " + length, b": 4500"),
+        "version": records[2].replace(b"WARC/1.1", b"WARX/1.1", 1), "endless": records[2].replace(b": " + length, b": 99999999"),
+    }[damage]
+    assert new != records[2]
+    whole = b"".join([*records[:2], new, *records[3:5], new, *records[5:]])
+    data = warc.member(whole) + warc.member(records[2])
+    out = list(warc.salvage(data))
+    assert [h["x-page-id"] for *_, h, _ in out if h] == ["0", "1", "3", "4", "5", "6", "2"]
+    begin = len(records[0] + records[1])
+    assert [f.split(": ")[-1] for _, _, f, h, _ in out if not h] == [f"bytes {x} to {x + len(new)} of the member's data" for x in (begin, begin + len(new + records[3] + records[4]))]
+    assert {(o, n) for o, n, *_ in out} == {(0, len(warc.member(whole))), (len(warc.member(whole)), len(warc.member(records[2])))}
+    half = list(warc.salvage(data[: len(warc.member(whole)) // 2]))  # cut off in the long record
+    assert [h["x-page-id"] for *_, h, _ in half if h] == ["0", "1", "3", "4"] and "the member is cut off" in half[-1][2]
+
+
 # -- 5
 def test_sharding(spark):
     r = random.Random(2)
