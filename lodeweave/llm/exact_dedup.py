@@ -3,9 +3,11 @@
 Built from DataFrame functions only. Every row becomes an entry (key hash, digest, normalised text)
 in the shared folder. A directory indexed by the leading bits of the key doubles until no bucket
 holds more bytes than its capacity, or until it can't be split further because one key fills it.
-Owner tasks then take the entries of their buckets: entries of one key are chained by comparing the
-texts byte for byte, so that texts whose keys collide stay apart. Copies are counted before the
-exchange, so a text that a third of all rows share is one row for each task.
+The directory is computed from a histogram of the keys and labels each chain with its bucket; it
+doesn't deal out the work. Groups come from a plain groupBy over key and text, which compares texts
+byte for byte, so that texts whose keys collide stay apart. Copies are counted before the exchange, so
+a text that a third of all rows share is one row for each task. Entries find their groups by key and
+SHA-256 digest.
 """
 
 from __future__ import annotations
