@@ -292,8 +292,10 @@ def _labelled(buckets: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 
 def link(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """The rows (id, row, sid, n, label, component) and the verified links between sets (a, b).
+    """The rows (id, row, sid, n, label, component) and verified links between sets (a, b) that span each component.
 
+    The links are not all true links: two sets that are in one component already are not compared with
+    each other, so their number says nothing of how many links a document has.
     ``label`` names a component by its smallest set. ``component`` is the smallest id that a row reaches by links; of an empty set its own id. Null
     and empty texts have empty sets, linked with nothing. Null ids are passed over as the smallest,
     unless a component has no other. Repeated rows are one class. An empty table gives no rows.
