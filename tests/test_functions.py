@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodeweave.functions import exact, hashing, maths, text
-from lodeweave.operators import decide, keep, measure, retrieve
+from lodeweave.operators import decide, evidence, keep, measure, retrieve
 
 
 def one(spark, *columns, **values):
@@ -104,3 +104,17 @@ def test_append_once(spark):
     a = spark.createDataFrame([("1",), ("2",)], "h string")
     b = spark.createDataFrame([("2",), ("3",), ("3",)], "h string")
     assert sorted(r.h for r in keep.append_once(keep.append_once(a, b, "h"), b, "h").collect()) == ["1", "2", "3"]
+
+
+def test_support_of_long_queries(spark):
+    words = [f"t{i}" for i in range(20)]
+    held = spark.createDataFrame([("a", "t1\x1ft15\x1ft19"), ("b", "t18"), ("c", "t19\x1ft1"), ("d", "t2\x1ft3\x1ft4\x1ft5")], "key string, subset string")
+    queries = spark.createDataFrame([(1, words), (2, words[:18]), (3, ["t18"]), (4, []), (5, ["t19", "x", "t1"])], "query_id long, tokens array<string>")
+    got = {r.query_id: (r.authorities, r.status) for r in evidence.support(queries, held, "key").collect()}
+    assert got == {1: (2, "ambiguous"), 2: (0, "empty"), 3: (1, "singleton"), 4: (0, "empty"), 5: (1, "singleton")}
+
+
+def test_dense_takes_all_queries(spark):
+    queries = spark.range(20_001).selectExpr("cast(id as string) AS query_id", "array(1D, cast(id AS double)) AS vec")
+    docs = spark.createDataFrame([("d", [1.0, 0.0])], "doc_id string, vec array<double>")
+    assert retrieve.dense(queries, docs, 1).count() == 20_001
