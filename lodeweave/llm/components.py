@@ -17,13 +17,14 @@ def _written(edges: DataFrame) -> tuple[DataFrame, tuple]:
     return out, tuple(seen.get.values())
 
 
-def components(edges: DataFrame, u: str = "u", v: str = "v", rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, u: str = "u", v: str = "v", rounds: int = 200) -> DataFrame:
     """``node`` and ``label`` (the smallest node of its component) for every node of an edge but the smallest itself.
 
     Each round attaches nodes to smaller neighbours, so components of any shape collapse to stars in
     a number of rounds that grows with the logarithm of their size. Only counts reach the driver;
     a hub's smallest neighbour is found with partial sums, and its edges come back by a join that
-    can be split. Edges are written to the shared folder each round.
+    can be split. Edges are written to the shared folder each round. Should ``rounds`` not be enough,
+    that is an error: labels that haven't settled are never returned.
     """
     pairs = edges.select(F.least(u, v).alias("u"), F.greatest(u, v).alias("v")).where("u < v").distinct()
     now, state = _written(pairs)
@@ -42,4 +43,6 @@ def components(edges: DataFrame, u: str = "u", v: str = "v", rounds: int = 60) -
         last = now
         now, state = _written(small)
         release(last)
+    else:
+        raise RuntimeError(f"components haven't settled after {rounds} rounds")
     return now.select(F.col("v").alias("node"), F.col("u").alias("label"))

@@ -6,12 +6,19 @@ similarity of at least t share a shingle in their prefixes of n - ceil(t n) + 1
 meet in the buckets of their prefix shingles.
 
 A group of near copies would fill a bucket with all its pairs. Only links between components matter,
-so a bucket first compares all its members to its most central one, whose shingles are the commonest
-on the whole (a star). Members of one component need no further comparison; what still differs is
-compared pair by pair. Length, positional and suffix filters are conditions of the join; each pair
-that is left is verified once, on the words of both texts. The suffix filter compares the shingle
-counts in 256 parts of the hash range: each unit of difference is a shingle that only one set has. The
-join itself compares their parities, which are a few integers; the counts follow for pairs that pass.
+so a bucket first compares all its members to its most central one, its pivot, whose shingles are the
+commonest on the whole (a star). Members of one component need no further comparison. In a bucket of
+few members, what still differs is compared pair by pair. In a larger one, prefix filtering is applied
+once more, to the shingles in which a member differs from the pivot p: similar sets a and b differ in
+at most D = (1 - t) / (1 + t) (|a| + |b|) shingles, so the differences A = a ^ p and B = b ^ p share
+at least (|A| + |B| - D) / 2 shingles. Were that nothing, both were linked to p and in one component.
+So members meet in the rarest of their differences (what p lacks comes before what p has), and near
+copies with edits of their own never meet. See ``around_pivots``.
+
+Length, positional and suffix filters are conditions of the joins; each pair that is left is verified
+once, on the words of both texts. The suffix filter compares the shingle counts in 256 parts of the
+hash range: each unit of difference is a shingle that only one set has. The join itself compares their
+parities, which are a few integers; the counts follow for pairs that pass.
 """
 
 from __future__ import annotations
@@ -35,6 +42,11 @@ from lodeweave.llm.shingles import shingle_sets
 COUNT_BITS = 21
 #: The suffix filter's parities, 64 to a column.
 PARITIES = ("q0", "q1", "q2", "q3")
+#: Shingles of this order of magnitude and above (of the hashed counts) may fill a bucket: their rows are salted.
+HOT_ORDER = 9
+SALTS = 1024
+#: Buckets with up to so many members that still differ are compared pair by pair, larger ones by differences from the pivot.
+BUCKET = 48
 #: Distinct sets of one task that are remembered, so that copies give their prefix once.
 REMEMBERED = 500_000
 
@@ -148,15 +160,15 @@ def _orders(counts: DataFrame) -> np.ndarray:
 
 def prefixes(docs: DataFrame, orders: np.ndarray, k: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The prefix shingles of each set: gram, sid, set size n and place i in the rare-first order (both in ``ni``),
-    and how rare the set's shingles are on the whole."""
+    how rare the set's shingles are on the whole, and whether many sets may have the shingle."""
     shared = docs.sparkSession.sparkContext.broadcast(orders)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = shared.value
         seen: set[int] = set()
-        names = ["gram", "sid", "ni", "rare"]
+        names = ["gram", "sid", "ni", "rare", "hot"]
         for batch in batches:
-            out: tuple[list, list, list, list] = ([], [], [], [])
+            out: tuple[list, list, list, list, list] = ([], [], [], [], [])
             held = 0
             for s in shingle_sets(batch.column(0), k):
                 n = len(s)
@@ -171,14 +183,15 @@ def prefixes(docs: DataFrame, orders: np.ndarray, k: int, percent: int, id_col:
                 out[1].append(np.full(length, sid, dtype=np.int64))
                 out[2].append((n << 32) + np.arange(length, dtype=np.int64))
                 out[3].append(np.full(length, -int(1000 * own.mean()), dtype=np.int32))
+                out[4].append(own[order[:length]] >= HOT_ORDER)
                 held += length
                 if held > 200_000:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=names)
-                    out, held = ([], [], [], []), 0
+                    out, held = ([], [], [], [], []), 0
             if held:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=names)
 
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "gram bigint, sid bigint, ni bigint, rare int")
+    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "gram bigint, sid bigint, ni bigint, rare int, hot boolean")
 
 
 def _may_match(percent: int) -> Column:
@@ -285,13 +298,109 @@ def _verify(pairs: DataFrame, sets: DataFrame, docs: DataFrame, k: int, percent:
     return found
 
 
-def _labelled(buckets: DataFrame, labels: DataFrame | None) -> DataFrame:
-    if labels is None:
-        return buckets.withColumn("label", F.col("sid"))
+def _buckets(grams: DataFrame) -> DataFrame:
+    """The rows (gram, sid, n, i) of grams that several sets have, and each gram's pivot.
+
+    The rows are exchanged once. A gram that many sets may have is dealt over many partitions by its
+    sets' names; its parts are then put together from their sums.
+    """
+    place = [F.shiftright("ni", 32).alias("n"), F.col("ni").bitwiseAND(F.lit(0xFFFFFFFF)).alias("i")]
+    salted = grams.withColumn("salt", F.when(F.col("hot"), F.pmod("sid", F.lit(SALTS))).otherwise(F.lit(0).cast("long")))
+    salted = salted.repartition("gram", "salt").dropDuplicates(["gram", "salt", "sid"]).select("gram", "salt", "sid", *place, "rare", "hot")
+    part = Window.partitionBy("gram", "salt")
+    counted = salted.select("*", F.count("*").over(part).alias("size"), F.min(F.struct("rare", "sid", "n", "i")).over(part).alias("pivot"))
+    parts = materialise(counted.where("hot or size > 1").drop("salt", "rare"), "buckets")
+    hot = parts.where("hot")
+    whole = hot.groupBy("gram").agg(F.count("*").alias("size"), F.min("pivot").alias("pivot")).where("size > 1")
+    out = parts.where("not hot").unionByName(hot.drop("size", "pivot").join(whole, "gram")).select("gram", "sid", "n", "i", "pivot")
+    out.scratch = parts.scratch
+    return out
+
+
+def _labelled(buckets: DataFrame, labels: DataFrame) -> DataFrame:
     return buckets.join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
 
 
-def link(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def _mixed(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows, besides pivots, of buckets with members of several components; their ``label``, the bucket's
+    ``main`` (largest) one and its number of ``members``. Counts are summed before they are exchanged."""
+    left = _labelled(buckets.where("sid <> pivot.sid"), labels)
+    parts = left.groupBy("gram", "label").agg(F.count("*").alias("same"))
+    spans = parts.groupBy("gram").agg(F.max(F.struct("same", "label"))["label"].alias("main"), F.count("*").alias("labels"), F.sum("same").alias("members"))
+    return left.join(spans.where("labels > 1").drop("labels"), "gram")
+
+
+def _apart(n: int, percent: int) -> int:
+    """No two similar sets whose sizes add up to n differ in more shingles."""
+    return (100 - percent) * n // (100 + percent)
+
+
+def around_pivots(members: DataFrame, sets: DataFrame, docs: DataFrame, orders: np.ndarray, k: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Candidate pairs (a, b) among the ``members`` (sid, label) of each pivot p that have different labels.
+
+    With A = a ^ p and B = b ^ p, a and b are similar only if A and B share at least
+    r = (|A| + |B| - D) / 2 shingles, D being the most in which sets of their sizes may differ. By a rarest-first
+    order of these shingles the first shared one is among the first |A| - r + 1 of A and |B| - r + 1 of B.
+    One of the two isn't linked to p, as both have different labels: it is the probe, with |A| >= |B| - D.
+    The other is indexed. If it is linked to p, then r > (|A| + (1 - t) / (1 + t) (|p| - |a|)) / 2, since B is
+    more than p allows; else the one that is nearer to p is indexed, so that r >= |A| - D / 2.
+    """
+    need = members.select("sid").union(members.select("p")).distinct()
+    texts = materialise(_texts(docs, need.join(sets.select("sid", "row"), "sid"), k, id_col, text_col).dropDuplicates(["sid"]), "texts")
+    joined = members.join(texts.withColumnRenamed("text", "at"), "sid").join(texts.select(F.col("sid").alias("p"), F.col("text").alias("pt")), "p")
+    shared = docs.sparkSession.sparkContext.broadcast(orders)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rank, coder = shared.value, zstandard.ZstdDecompressor()
+        kinds = [("p", pa.int64()), ("e", pa.int64()), ("sid", pa.int64()), ("label", pa.int64()), ("n", pa.int64()), ("far", pa.int64()), ("i", pa.int64()), ("linked", pa.bool_()), ("probe", pa.bool_())]
+        last: tuple[int | None, np.ndarray | None] = (None, None)
+
+        def opened(data: pa.Scalar) -> np.ndarray:
+            return next(shingle_sets(pa.array([coder.decompress(data.as_py()).decode("utf-8", "surrogatepass")]), k))
+
+        def ordered(s: np.ndarray) -> np.ndarray:
+            return s[np.argsort(rank[(s & np.uint64((1 << COUNT_BITS) - 1)).astype(np.int64)], kind="stable")]
+
+        for batch in batches:
+            out: list[list[np.ndarray]] = []
+            for p, sid, label, at, pt in zip(*(batch.column(x) for x in ("p", "sid", "label", "at", "pt")), strict=True):
+                if last[0] != p.as_py():
+                    last = (p.as_py(), opened(pt))
+                a, own = opened(at), last[1]
+                more, less = np.setdiff1d(a, own, assume_unique=True), np.setdiff1d(own, a, assume_unique=True)
+                n, m, far = len(a), len(own), len(more) + len(less)
+                linked = 100 * (n - len(more)) >= percent * (m + len(more))
+                e = np.concatenate([ordered(more), ordered(less)]).view(np.int64)
+                most = _apart(n + 100 * n // percent, percent)
+                if linked:
+                    least = max(1, -(-((100 + percent) * far + (100 - percent) * (m - n)) // (2 * (100 + percent))))
+                else:
+                    least = max(1, far - most // 2)
+                for probe, length in ((False, far - least + 1), (True, 0 if linked else most + 1)):
+                    length = min(max(0, length), far)
+                    fixed = (p.as_py(), sid.as_py(), label.as_py(), n, far, linked, probe)
+                    cols = [np.full(length, x) for x in fixed]
+                    out.append([cols[0], e[:length], cols[1], cols[2], cols[3], cols[4], np.arange(length, dtype=np.int64), cols[5], cols[6]])
+                if sum(len(x[0]) for x in out) > 200_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), kind) for c, (_, kind) in zip(zip(*out, strict=True), kinds, strict=True)], names=[x for x, _ in kinds])
+                    out = []
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), kind) for c, (_, kind) in zip(zip(*out, strict=True), kinds, strict=True)], names=[x for x, _ in kinds])
+        trim()
+
+    rows = materialise(joined.select("p", "sid", "label", "at", "pt").mapInArrow(run, "p bigint, e bigint, sid bigint, label bigint, n bigint, far bigint, i bigint, linked boolean, probe boolean"), "differences")
+    release(texts)
+    a = rows.where("not probe").select("p", "e", *[F.col(x).alias(y) for x, y in (("sid", "a"), ("label", "al"), ("n", "an"), ("far", "af"), ("i", "ai"), ("linked", "linked"))])
+    b = rows.where("probe").select("p", "e", *[F.col(x).alias(y) for x, y in (("sid", "b"), ("label", "bl"), ("n", "bn"), ("far", "bf"), ("i", "bi"))])
+    nearer = F.col("linked") | (F.col("af") < F.col("bf")) | ((F.col("af") == F.col("bf")) & (F.col("a") < F.col("b")))
+    n, m = F.col("an"), F.col("bn")
+    length = F.lit(100) * F.least(n, m) >= F.lit(percent) * F.greatest(n, m)
+    apart = n + m - 2 * least_overlap(n, m, percent)
+    enough = 2 * F.least(F.col("af") - F.col("ai"), F.col("bf") - F.col("bi")) >= F.col("af") + F.col("bf") - apart
+    return a.join(b, ["p", "e"]).where(F.col("al") != F.col("bl")).where(nearer & length & enough).select("a", "b")
+
+
+def link(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", bucket: int = BUCKET) -> tuple[DataFrame, DataFrame]:
     """The rows (id, row, sid, n, label, component) and verified links between sets (a, b) that span each component.
 
     The links are not all true links: two sets that are in one component already are not compared with
@@ -304,34 +413,27 @@ def link(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id",
     rows, orders = describe(docs, k, id_col, text_col)
     firsts = [F.first(x).alias(x) for x in ("n", *PARITIES, "hist")]
     sets = materialise(rows.where("sid is not null").groupBy("sid").agg(F.min("row").alias("row"), F.min("id").alias("id"), *firsts), "classes")
-    by_gram = Window.partitionBy("gram")
-    grams = prefixes(docs, orders, k, percent, id_col, text_col).repartition("gram").dropDuplicates(["gram", "sid"])
-    grams = grams.select("gram", "sid", F.shiftright("ni", 32).alias("n"), F.col("ni").bitwiseAND(F.lit(0xFFFFFFFF)).alias("i"), "rare")
-    # the exchange by gram serves the repeats, the counts and the pivots; the parities join later, when few rows are left
-    pivot = F.min(F.struct("rare", "sid", "n", "i")).over(by_gram)
-    buckets = grams.select("*", F.count("*").over(by_gram).alias("size"), pivot.alias("pivot")).where("size > 1").drop("size", "rare")
-    buckets = materialise(buckets, "buckets")
+    buckets = _buckets(prefixes(docs, orders, k, percent, id_col, text_col))
     stars = buckets.select(F.col("pivot.sid").alias("a"), F.col("pivot.n").alias("an"), F.col("pivot.i").alias("ai"), F.col("sid").alias("b"), F.col("n").alias("bn"), F.col("i").alias("bi"))
     pairs = stars.where("a <> b").where(_may_match(percent)).select("a", "b").distinct()
     parities = sets.select("sid", "n", *PARITIES)
     for side in "ab":
         pairs = pairs.join(parities.withColumnsRenamed({"sid": side, "n": f"{side}n"} | {q: f"{side}{q}" for q in PARITIES}), side)
     tested = _verify(pairs.where(_near(percent)).select("a", "b"), sets, docs, k, percent, id_col, text_col)
-    labels = components(tested.where("ok"), "a", "b")
-    # what is left: members of different components, the larger part of a bucket against the smaller
-    left = _labelled(buckets.where("sid <> pivot.sid").drop("pivot"), labels).repartition("gram")
-    sized = left.withColumn("same", F.count("*").over(Window.partitionBy("gram", "label")))
-    spans = [F.max(F.struct("same", "label")).over(by_gram)["label"].alias("main"), F.min("label").over(by_gram).alias("low"), F.max("label").over(by_gram).alias("high")]
-    left = sized.select(*left.columns, *spans).where("low <> high").drop("low", "high")
-    left = materialise(left.join(parities.drop("n"), "sid"), "mixed")
+    # what is left: buckets with members of different components
+    left = materialise(_mixed(buckets, components(tested.where("ok"), "a", "b")), "mixed")
     release(buckets)
-    a = left.where("label <> main").select("gram", F.col("label").alias("al"), *_member("a"))
-    b = left.select("gram", "main", F.col("label").alias("bl"), *_member("b"))
+    few = left.where(F.col("members") <= bucket).join(parities.drop("n"), "sid")
+    # the largest part of a bucket against the rest
+    a = few.where("label <> main").select("gram", F.col("label").alias("al"), *_member("a"))
+    b = few.select("gram", "main", F.col("label").alias("bl"), *_member("b"))
     pairs = a.join(b, "gram").where("al <> bl and (bl = main or a < b)").where(_may_match(percent) & _near(percent))
+    many = materialise(left.where(F.col("members") > bucket).select("sid", F.col("pivot.sid").alias("p"), "label").distinct(), "members")
+    pairs = pairs.select("a", "b").union(around_pivots(many, sets, docs, orders, k, percent, id_col, text_col))
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = pairs.join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     tested = tested.union(_verify(pairs, sets, docs, k, percent, id_col, text_col))
-    release(left)
+    release(left, many)
     links = tested.where("ok").select("a", "b")
     labels = components(links, "a", "b")
     named = sets.select("sid", "id").join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
@@ -352,12 +454,13 @@ def without_near_copies(docs: DataFrame, k: int = 5, percent: int = 80, id_col:
     keep = rows.groupBy("label").agg(F.min(F.struct(F.col("id").isNull(), "id", "row"))["row"].alias("keep"))
     marked = rows.join(keep, "label").select("row", (F.col("row") == F.col("keep")).alias("stays"))
     known = materialise(marked.groupBy("row").agg(F.min("stays").alias("stays"), F.count("*").alias("times")).where("not stays or times > 1"), "decisions")
-    tagged = docs.withColumn("_row", F.xxhash64(F.col(id_col), F.col(text_col)))
-    out = tagged.join(known.withColumnRenamed("row", "_row"), "_row", "left_anti")
-    repeated = known.where("stays").select(F.col("row").alias("_row"))
+    # the caller's columns travel in a struct, so that none of them can clash
+    tagged = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("all"))
+    out = tagged.join(known, "row", "left_anti")
+    repeated = known.where("stays").select("row")
     if not repeated.isEmpty():
-        out = out.unionByName(tagged.join(repeated, "_row", "left_semi").dropDuplicates(["_row"]))
-    return out.select(*docs.columns)
+        out = out.unionByName(tagged.join(repeated, "row", "left_semi").dropDuplicates(["row"]))
+    return out.select("all.*")
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

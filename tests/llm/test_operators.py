@@ -85,6 +85,32 @@ def test_ngram_join(spark, k, percent):
     assert links.where("a is null or b is null").count() == 0
 
 
+def family(seed=5, n=70, words=60):
+    """Near copies of one text with edits of their own, some shared: some are similar to it, some only to each other."""
+    r = random.Random(seed)
+    base = [f"w{i}" for i in range(words)]
+    shared = [(r.randrange(words), f"s{j}") for j in range(6)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, n):
+        w = base[:]
+        for at, x in r.sample(shared, r.randint(0, 4)):
+            w[at] = x
+        for j in range(r.randint(0, 3)):
+            w[r.randrange(len(w))] = f"own{i}.{j}"
+        if r.random() < 0.2:
+            w = w[: len(w) - r.randint(1, 8)]
+        rows.append((i, " ".join(w)))
+    return rows
+
+
+@pytest.mark.parametrize(("seed", "k", "percent", "bucket", "hot"), [(5, 4, 85, 0, 9), (6, 5, 80, 0, 0), (7, 2, 60, 2, 2), (8, 1, 90, 0, 9), (9, 4, 85, 48, 0)])
+def test_ngram_join_of_a_large_bucket(spark, monkeypatch, seed, k, percent, bucket, hot):
+    monkeypatch.setattr(ngram_join, "HOT_ORDER", hot)
+    rows = family(seed)
+    got, _ = ngram_join.link(table(spark, rows), k, percent, bucket=bucket)
+    assert sorted(((r.id, r.n, r.component) for r in got.collect()), key=repr) == linked(rows, k, percent)
+
+
 def test_near_copies_leave_one(spark):
     rows = noisy()
     left = ngram_join.without_near_copies(table(spark, rows), 4, 85)
