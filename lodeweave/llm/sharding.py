@@ -28,10 +28,15 @@ def digit(level: int) -> Column:
     return F.shiftrightunsigned(F.col(name), shift).bitwiseAND(F.lit((1 << BITS) - 1 if shift else (1 << 4) - 1))
 
 
-def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the size and both halves of the sorting key; a null text has no bytes."""
+def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[Column] | None = None) -> DataFrame:
+    """``row`` (a struct of all columns, or those to ``keep``: no name can clash), ``id``, and the ``size`` and both halves of the sorting key.
+
+    A null text has no bytes and is like an empty one; null ids have a hash like others. Repeated rows have the
+    same key and are told apart by nothing: their slots are dealt as they come.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select("*", (F.octet_length(text) + 1).cast("long").alias("size"), F.xxhash64(text).alias("h1"), F.xxhash64(F.col(id_col)).alias("h2"))
+    row = F.struct(*(keep or [F.col(f"`{c}`") for c in docs.columns]))
+    return docs.select(row.alias("row"), F.col(id_col).alias("id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.xxhash64(text).alias("h1"), F.xxhash64(F.col(id_col)).alias("h2"))
 
 
 @dataclass
@@ -74,7 +79,8 @@ def plan(rows: DataFrame, shards: int, tolerance: float = 0.005, part_rows: int
     as far as single rows allow. ``rows`` needs size, h1 and h2, and is read once a round.
 
     A text's copies stay together unless a splitter inside them can't move to their edge within the
-    tolerance. What reaches the driver is the counts below the probes: 2**BITS for each of the few
+    tolerance. An empty table has one empty part; a single row goes to a shard in the middle; rows that
+    tie in both hashes can't be split from each other. What reaches the driver is the counts below the probes: 2**BITS for each of the few
     opened intervals.
     """
     root = Node(0, 0, 0)
@@ -131,8 +137,11 @@ def _descend(rows: DataFrame, opened: list[Node], level: int) -> DataFrame:
     return out
 
 
-def exchange(rows: DataFrame, how: Plan, id_col: str) -> DataFrame:
-    """``rows`` in their shards: adds ``shard`` and ``slot``, exchanging the rows once."""
+def exchange(rows: DataFrame, how: Plan) -> DataFrame:
+    """The ``keyed`` rows in their shards: adds ``shard`` and ``slot`` (gapless from 0), exchanging the rows once.
+
+    Slots follow the key; rows that tie in it have slots in any order. No rows give no rows.
+    """
     spark, out = rows.sparkSession, rows.withColumn("_node", F.lit(0).cast("long"))
     levels = sorted({n.level for n in how.opened})
     places = [F.lit(None).cast("struct<shard:int,part:int,offset:bigint>")]
@@ -149,13 +158,20 @@ def exchange(rows: DataFrame, how: Plan, id_col: str) -> DataFrame:
         out = out.withColumn(f"_at{at}", places[-1]).withColumnRenamed("_next", "_node")
     out = out.withColumn("_at", F.coalesce(*[F.col(f"_at{at}") for at in levels])).drop("_node", *[f"_{x}{at}" for at in levels for x in ("shard", "part", "offset", "at")])
     out = out.withColumn("_part", F.col("_at.part")).repartition(max(1, how.parts), "_part")
-    order = Window.partitionBy("_part").orderBy(F.col("h1").bitwiseXOR(F.lit(-(1 << 63))), F.col("h2").bitwiseXOR(F.lit(-(1 << 63))), F.col(id_col))
+    order = Window.partitionBy("_part").orderBy(F.col("h1").bitwiseXOR(F.lit(-(1 << 63))), F.col("h2").bitwiseXOR(F.lit(-(1 << 63))), F.col("id"))
     return out.select("*", F.col("_at.shard").alias("shard"), (F.row_number().over(order) - 1 + F.col("_at.offset")).alias("slot")).drop("_at", "_part")
 
 
+def sharded(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text", tolerance: float = 0.005) -> DataFrame:
+    """``row`` (a struct of all columns of ``docs``), ``size``, ``shard`` and ``slot`` of every row."""
+    rows = keyed(docs, id_col, text_col)
+    # the plan reads sizes and hashes only, and so does the scan below it
+    return exchange(rows, plan(rows.select("size", "h1", "h2"), shards, tolerance)).select("row", "size", "shard", "slot")
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
-    rows = materialise(keyed(docs.select("doc_id", "text")).select("doc_id", "size", crc.alias("text_crc32"), "h1", "h2"), "shard-keys")
-    out = exchange(rows, plan(rows, 16), "doc_id")
-    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    rows = materialise(keyed(docs, keep=[F.col("doc_id"), crc.alias("text_crc32")]), "shard-keys")
+    out = exchange(rows, plan(rows, 16))
+    return out.select("row.doc_id", "size", "row.text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
