@@ -10,6 +10,9 @@ Whether a capitalised first word is a name can't be told, and capitals tell no n
 case. So windows are looked for in three forms: first words literal, first words as names, and all
 names literal. Windows of the last two forms count where they fit the values of the others.
 
+A name may have one word in the item and several in the document, or the other way round. Where an item has
+windows at a place but doesn't fit, both are compared once more with runs of capitalised words as one name.
+
 Copies word for word are found beside that: items without a window of enough literals (numbers, lists
 of values or names) are looked for by windows of their raw tokens, and 13 raw tokens in a row of any
 item are enough, whatever their share of the item.
@@ -50,10 +53,19 @@ UNITS = frozenset(
     "c f k celsius fahrenheit degree degrees percent pct hz khz mhz ghz w kw mw watt watts v volt volts amp amps j kj joule joules cal kcal calories "
     "b kb mb gb tb byte bytes bit bits usd eur gbp dollar dollars euro euros cent cents mph kmh kph kilometern meter stunden minuten jahre heures minutes ans horas minutos".split()
 )
+#: Words that often begin a sentence and are no part of a name behind them (fixed values).
+OPENERS = frozenset(
+    "a after all also although an and as at because before both but by can did do does during each every few first for from given has have he her his how i if in into it its "
+    "last let many more most my next no not now of on once one or our over she since so some suppose that the their then there these they this those though to today under until "
+    "we what when where which while who whose why will with would yesterday you your "
+    "als am auf aus bei da das dem den der des die ein eine einer er es für gestern heute ihr im in ist jede jeder man mit nach sie so und von vor wann warum was wenn wer wie wir wo zu "
+    "au aujourd avec ce cette chaque comment dans de des du elle en et hier il ils je la le les leur mais nous on ou par pour quand que quel quelle qui sa si son sur un une vous "
+    "al ayer cada como con cuando cuándo cuánto cuántos de del desde el ella en entre es hoy la las los mi no para pero por que qué quien si su sus un una y".split()
+)
 _TOKEN = re.compile(r"\d+(?:[.,:/]\d+)*|[^\W_]+|[.!?:;\n\"«»“”]")
 _NUMBER, _UNIT, _NAME = (int.from_bytes(hashlib.sha256(x).digest()[:8], "little") for x in (b"<number>", b"<unit>", b"<name>"))
 _POWERS = np.array([int.from_bytes(hashlib.sha256(b"%d" % i).digest()[:8], "little") | 1 for i in range(64)], dtype=np.uint64)
-_END, _DIGIT, _UNITS, _CAPITAL = 1, 2, 4, 8
+_END, _DIGIT, _UNITS, _CAPITAL, _OPENER = 1, 2, 4, 8, 16
 
 
 class _Vocabulary(dict):
@@ -69,7 +81,7 @@ class _Vocabulary(dict):
         if len(token) == 1 and not token.isalnum():
             flag = _END
         else:
-            flag = (_DIGIT if token[0].isdigit() else 0) | (_UNITS if token.lower() in UNITS else 0) | (_CAPITAL if len(token) > 1 and token[0].isupper() and token[1:].islower() else 0)
+            flag = (_DIGIT if token[0].isdigit() else 0) | (_UNITS if token.lower() in UNITS else 0) | (_CAPITAL if len(token) > 1 and token[0].isupper() and token[1:].islower() else 0) | (_OPENER if token.lower() in OPENERS else 0)
         self.flags[at] = flag
         self.hashes[at] = int.from_bytes(hashlib.blake2b(token.lower().encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
         self[token] = at
@@ -85,6 +97,22 @@ class Template:
     codes: np.ndarray
     slots: np.ndarray
     first: np.ndarray
+    opener: np.ndarray
+    adjacent: np.ndarray  # whether nothing stands between a token and the one before
+
+    def joined(self) -> Template:
+        """The template with each run of names as one; its raw token stands for the whole run."""
+        part = (self.slots == 3) | (self.first & ~self.opener)
+        begin = np.ones(len(self.raw), dtype=bool)
+        begin[1:] = ~((self.slots[1:] == 3) & part[:-1] & self.adjacent[1:])
+        at = np.flatnonzero(begin)
+        place = np.arange(len(begin)) - np.repeat(at, np.diff(at, append=len(begin)))
+        mixed = np.where(place > 0, (self.raw ^ (self.raw >> np.uint64(31))) * _POWERS[np.minimum(place, 63)], self.raw)
+        raw = np.add.reduceat(mixed, at) if len(at) else self.raw
+        many = np.diff(at, append=len(begin)) > 1
+        # what is no name in the item's own words stays literal as a whole
+        codes = np.where(many & (self.slots[at] != 3), raw, self.codes[at])
+        return Template([], raw, codes, self.slots[at], self.first[at], self.opener[at], self.adjacent[at])
 
     def forms(self) -> np.ndarray:
         """The codes with first words literal, with first words as names, with all names literal, and the raw tokens."""
@@ -104,6 +132,7 @@ def template(text: str, vocabulary: _Vocabulary) -> Template:
     keep = np.flatnonzero(flags & _END == 0)
     begins = np.ones(len(keep), dtype=bool)
     begins[1:] = np.diff(keep) > 1
+    adjacent = ~begins
     flags, raw = flags[keep], raw[keep]
     number = flags & _DIGIT > 0
     unit = flags & _UNITS > 0
@@ -113,7 +142,7 @@ def template(text: str, vocabulary: _Vocabulary) -> Template:
     name, first = capital & ~begins, capital & begins
     slots = np.where(number, 1, np.where(unit, 2, np.where(name, 3, 0))).astype(np.uint8)
     codes = np.where(number, np.uint64(_NUMBER), np.where(unit, np.uint64(_UNIT), np.where(name, np.uint64(_NAME), raw)))
-    return Template([tokens[i] for i in keep.tolist()] if len(keep) < len(tokens) else tokens, raw, codes, slots, first)
+    return Template([tokens[i] for i in keep.tolist()] if len(keep) < len(tokens) else tokens, raw, codes, slots, first, flags & _OPENER > 0, adjacent)
 
 
 def windows(codes: np.ndarray, width: int, step: int = 1) -> np.ndarray:
@@ -128,28 +157,36 @@ def windows(codes: np.ndarray, width: int, step: int = 1) -> np.ndarray:
 
 
 class _Table:
-    """Hashes of windows with the items and places that they stand for."""
+    """A hash table of windows with the items and places that they stand for: the build side of the join.
+
+    A bucket is a range of entries with the same first bits; it is sorted by hash, so that a window's entries are neighbours.
+    """
 
     def __init__(self, hashes: list[np.ndarray], items: list[np.ndarray], places: list[np.ndarray]):
         h = np.concatenate(hashes)
         order = np.argsort(h, kind="stable")
         self.hashes, self.items, self.places = h[order], np.concatenate(items)[order], np.concatenate(places)[order]
-        # a table of the hashes' first bits tells most windows of documents apart at once
-        self.shift = np.uint64(64 - max(10, min(25, (32 * len(h)).bit_length())))
-        self.seen = np.zeros(1 << (64 - int(self.shift)), dtype=bool)
-        self.seen[h >> self.shift] = True
+        bits = max(10, min(24, (16 * len(h)).bit_length()))
+        self.shift = np.uint64(64 - bits)
+        self.starts = np.searchsorted(self.hashes >> self.shift, np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.int32)
+        self.full = np.diff(self.starts) > 0
 
     def matches(self, own: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(item, places in the document, places in the item) of the windows of a document, given in one or more forms."""
         n = own.shape[-1]
         own = own.ravel()
-        hit = np.flatnonzero(self.seen[own >> self.shift])
-        low = np.searchsorted(self.hashes, own[hit], "left")
-        reps = np.searchsorted(self.hashes, own[hit], "right") - low
-        if not reps.any():
+        bucket = (own >> self.shift).astype(np.int64)
+        hit = np.flatnonzero(self.full[bucket])
+        if not len(hit):
+            return
+        low = self.starts[bucket[hit]]
+        reps = self.starts[bucket[hit] + 1] - low
+        probe = np.repeat(hit, reps)
+        theirs = np.repeat(low, reps) + np.arange(len(probe)) - np.repeat(np.cumsum(reps) - reps, reps)
+        same = self.hashes[theirs] == own[probe]
+        ours, theirs = probe[same] % n, theirs[same]
+        if not len(ours):
             return
-        ours = np.repeat(hit % n, reps)
-        theirs = np.repeat(low, reps) + np.arange(len(ours)) - np.repeat(np.cumsum(reps) - reps, reps)
         which, at = self.items[theirs], self.places[theirs]
         order = np.lexsort((at, ours, which))
         which, ours, at = which[order], ours[order], at[order]
@@ -161,12 +198,20 @@ class _Table:
             yield int(which[a]), ours[a:b], at[a:b]
 
 
+def _wanted(t: Template, own: np.ndarray, width: int) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Which windows of an item have enough literals to be looked for, and which in each of the first three forms."""
+    enough = min(LEAST_LITERAL, width)
+    good = np.convolve(t.slots == 0, np.ones(width, dtype=int), "valid") >= enough
+    without_first = np.convolve((t.slots == 0) & ~t.first, np.ones(width, dtype=int), "valid") >= enough
+    return good, (good, without_first & (own[1] != own[0]), good & (own[2] != own[0]))
+
+
 class Index:
     """The windows of one block of the benchmark."""
 
     def __init__(self, items: list[tuple[object, str | None]]):
         vocabulary = _Vocabulary()
-        self.items, self.good, self.wanted = [], [], []
+        self.items, self.good, self.wanted, self.joined = [], [], [], {}
         by_width, runs = defaultdict(lambda: ([], [], [])), ([], [], [])
 
         def add(to: tuple[list, list, list], number: int, form: np.ndarray, which: np.ndarray) -> None:
@@ -179,13 +224,11 @@ class Index:
             width = min(WINDOW, len(t.codes))
             good = np.zeros(0, dtype=bool)
             if width:
-                good = np.convolve(t.slots == 0, np.ones(width, dtype=int), "valid") >= min(LEAST_LITERAL, width)
-                without_first = np.convolve((t.slots == 0) & ~t.first, np.ones(width, dtype=int), "valid") >= min(LEAST_LITERAL, width)
                 own = windows(t.forms(), width)
+                good, wanted = _wanted(t, own, width)
                 if good.any():
-                    add(by_width[width], number, own[0], good)
-                    add(by_width[width], number, own[1], without_first & (own[1] != own[0]))
-                    add(by_width[width], number, own[2], good & (own[2] != own[0]))
+                    for form, which in zip(own, wanted, strict=False):
+                        add(by_width[width], number, form, which)
                 else:  # nothing but slots: word for word only
                     good = np.ones(len(good), dtype=bool)
                     add(by_width[width], number, own[3], good)
@@ -198,8 +241,20 @@ class Index:
         self.by_width = {width: _Table(*columns) for width, columns in by_width.items()}
         self.runs = _Table(*runs) if runs[0] else None
 
+    def _joined(self, number: int) -> tuple[Template, np.ndarray, _Table | None]:
+        """An item with runs of names as one: its template, the windows wanted and their table."""
+        if number not in self.joined:
+            t = self.items[number][1].joined()
+            width = min(WINDOW, len(t.codes))
+            own = windows(t.forms(), width)
+            good, wanted = _wanted(t, own, width)
+            at = [np.flatnonzero(w) for w in wanted]
+            table = _Table([form[i] for form, i in zip(own, at, strict=False)], [np.full(len(i), number) for i in at], at) if good.any() else None
+            self.joined[number] = t, good, table
+        return self.joined[number]
+
     def matches(self, t: Template) -> list[tuple[int, int, bool]]:
-        """(number of the item, windows found, whether all slots have the item's own values)."""
+        """(number of the item, windows found, whether the whole item stands there word for word)."""
         found: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         copied: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         forms = t.forms()
@@ -210,14 +265,22 @@ class Index:
             if width == WINDOW and self.runs:
                 for number, ours, at in self.runs.matches(windows(own[3], RUN_WINDOWS, WINDOW - 1)):
                     copied[number] = ours, at
-        out = []
+        out, joined = [], None
         for number in sorted(found.keys() | copied.keys()):
-            got = self._placed(number, t, *found[number]) if number in found else None
-            if number in copied and (got is None or got < (self.wanted[number], True)):
+            item, wanted = self.items[number][1], self.wanted[number]
+            got = self._placed(item, wanted, t, *found[number]) if number in found else None
+            if number in copied and (got is None or got < (wanted, True)):
                 run = self._copied(number, *copied[number])
                 got = run if got is None else max(got, run)
+            if got is None and number in found and wanted > 1:
+                joined = joined or t.joined()
+                own, good, table = self._joined(number)
+                if table and (len(joined.raw) < len(t.raw) or len(own.raw) < len(item.raw)):
+                    for _, ours, at in table.matches(windows(joined.forms(), min(WINDOW, len(own.codes)))):
+                        got = self._placed(own, int(good.sum()), joined, ours, at)
             if got:
-                out.append((number, *got))
+                shifts = np.concatenate([x[number][0] - x[number][1] for x in (found, copied) if number in x])
+                out.append((number, min(got[0], wanted), any(np.array_equal(t.raw[s : s + len(item.raw)], item.raw) for s in np.unique(shifts[shifts >= 0]).tolist())))
         return out
 
     def _copied(self, number: int, ours: np.ndarray, at: np.ndarray) -> tuple[int, bool]:
@@ -232,9 +295,8 @@ class Index:
             most = max(most, int((good & (np.cumsum(inside[:-1]) > 0)).sum()))
         return most, True
 
-    def _placed(self, number: int, t: Template, ours: np.ndarray, at: np.ndarray) -> tuple[int, bool] | None:
+    def _placed(self, item: Template, wanted: int, t: Template, ours: np.ndarray, at: np.ndarray) -> tuple[int, bool] | None:
         """The best place of an item in a document that holds enough windows and whose slots agree."""
-        item, wanted = self.items[number][1], self.wanted[number]
         width = min(WINDOW, len(item.codes))
         least = max(1, int(np.ceil(CONTAINMENT * wanted)))
         if len(np.unique(at)) < least:
@@ -361,7 +423,9 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     Whole texts are scanned without a shuffle, once for each block of the benchmark. Null and empty
     texts and items hold and are held by nothing. An item shorter than a window is one window; one without
     a window of three literal tokens is looked for word for word. ``windows`` counts those found with
-    half of the item's, or those inside 13 or more of its raw tokens in a row. Repeated documents and
+    half of the item's, or those inside 13 or more of its raw tokens in a row. ``exact`` says whether all of
+    the item's tokens stand there in a row, in either case. Names of another number of words are seen through
+    if at least one window of the item is found besides. Repeated documents and
     items each give rows. Empty tables give none. Other columns are ignored.
     """
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
