@@ -25,7 +25,7 @@ INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rb rp rt ruby s samp small span strike strong "
     "sub sup time tt u var wbr".split()
 )
-CUT = frozenset("nav footer aside form button select dialog menu object embed applet head canvas audio video".split()) | RAW
+CUT = frozenset("nav footer aside button select dialog menu object embed applet head canvas audio video".split()) | RAW
 CUT_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 #: Whole words of class and id that mark boilerplate.
 CUT_NAMES = frozenset(
@@ -34,6 +34,12 @@ CUT_NAMES = frozenset(
     "modal overlay newsletter subscribe subscription signup paywall comment comments commentlist disqus respond replies share sharing social "
     "related recommended recommendations widget widgets toolbar pagination pager skip login search legal copyright disclaimer".split()
 )
+#: Words that say nothing of what an element is for.
+PLAIN_NAMES = frozenset("area bar block bottom box button buttons container content group header icon icons inner item items left link links list outer panel right row section text top wrap wrapper".split())
+#: Of the names that mark boilerplate, those that also do so on a single paragraph, item or phrase of an article.
+AD_NAMES = frozenset("ad ads adv advert adverts advertisement advertising adsense adslot adbox sponsor sponsored sponsors promo promos promotion".split())
+#: Elements of an article that are cut where a name marks them; others are parts of the text.
+BOXES = frozenset("div section ul ol dl table details fieldset address center header".split())
 GOOD_NAMES = frozenset("article body content entry main post story text page blog".split())
 #: What an element is worth before any points come in.
 WORTH = {"article": 25.0, "main": 20.0, "div": 5.0, "section": 5.0, "pre": 3.0, "td": 3.0, "blockquote": 3.0, "ul": -3.0, "ol": -3.0, "dl": -3.0, "li": -3.0, "address": -3.0}
@@ -63,12 +69,16 @@ def _tag_end(html: str, at: int) -> int:
     end = html.find(">", at)
     if end < 0 or ('"' not in html[at:end] and "'" not in html[at:end]):
         return end
-    i, n = at, len(html)
+    i, n, before = at, len(html), ""
     while i < n:
         c = html[i]
         if c == ">":
             return i
-        if c in "\"'" and html[at:i].rstrip().endswith("="):
+        if not c.isspace():
+            value, before = c in "\"'" and before == "=", c
+        else:
+            value = False
+        if value:
             i = html.find(c, i + 1)
             if i < 0:
                 return end
@@ -181,36 +191,72 @@ def _names(node: Node) -> tuple[set[str], set[str], bool]:
     return words, roles, hidden
 
 
+def _marked(node: Node, names: frozenset) -> bool:
+    """Whether a class or the id is made of nothing but ``names`` and plain words."""
+    for m in _ATTRIBUTE.finditer(node.attributes):
+        if m[1].lower() in ("class", "id"):
+            for token in (m[2] or m[3] or m[4] or "").split():
+                words = set(_WORD.findall(_CAMEL.sub(" ", token).lower()))
+                if words & names and words <= names | PLAIN_NAMES:
+                    return True
+    return False
+
+
 def _is_cut(node: Node, in_article: bool) -> bool:
     if node.tag in CUT:
         return True
     if node.tag == "header":
         return not in_article
     words, roles, hidden = _names(node)
-    if hidden or roles & CUT_ROLES:
+    if roles & CUT_ROLES:
         return True
     if node.tag in ("html", "body", "main", "article") or roles & {"main", "article"}:
         return "comment" in words or "comments" in words
+    if in_article:  # only what is plainly boilerplate goes; paragraphs, phrases and hidden parts stay
+        return _marked(node, CUT_NAMES if node.tag in BOXES else AD_NAMES)
+    if hidden:
+        return True
     if words & GOOD_NAMES and not words & {"ad", "ads", "sidebar", "comment", "comments", "nav", "footer", "promo", "advert", "sponsored", "notice", "related"}:
         return False
-    if "header" in words and not in_article:
+    if "header" in words:
         return True
     return bool(words & CUT_NAMES)
 
 
+def _chars(node: Node) -> tuple[int, bool]:
+    """Characters of text below a node, and whether an article or main element is among its descendants."""
+    n, holds, todo = 0, False, [node]
+    while todo:
+        x = todo.pop()
+        for child in x.children:
+            if isinstance(child, str):
+                n += len(child.strip())
+            else:
+                holds = holds or child.tag in ("article", "main") or bool(_names(child)[1] & {"article", "main"})
+                todo.append(child)
+    return n, holds
+
+
 def prune(root: Node) -> None:
-    """Cut boilerplate from the tree, in place."""
-    todo = [(root, False)]
+    """Cut boilerplate from the tree, in place. A form that wraps the page (its article, or most of its text) is no boilerplate."""
+    todo, whole = [(root, False)], None
     while todo:
         node, inside = todo.pop()
-        inside = inside or node.tag in ("article", "main")
+        inside = inside or node.tag in ("article", "main") or bool(_names(node)[1] & {"article", "main"})
         kept = []
         for child in node.children:
             if isinstance(child, str):
                 kept.append(child)
-            elif not _is_cut(child, inside):
-                kept.append(child)
-                todo.append((child, inside))
+                continue
+            if child.tag == "form":
+                whole = _chars(root)[0] if whole is None else whole
+                n, holds = _chars(child)
+                if not holds and 2 * n <= whole:
+                    continue
+            elif _is_cut(child, inside):
+                continue
+            kept.append(child)
+            todo.append((child, inside))
         node.children = kept
 
 
@@ -345,7 +391,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """One row per page: id, url, ``text`` and ``n_chars`` (code points).
 
     A map without a shuffle. Null or empty html gives an empty text; repeated rows each give a row;
-    an empty table gives none; other columns are ignored. Each page is parsed whole.
+    an empty table gives none; other columns are ignored. Each page is parsed whole, in time that grows with
+    its length; of containers with equal scores the first in the page is taken.
     """
     source = pages.select(F.col(id_col).alias("page"), F.col(url_col).alias("link"), F.col(html_col).alias("html"))
     kind = source.schema["page"].dataType.simpleString()
