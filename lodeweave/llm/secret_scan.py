@@ -59,7 +59,7 @@ def default_samples(n: int = 6000, seed: int = 7) -> list[tuple[str, int]]:
         alphabet = list(ALPHABETS.values())[i % len(ALPHABETS)]
         out.append(("".join(r.choice(alphabet) for _ in range(r.randint(20, 64))), 1))
         words = [r.choice(WORDS) for _ in range(r.randint(2, 6))]
-        style = i % 8
+        style = i % 12
         if style == 0:
             name = "_".join(words)
         elif style == 1:
@@ -74,9 +74,17 @@ def default_samples(n: int = 6000, seed: int = 7) -> list[tuple[str, int]]:
             name = "/".join(words)
         elif style == 6:
             name = "".join(words)
-        else:
+        elif style == 7:
             name = f"{'-'.join(words)}-{r.randint(1, 12)}"
-        if r.random() < 0.15:
+        elif style == 8:  # rules and fill
+            name = r.choice("-=_/+.x0") * r.randint(20, 80)
+        elif style == 9:  # dates, times and counted numbers
+            name = r.choice("-_/").join(f"{r.randint(1990, 2035)}{r.randint(1, 12):02}{r.randint(1, 28):02}" for _ in range(3)) if r.random() < 0.5 else "".join(str(r.randint(0, 9)) for _ in range(r.randint(20, 30)))
+        elif style == 10:
+            name = "".join(words).upper() if r.random() < 0.5 else words[0].title() + "".join(words[1:])
+        else:
+            name = r.choice("_-/").join(w.title() for w in words)
+        if style < 8 and r.random() < 0.15:
             name += r.choice(("", "_", "-")) + str(r.choice((1, 2, 3, 10, 64, 100, 2020, 2024)))
         out.append((name, 0))
     return out
@@ -98,6 +106,13 @@ class Markov:
                         self.totals[order][past] = self.totals[order].get(past, 0) + 1
         self.log = lru_cache(maxsize=300_000)(self._log)
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in vars(self).items() if k != "log"}
+
+    def __setstate__(self, state: dict) -> None:
+        vars(self).update(state)
+        self.log = lru_cache(maxsize=300_000)(self._log)
+
     def _log(self, past: str, c: str) -> float:
         p = 1 / 66  # the alphabet of the runs
         for order in range(len(past) + 1):
@@ -121,8 +136,6 @@ class Scanner:
         return self.random.score(s) - self.ordinary.score(s)
 
     def secret(self, s: str) -> bool:
-        if not (any("0" <= c <= "9" for c in s) and any(c.isalpha() for c in s)):
-            return False
         ratio = self.ratio(s)
         return ratio >= self.least and ratio >= self.least_each * len(s)
 
@@ -137,11 +150,14 @@ class Scanner:
         return sorted(found)
 
     def more(self, text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-        """Spans of the models that overlap no span of a pattern."""
-        out = []
+        """Spans of the models that overlap no span of a pattern (``base``, sorted)."""
+        out, at, covered = [], 0, 0
         for m in _RUN.finditer(text):
             start, end = m.span()
-            if not any(b < end and start < e for b, _, e in base) and self.secret(m[0]):
+            while at < len(base) and base[at][0] < end:  # runs come in order, so each span is looked at once
+                covered = max(covered, base[at][2])
+                at += 1
+            if covered <= start and self.secret(m[0]):
                 out.append((start, 3, end))
         return out
 
@@ -153,17 +169,17 @@ def listing(spans: list[tuple[int, int, int]]) -> str:
 def scan(docs: DataFrame, samples: list[tuple[str, int]] | None = None, id_col: str = "doc_id", text_col: str = "text", least: float = 12.0) -> DataFrame:
     """One row per row of ``docs``: id, ``spans`` as array<struct<kind,start,end>> in code points.
 
-    A map without a shuffle over whole texts. The models (some thousand short samples) are trained
-    in each worker from the same samples, so all agree. Null and empty texts have no spans; repeated
+    A map without a shuffle over whole texts. The models are trained once, on the driver, and broadcast; their
+    size is bounded by the alphabet of the runs (counts of up to three characters), not by the samples. Null and empty texts have no spans; repeated
     rows each give a row; an empty table gives none; other columns are ignored.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((samples or default_samples(), least))
+    shared = docs.sparkSession.sparkContext.broadcast(Scanner(samples or default_samples(), least))
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = source.schema["id"].dataType.simpleString()
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Scanner(*shared.value)
+        own = shared.value
         for batch in batches:
             out = []
             for text in batch.column(1):
