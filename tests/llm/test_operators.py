@@ -194,16 +194,83 @@ def test_secrets(spark):
         "key Zx9Qw3vB7nM1kL5pR8tY2uI6 here",
     ]
     rows = {r.doc_id: r for r in secret_scan.digest(secret_scan.scan(table(spark, list(enumerate(texts))))).collect()}
-    spans = 'assign:0:23'
     assert rows[2].n_assign == 1 and rows[2].spans.startswith("assign:0:")
     assert (rows[3].n_access, rows[3].n_hex) == (1, 1)
     assert rows[3].spans.split(",")[0] == "access:0:20"
     assert rows[4].spans == "" and rows[5].n_markov == 1 and rows[5].spans == "markov:4:28"
     assert rows[0].base_sha256 == rows[1].base_sha256 == rows[5].base_sha256 == hashlib.sha256(b"").hexdigest()
-    assert spans
     assert secret_scan.scan(table(spark, [])).count() == 0
 
 
+def base_spans(text):
+    """The contract, plainly: every match in turn, then those that are too short go."""
+    out = []
+    i = 0
+    keys = ("password", "passwd", "secret", "token", "api_key", "apikey")
+    value = set(string.ascii_letters + string.digits + "+/_.=-")
+    lower = text.translate(LOWER)
+    while i < len(text):
+        end = None
+        for key in keys:
+            if lower.startswith(key, i):
+                j = i + len(key)
+                j += text[j : j + 1] in ('"', "'") and j < len(text)
+                while text[j : j + 1] == " ":
+                    j += 1
+                if text[j : j + 1] and text[j] in ":=":
+                    j += 1
+                    while text[j : j + 1] == " ":
+                        j += 1
+                    j += text[j : j + 1] in ('"', "'") and j < len(text)
+                    k = j
+                    while k < len(text) and text[k] in value:
+                        k += 1
+                    if k > j:
+                        end = k
+                        if k - j >= 8:
+                            out.append((i, 0, k))
+                        break
+        i = end or i + 1
+    for kind, begin, letters, least in ((1, "AKIA", string.ascii_uppercase + string.digits, 16), (2, "", "0123456789abcdef", 32)):
+        i = 0
+        while i < len(text):
+            k = i + len(begin) if text.startswith(begin, i) else i
+            while (k > i or not begin) and k < len(text) and text[k] in letters:
+                k += 1
+            if k - i >= least and k > i + len(begin):
+                out.append((i, kind, k))
+            i = max(i + 1, k)
+    return sorted(out)
+
+
+def test_secrets_against_brute_force():
+    r = random.Random(11)
+    parts = ["password", "Passwd", "SECRET", "token", "api_key", "apikey", "ApI_kEy", "AKIA", "AKIAA", '"', "'", " ", "  ", ":", "=", ": ", "abcdefgh", "0123456789abcdef", "ABCDEF12", "é", "-", "_", ".", "\n", "x", "deadbeef" * 4, "KK", "ſ", "K"]
+    scanner = secret_scan.Scanner(secret_scan.default_samples(200))
+    for _ in range(20_000):
+        text = "".join(r.choice(parts) for _ in range(r.randint(1, 14)))
+        base = scanner.base(text)
+        assert base == base_spans(text), text
+        more = scanner.more(text, base)
+        want = [(m.start(), 3, m.end()) for m in secret_scan._RUN.finditer(text) if not any(b < m.end() and m.start() < e for b, _, e in base) and scanner.secret(m[0])]
+        assert more == want
+
+
+def test_secret_models_on_strings_of_other_makers():
+    """Strings that the training's generator doesn't make: names in the standard library, and keys of other alphabets."""
+    import asyncio, base64, logging, multiprocessing, secrets, socket, ssl, subprocess, unittest, uuid  # noqa: E401
+
+    scanner = secret_scan.Scanner(secret_scan.default_samples())
+    names = {n for m in (asyncio, logging, multiprocessing, socket, ssl, subprocess, unittest, unittest.TestCase, logging.Logger, string) for n in dir(m)}
+    names = [n for n in names if secret_scan._RUN.fullmatch(n)]
+    assert len(names) > 100 and sum(map(scanner.secret, names)) <= 0.02 * len(names)
+    base58 = "123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz"
+    makers = [lambda: secrets.token_urlsafe(24), lambda: base64.b64encode(secrets.token_bytes(30)).decode(), lambda: str(uuid.uuid4()), lambda: "sk_live_" + "".join(secrets.choice(base58) for _ in range(24)), lambda: "".join(secrets.choice(string.ascii_lowercase) for _ in range(28))]
+    for make in makers:
+        assert sum(scanner.secret(make()) for _ in range(300)) >= 290
+    assert not any(map(scanner.secret, ("-" * 40, "=" * 25, "_" * 30, "0" * 24, "20240131_20240228_2024", "internationalization/frameworks")))
+
+
 def test_secret_models_generalise():
     s = secret_scan.Scanner(secret_scan.default_samples())
     held = secret_scan.default_samples(1000, seed=99)
@@ -216,7 +283,7 @@ def test_warc_round_trip(spark, tmp_path):
     rows = [(5, "http://a/ b\n", long), (2, "u", long), (9, None, long), (3, "u", "short"), (4, "u", "short"), (6, "u", None), (7, "u", ""), (2, "u", long)]
     pages = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, digest string")
     path = f"file://{tmp_path}/w"
-    warc.write(pages, path, records_per_file=3)
+    warc.write(pages, path, archive_bytes=1500)
     got = warc.read(spark, path).collect()
     assert not any(r.fault for r in got) and len(got) == len(rows)
     kinds = sorted((r.page_id, r.record_type, r.refers_to, r.payload_bytes) for r in got)
@@ -224,7 +291,8 @@ def test_warc_round_trip(spark, tmp_path):
     want = [(2, "response", None, n)] * 2 + [(3, "response", None, 5), (4, "response", None, 5), (5, "revisit", 2, n), (6, "response", None, 0), (7, "response", None, 0), (9, "revisit", 2, n)]
     assert sorted(kinds, key=repr) == sorted(want, key=repr)
     assert {r.payload_digest for r in got if r.payload_bytes == n} == {hashlib.sha256(long.encode()).hexdigest()}
-    assert all(zlib.decompressobj(31).decompress(p.read_bytes(), 5) == b"WARC/" for p in (tmp_path / "w").glob("part-*"))
+    archives = [p.read_bytes() for p in (tmp_path / "w").glob("part-*")]
+    assert all(zlib.decompressobj(31).decompress(x, 5) == b"WARC/" for x in archives) and max(map(len, archives)) <= 1500 and len(archives) > 2
     empty = f"file://{tmp_path}/e"
     warc.write(pages.limit(0), empty)
     assert warc.read(spark, empty).count() == 0
@@ -247,10 +315,11 @@ def test_warc_salvage(mode):
                 data[at : at + n] = bytes(r.randrange(256) for _ in range(len(data[at : at + n])))
         data = bytes(data)
         out, at = list(warc.salvage(data)), 0
-        for offset, length in dict.fromkeys((o, n) for o, n, *_ in out):
+        for offset, length in dict.fromkeys((x.offset, x.length) for x in out):
             assert offset == at  # members and gaps cover the archive
             at += length
         assert at == len(data)
+        assert all(x.length or x.span for x in out)
         found = {h.get("x-page-id") for *_, h, _ in out if h}
         assert all(str(i) in found for i, p in enumerate(parts) if p in data)
         assert all(b in blocks for *_, h, b in out if h and "warc-block-digest" in h)
@@ -272,19 +341,59 @@ def test_warc_salvage_inside_a_member(damage):
     out = list(warc.salvage(data))
     assert [h["x-page-id"] for *_, h, _ in out if h] == ["0", "1", "3", "4", "5", "6", "2"]
     begin = len(records[0] + records[1])
-    assert [f.split(": ")[-1] for _, _, f, h, _ in out if not h] == [f"bytes {x} to {x + len(new)} of the member's data" for x in (begin, begin + len(new + records[3] + records[4]))]
+    assert [(x.inner, x.span) for x in out if not x.headers] == [(x, len(new)) for x in (begin, begin + len(new + records[3] + records[4]))]
+    assert all(x.inner == whole.index(records[int(x.headers["x-page-id"])]) and x.span == len(records[int(x.headers["x-page-id"])]) for x in out if x.headers and x.offset == 0)
     assert {(o, n) for o, n, *_ in out} == {(0, len(warc.member(whole))), (len(warc.member(whole)), len(warc.member(records[2])))}
     half = list(warc.salvage(data[: len(warc.member(whole)) // 2]))  # cut off in the long record
-    assert [h["x-page-id"] for *_, h, _ in half if h] == ["0", "1", "3", "4"] and "the member is cut off" in half[-1][2]
+    assert [h["x-page-id"] for *_, h, _ in half if h] == ["0", "1", "3", "4"] and "the member is cut off" in half[-1].fault
+
+
+def test_warc_salvage_of_damaged_data_inside_a_member():
+    """What stands before the first byte that can't be decompressed is kept, and the gap begins there."""
+    r = random.Random(4)
+    payloads = [bytes(r.randrange(256) for _ in range(3000)) for _ in range(20)]
+    records = [warc.record(i, None, p, hashlib.sha256(p).hexdigest(), len(p)) for i, p in enumerate(payloads)]
+    first, second = warc.member(b"".join(records)), warc.member(records[0])
+    at = len(first) // 2
+    data = first[:at] + bytes(64) + first[at + 64 :] + second
+    out = list(warc.salvage(data))
+    kept = [h["x-page-id"] for *_, h, _ in out if h]
+    assert kept[: len(kept) - 1] == [str(i) for i in range(len(kept) - 1)] and kept[-1] == "0" and len(kept) >= 9
+    gap = next(x for x in out if x.inner is None and not x.headers)
+    assert at <= gap.offset < at + 40_000 and gap.offset + gap.length == len(first)
+
+
+def test_warc_damaged_headers(spark, tmp_path):
+    """A damaged number is a fault of its record; the job goes on."""
+    p = b"x" * 200
+    good = warc.record(1, "u", p, hashlib.sha256(p).hexdigest(), len(p))
+    changes = [(b"X-Page-Id: 1", b"X-Page-Id: 1x3"), (b"X-Page-Id: 1", b"X-Page-Id: " + b"9" * 25), (b"X-Page-Id: 1", "X-Page-Id: ²".encode())]
+    lengths = [re.sub(rb"Content-Length: \d+", new, good, count=1) for new in ("Content-Length: ²".encode(), b"Content-Length: " + b"9" * 30, b"Content-Length: -5")]
+    data = b"".join([good, *[good.replace(*c) for c in changes], *lengths, good])
+    (tmp_path / "a.warc").write_bytes(data)
+    got = sorted(warc.read(spark, f"file://{tmp_path}").collect(), key=lambda x: x.offset)
+    assert [(x.page_id, x.record_type) for x in got if x.record_type] == [(1, "response"), *[(None, "response")] * 3, (1, "response")]
+    assert [x.fault for x in got[1:4]] == ["x-page-id"] * 3 and got[4].fault == "no content length" and sum(x.length for x in got) == len(data)
+    assert all(x.payload == p for x in got if x.record_type)
+
+
+def test_warc_many_faults_take_linear_time():
+    import time
+
+    junk = (warc._MAGIC + b"junk") * 60_000
+    begin = time.time()
+    out = list(warc.salvage(junk))
+    assert time.time() - begin < 20 and sum(x.length for x in out) == len(junk)
 
 
 # -- 5
 def test_sharding(spark):
     r = random.Random(2)
     rows = [(i, "hot" if i % 3 == 0 else "t" * r.randint(0, 300) + str(i)) for i in range(3000)] + [(5000, None), (None, "n"), (1, "t"), (1, "t")]
-    keyed = sharding.keyed(table(spark, rows).drop("size"))
+    clashing = table(spark, rows).withColumns({c: F.lit("x") for c in ("h1", "h2", "shard", "slot", "row", "_node", "_part")})
+    keyed = sharding.keyed(clashing)
     how = sharding.plan(keyed, 8, part_rows=100)
-    out = sharding.exchange(keyed, how, "doc_id").collect()
+    out = sharding.exchange(keyed, how).collect()
     assert len(out) == len(rows)
     sizes = Counter()
     for x in out:
@@ -293,7 +402,14 @@ def test_sharding(spark):
     assert set(sizes) == set(range(8)) and all(abs(s - share) <= 0.01 * share + 301 for s in sizes.values())
     for s in range(8):
         assert sorted(x.slot for x in out if x.shard == s) == list(range(sum(x.shard == s for x in out)))
-    assert sharding.exchange(keyed.limit(0), sharding.plan(keyed.limit(0), 8), "doc_id").count() == 0
+    # brute force: rows sorted by key, the shards are its consecutive parts
+    order = sorted(out, key=lambda x: (x.h1 % (1 << 64), x.h2 % (1 << 64)))
+    assert [x.shard for x in order] == sorted(x.shard for x in out) and how.sizes == [sizes[s] for s in range(8)]
+    assert Counter((x.row.doc_id, x.row.text) for x in out) == Counter(rows) and all(x.row.slot == x.row.size == "x" for x in out)
+    assert all(x["size"] == len((x.row.text or "").encode()) + 1 for x in out)
+    assert sharding.exchange(keyed.limit(0), sharding.plan(keyed.limit(0), 8)).count() == 0
+    assert [x.shard for x in sharding.sharded(clashing.limit(1), 4).collect()] == [2]
+    assert sharding.sharded(clashing).columns == ["row", "size", "shard", "slot"]
 
 
 # -- 6
@@ -331,7 +447,7 @@ def test_decontamination_of_repeated_windows():
     n = held(pens, pens)[0]
     assert held(pens, "we " + pens + " today") == (n, True) and held(pens, pens.replace("4", "7")) == (n, False)
     assert held(pens, pens.replace("3", "4").replace("5", "4")) is None
-    assert held(pens, pens.replace("4 pens at the shop,", "4 pens at the shop or then")) == (n - 4, True)
+    assert held(pens, pens.replace("4 pens at the shop,", "4 pens at the shop or then")) == (n - 4, False)  # not word for word
     sheet = "What is 3 plus 4? What is 5 plus 6? What is 8 plus 8?"
     assert held("What is 5 plus 6?", sheet) == (1, True) and held("What is 1 plus 2?", sheet) == (1, False)
     assert held("What is 9 plus 9?", sheet) == (1, False) and held("What is 9 plus 9?", sheet[:36]) is None
@@ -350,6 +466,70 @@ def test_decontamination_of_first_words_and_capitals():
     assert held(inside, "Intro. " + inside.upper()) == (*held(inside, inside)[:1], True)
 
 
+def test_decontamination_of_names_of_several_words():
+    item = "Yesterday Bob picked 12 apples in the garden and gave 5 of them to his sister. How many apples does Bob have now?"
+    for other in ("Mary Ann", "Juan Carlos Ortega", "Eve"):
+        got = held(item, "Homework. " + item.replace("Bob", other).replace("12", "31").replace("5", "8") + " Thanks.")
+        assert got and not got[1], other
+        assert held(item.replace("Bob", other), item.replace("12", "31")), other
+    assert held(item, item.replace("Bob", "Mary Ann", 1).replace("Bob", "Paul Smith").replace("5", "8")) is None  # the name changes on the way
+    begins = "Bob has 3 red pens. Bob buys 4 more of them today. Bob loses 2 blue ones there. How many pens are left for him?"
+    assert held(begins, begins.replace("Bob", "Mary Ann").replace("4", "6"))
+
+
+def test_decontamination_exact_is_the_whole_item():
+    item = "The farmer has 17 sheep on the green hill and 9 goats near the old barn by the river"
+    assert held(item, "so " + item.lower() + " ok") == (held(item, item)[0], True)
+    assert held(item, item.replace("17", "seventeen")) and not held(item, item.replace("17", "seventeen"))[1]
+
+
+def test_decontamination_against_brute_force(spark):
+    """Items with other values are found wherever a plain regular expression of the template finds them, and nowhere else."""
+    r = random.Random(8)
+    lexicon = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(3, 8))) for _ in range(300)]
+    people = ["Anna", "Tom", "Maria", "Peter", "Lucy", "Omar"]
+
+    def make():
+        words, names = r.sample(lexicon, 24), r.sample(people, 2)
+        for at in r.sample(range(2, 22), 4):
+            words[at] = r.choice(("{n0}", "{n1}")) if r.random() < 0.4 else f"{{v{at}}}"
+        return " ".join(words), names
+
+    templates = [make() for _ in range(12)]
+    fill = lambda t, names: re.sub(r"\{v\d+\}", lambda m: str(r.randint(2, 999)), t.format_map(Fields(n0=names[0], n1=names[1])))
+
+    class Fields(dict):
+        def __missing__(self, key):
+            return "{" + key + "}"
+
+    items = [(i, fill(t, names)) for i, (t, names) in enumerate(templates)]
+    docs = []
+    for i in range(80):
+        noise = [" ".join(r.choice(lexicon) for _ in range(r.randint(0, 40))) for _ in range(2)]
+        t, names = r.choice(templates)
+        kind = i % 4
+        body = fill(t, r.sample(people, 2)) if kind == 0 else items[r.randrange(12)][1] if kind == 1 else " ".join(r.sample(t.split(), 24)).replace("{", "").replace("}", "") if kind == 2 else ""
+        docs.append((i, f"{noise[0]} {body} {noise[1]}"))
+    got = {(x.doc_id, x.item_id): x.exact for x in decontaminate.find(table(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = {}
+    for i, (t, _) in enumerate(templates):
+        pattern = re.sub(r"\\\{n(\d)\\\}", r"(?P<n\1>[A-Z][a-z]+)", re.escape(t), count=0)
+        seen = set()
+        pattern = re.sub(r"\(\?P<(n\d)>\[A-Z\]\[a-z\]\+\)", lambda m: m[0] if m[1] not in seen and not seen.add(m[1]) else f"(?P={m[1]})", pattern)
+        pattern = re.compile(r"\b" + re.sub(r"\\\{v\d+\\\}", r"\\d+", pattern) + r"\b")
+        for d, text in docs:
+            m = pattern.search(text)
+            if m and (len(m.groupdict()) < 2 or len(set(m.groupdict().values())) == 2):
+                want[d, i] = items[i][1] in text
+    assert len(want) >= 35 and {k for k in got if k not in want} == set()
+    lost = [k for k in want if k not in got]
+    values = lambda text: re.findall(r"\d+", text)
+    for d, i in lost:  # a value that stands for two is refused: the item's equal numbers must stay equal, and different ones different
+        own, theirs = values(items[i][1]), values(next(t for x, t in docs if x == d))
+        assert len(set(own)) < len(own) or len(set(theirs)) < len(theirs)
+    assert len(lost) <= 3 and all(got[k] == want[k] for k in got)
+
+
 def test_decontamination_word_for_word():
     assert held("What is 3 + 4", "Q: what is 3 + 4? A: 7") == (1, True) and held("What is 3 + 4", "Q: what is 3 + 5? A: 8") is None
     values = "12 kg 7 kg 3.5 9 1,000 44 8 15 6 2"
@@ -358,8 +538,8 @@ def test_decontamination_word_for_word():
     assert held(names, "he wrote Present Tom Anna Peter Maria John Paul on it")[1] and held(names, names.upper())[1]
     assert held(names, "Present: Tom Carol Dave Maria Frank Paul") is None
     words = [f"{c}{d}ord" for c in "abcdefghij" for d in "abcdefghijklmnopqrst"]
-    assert held(" ".join(words), "so " + " ".join(words[40:130]) + " end") == (86, True)
-    assert held(" ".join(words), "so " + " ".join(words[40:53]) + " end") == (9, True) and held(" ".join(words), "so " + " ".join(words[40:52]) + " end") is None
+    assert held(" ".join(words), "so " + " ".join(words[40:130]) + " end") == (86, False)  # a part of it
+    assert held(" ".join(words), "so " + " ".join(words[40:53]) + " end") == (9, False) and held(" ".join(words), "so " + " ".join(words[40:52]) + " end") is None
 
 
 # -- 7
@@ -421,22 +601,46 @@ def test_hidden_columns_are_never_read(spark):
 
 
 # -- 8
-def test_exact_dedup(spark):
+@pytest.mark.parametrize(("capacity", "hashed"), [(200, F.xxhash64), (1 << 20, F.xxhash64), (200, lambda text: F.pmod(F.length(text), F.lit(3))), (None, lambda text: F.lit(-1))])
+def test_exact_dedup(spark, capacity, hashed):
+    """With poor hashes as well: texts in one chain are told apart by their bytes."""
     rows = noisy()
     want = {}
     for i, t in rows:
         want.setdefault((t or "").translate(LOWER), []).append(i)
-    got = exact_dedup.resolve(exact_dedup.build(table(spark, rows), capacity=200)).collect()
+    index = exact_dedup.build(table(spark, rows), capacity=capacity, hashed=hashed)
+    got = exact_dedup.resolve(index).collect()
     assert len(got) == len(rows)
+    chains = index.chains.collect()
+    assert len(chains) == len(want)
+    for key in {r.key for r in chains}:
+        own = [r for r in chains if r.key == key]
+        assert len({r.bucket for r in own}) == 1 and sorted(r.chain for r in own) == list(range(1, own[0].texts + 1))
+    buckets = sorted((r.key % (1 << 64), r.bucket) for r in chains)
+    assert [b for _, b in buckets] == sorted(b for _, b in buckets)  # a bucket is a range of keys
     for text, ids in want.items():
         sha = hashlib.sha256(text.encode()).hexdigest()
         own = [r for r in got if r.sha == sha]
         top = max((i for i in ids if i is not None), default=None)
         assert len(own) == len(ids) and sum(r.kept for r in own) == 1
         assert all(r.group_size == len(ids) and r.keep_id == top for r in own) and next(r for r in own if r.kept).id == top
-    left = exact_dedup.without_copies(table(spark, rows))
-    assert left.columns == table(spark, rows).columns and left.count() == len(want)
+
+
+def test_exact_dedup_leaves_one(spark):
+    rows = noisy()
+    clashing = table(spark, rows).withColumns({c: F.lit("x") for c in ("row_id", "body", "key", "_row", "bucket")})
+    left = exact_dedup.without_copies(clashing)
+    kept = [(r.doc_id, r.text) for r in left.collect()]
+    groups = {}
+    for i, t in rows:
+        groups.setdefault((t or "").translate(LOWER), []).append(i)
+    assert left.columns == clashing.columns and all(r == "x" for r in left.select("_row", "key").distinct().first())
+    assert sorted(((t or "").translate(LOWER), i) for i, t in kept) == sorted((t, max(i for i in ids if i is not None)) for t, ids in groups.items())
+
+
+def test_exact_dedup_empty(spark):
     assert exact_dedup.resolve(exact_dedup.build(table(spark, []))).count() == 0
+    assert exact_dedup.without_copies(table(spark, [])).count() == 0
 
 
 def test_directory_doubling():
@@ -523,6 +727,29 @@ def test_html_keeps_the_article_whole(around, n):
 
 
 # -- shared
+def test_html_parts_of_an_article_stay():
+    text = "A long paragraph, with commas, that says something about the subject at hand. " * 3
+    wrapped = f"<html><body><form id='aspnetForm'><input type=hidden value=1><nav>Home</nav><article><h1>T</h1><p>{text}</p></article></form></body></html>"
+    assert html_extract.main_text(wrapped) == f"T\n{text.strip()}"
+    plain = f"<body><form action=x><div id=m><p>{text}</p><p>{text}</p></div><button>Go</button></form><footer>f</footer></body>"
+    assert html_extract.main_text(plain) == f"{text.strip()}\n{text.strip()}"
+    page = (
+        f"<body><div hidden>outside</div><article><h1>T</h1><p class='notice'>Note, first.</p><p>{text}</p><div class='patent-notice-text'>Patent 5.</div><p>A <span class='comment'>word</span> here.</p>"
+        "<div hidden>More of it.</div><div class='ad-box'>Buy</div><p class='ad'>Buy</p><section class='comments'><p>nice, very nice</p></section><div class='notice'>Cookies</div>"
+        "<form><label>Your mail</label></form></article></body>"
+    )
+    assert html_extract.main_text(page) == f"T\nNote, first.\n{text.strip()}\nPatent 5.\nA word here.\nMore of it."
+
+
+def test_html_long_tags_take_linear_time():
+    import time
+
+    begin = time.time()
+    assert html_extract.main_text("<p " + "a='b' \" " * 200_000 + "><p>x") is not None
+    assert html_extract.main_text("<article><p>x</p>" + "<div class='a b' " * 100_000) == "x"
+    assert time.time() - begin < 30
+
+
 def test_bitmap(spark):
     import numpy as np
 
