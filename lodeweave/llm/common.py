@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,9 +28,29 @@ def shared_folder(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+#: Scratch paths of the stages that are being watched, innermost last.
+_WATCHED: list[list[str]] = []
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new path below the shared folder."""
-    return f"{shared_folder(spark)}/lodeweave/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/lodeweave/{label}-{uuid.uuid4().hex}"
+    for paths in _WATCHED:
+        paths.append(path)
+    return path
+
+
+def written_alone(make: Callable[[], DataFrame], label: str) -> DataFrame:
+    """What ``make`` gives, written; all other scratch tables that were made for it are deleted then."""
+    _WATCHED.append(made := [])
+    try:
+        out = materialise(make(), label)
+    finally:
+        _WATCHED.remove(made)
+    for path in made:
+        if path != out.scratch:
+            delete_scratch(out.sparkSession, path)
+    return out
 
 
 def materialise(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:

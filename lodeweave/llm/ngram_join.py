@@ -60,6 +60,17 @@ def _name(s: np.ndarray) -> int:
     return _signed(xxhash.xxh3_64_intdigest(s.tobytes()))
 
 
+def _names(s: np.ndarray) -> tuple[int, int]:
+    """The name of a set and 64 more bits, by which two sets of one name are told apart."""
+    data = s.tobytes()
+    return _signed(xxhash.xxh3_64_intdigest(data)), _signed(xxhash.xxh3_64_intdigest(data, 1))
+
+
+def _row(id_col: str, text_col: str) -> list[Column]:
+    """Two 64-bit hashes of a row's id and text, by which decisions find their rows again."""
+    return [F.xxhash64(F.col(id_col), F.col(text_col)).alias("row"), F.xxhash64(F.lit(1), F.col(text_col), F.col(id_col)).alias("row2")]
+
+
 def least_overlap(n: Column, m: Column, percent: int) -> Column:
     """The least intersection that makes sets of these sizes similar."""
     return F.ceil(F.lit(percent) * (n + m) / F.lit(100.0 + percent) - F.lit(1e-9))
@@ -76,16 +87,16 @@ def _parities(counts: np.ndarray) -> np.ndarray:
 
 
 def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("row"), F.col(text_col).alias("text"))
+    return docs.select(F.col(id_col).alias("id"), *_row(id_col, text_col), F.col(text_col).alias("text"))
 
 
 def describe(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, np.ndarray]:
-    """Per row: id, row hash, set name (null if empty), set size and parities; and the orders of magnitude of hashed counts."""
+    """Per row: id, row hashes, set names (null if empty), set size and parities; and the orders of magnitude of hashed counts."""
     source = _source(docs, id_col, text_col)
     kind = source.schema["id"].dataType.simpleString()
-    schema = f"id {kind}, row bigint, sid bigint, n bigint, {', '.join(f'{q} bigint' for q in PARITIES)}, hist binary, task int, block int, counts binary"
+    schema = f"id {kind}, row bigint, row2 bigint, sid bigint, sid2 bigint, n bigint, {', '.join(f'{q} bigint' for q in PARITIES)}, hist binary, task int, block int, counts binary"
     kinds = pa.schema(
-        [("row", pa.int64()), ("sid", pa.int64()), ("n", pa.int64()), *[(q, pa.int64()) for q in PARITIES], ("hist", pa.binary()), ("task", pa.int32()), ("block", pa.int32()), ("counts", pa.binary())]
+        [("row", pa.int64()), ("row2", pa.int64()), ("sid", pa.int64()), ("sid2", pa.int64()), ("n", pa.int64()), *[(q, pa.int64()) for q in PARITIES], ("hist", pa.binary()), ("task", pa.int32()), ("block", pa.int32()), ("counts", pa.binary())]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,9 +113,9 @@ def describe(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "t
         for batch in batches:
             id_type = batch.column(0).type
             sids, sizes, parities, hists = [], [], [], []
-            for s in shingle_sets(batch.column(2), k):
+            for s in shingle_sets(batch.column(3), k):
                 sizes.append(len(s))
-                sids.append(_name(s) if len(s) else None)
+                sids.append(_names(s) if len(s) else (None, None))
                 counts = _counts(s)
                 parities.append(_parities(counts))
                 hists.append(np.minimum(counts, 255).astype(np.uint8).tobytes())
@@ -115,20 +126,20 @@ def describe(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "t
                     held = 0
             none = [None] * len(sids)
             q = np.array(parities, dtype=np.int64).reshape(-1, 4)
-            rest = [batch.column(1), pa.array(sids, pa.int64()), pa.array(sizes, pa.int64()), *[pa.array(q[:, i]) for i in range(4)], pa.array(hists, pa.binary()), *[pa.array(none, kinds.field(x).type) for x in ("task", "block", "counts")]]
+            rest = [batch.column(1), batch.column(2), *[pa.array([x[j] for x in sids], pa.int64()) for j in range(2)], pa.array(sizes, pa.int64()), *[pa.array(q[:, i]) for i in range(4)], pa.array(hists, pa.binary()), *[pa.array(none, kinds.field(x).type) for x in ("task", "block", "counts")]]
             yield pa.RecordBatch.from_arrays([batch.column(0), *rest], names=["id", *kinds.names])
         if many:
             add()
         if table.any():
             task = TaskContext.get().partitionId()
             for block, counts in enumerate(table.reshape(-1, 1 << 16)):
-                row = [None] * 8 + [task, block, _pack(counts)]
+                row = [None] * (len(kinds) - 3) + [task, block, _pack(counts)]
                 yield pa.RecordBatch.from_arrays([pa.array([None], id_type), *(pa.array([x], f.type) for x, f in zip(row, kinds, strict=True))], names=["id", *kinds.names])
         trim()
 
     both = materialise(source.mapInArrow(run, schema), "sets")
     counts = both.where("block is not null").select("task", "block", "counts")
-    return both.where("block is null").select("id", "row", "sid", "n", *PARITIES, "hist"), _orders(counts)
+    return both.where("block is null").select("id", "row", "row2", "sid", "sid2", "n", *PARITIES, "hist"), _orders(counts)
 
 
 def _pack(counts: np.ndarray) -> bytes:
@@ -408,11 +419,14 @@ def link(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id",
     ``label`` names a component by its smallest set. ``component`` is the smallest id that a row reaches by links; of an empty set its own id. Null
     and empty texts have empty sets, linked with nothing. Null ids are passed over as the smallest,
     unless a component has no other. Repeated rows are one class. An empty table gives no rows.
-    Other columns are ignored. Sets are told apart by 64-bit names and shingles by 64-bit hashes.
+    Other columns are ignored. Shingles are told apart by 64-bit hashes, sets by 128-bit ones: should two sets have
+    the same 64-bit name, the second is linked with nothing (it is never taken for the first). Buckets of up to
+    ``bucket`` members are compared pair by pair.
     """
     rows, orders = describe(docs, k, id_col, text_col)
-    firsts = [F.first(x).alias(x) for x in ("n", *PARITIES, "hist")]
-    sets = materialise(rows.where("sid is not null").groupBy("sid").agg(F.min("row").alias("row"), F.min("id").alias("id"), *firsts), "classes")
+    sets = rows.where("sid is not null").groupBy("sid", "sid2").agg(F.min("row").alias("row"), F.min("id").alias("id"), *[F.first(x).alias(x) for x in ("n", *PARITIES, "hist")])
+    first = F.row_number().over(Window.partitionBy("sid").orderBy("sid2")) == 1
+    sets = materialise(sets.withColumn("first", first).where("first").drop("first"), "classes")
     buckets = _buckets(prefixes(docs, orders, k, percent, id_col, text_col))
     stars = buckets.select(F.col("pivot.sid").alias("a"), F.col("pivot.n").alias("an"), F.col("pivot.i").alias("ai"), F.col("sid").alias("b"), F.col("n").alias("bn"), F.col("i").alias("bi"))
     pairs = stars.where("a <> b").where(_may_match(percent)).select("a", "b").distinct()
@@ -436,10 +450,10 @@ def link(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id",
     release(left, many)
     links = tested.where("ok").select("a", "b")
     labels = components(links, "a", "b")
-    named = sets.select("sid", "id").join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+    named = sets.select("sid", "sid2", "id").join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
     least = named.groupBy("label").agg(F.min("id").alias("component"))
-    named = named.join(least, "label").select("sid", "label", "component")
-    out = rows.join(named, "sid", "left").select("id", "row", "sid", "n", "label", F.when(F.col("sid").isNull(), F.col("id")).otherwise(F.col("component")).alias("component"))
+    named = named.join(least, "label").select("sid", "sid2", "label", "component")
+    out = rows.join(named, ["sid", "sid2"], "left").select("id", "row", "row2", "sid", "n", "label", F.when(F.col("label").isNull(), F.col("id")).otherwise(F.col("component")).alias("component"))
     return out, links
 
 
@@ -451,15 +465,16 @@ def without_near_copies(docs: DataFrame, k: int = 5, percent: int = 80, id_col:
     rows, _ = link(docs, k, percent, id_col, text_col)
     rows = materialise(rows.where("label is not null"), "components")
     # null ids come last
-    keep = rows.groupBy("label").agg(F.min(F.struct(F.col("id").isNull(), "id", "row"))["row"].alias("keep"))
-    marked = rows.join(keep, "label").select("row", (F.col("row") == F.col("keep")).alias("stays"))
-    known = materialise(marked.groupBy("row").agg(F.min("stays").alias("stays"), F.count("*").alias("times")).where("not stays or times > 1"), "decisions")
+    keep = rows.groupBy("label").agg(F.min(F.struct(F.col("id").isNull(), "id", "row", "row2")).alias("keep"))
+    stays = (F.col("row") == F.col("keep.row")) & (F.col("row2") == F.col("keep.row2"))
+    marked = rows.join(keep, "label").select("row", "row2", stays.alias("stays"))
+    known = materialise(marked.groupBy("row", "row2").agg(F.min("stays").alias("stays"), F.count("*").alias("times")).where("not stays or times > 1"), "decisions")
     # the caller's columns travel in a struct, so that none of them can clash
-    tagged = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("all"))
-    out = tagged.join(known, "row", "left_anti")
-    repeated = known.where("stays").select("row")
+    tagged = docs.select(*_row(id_col, text_col), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("all"))
+    out = tagged.join(known, ["row", "row2"], "left_anti")
+    repeated = known.where("stays").select("row", "row2")
     if not repeated.isEmpty():
-        out = out.unionByName(tagged.join(repeated, "row", "left_semi").dropDuplicates(["row"]))
+        out = out.unionByName(tagged.join(repeated, ["row", "row2"], "left_semi").dropDuplicates(["row", "row2"]))
     return out.select("all.*")
 
 

@@ -309,12 +309,12 @@ def _cleaned(texts: DataFrame, shape: Shape) -> DataFrame:
                 gone = np.cumsum(change)[:-1] > 0
                 begins = np.flatnonzero(gone & ~np.concatenate([[False], gone[:-1]]))
                 ends = np.flatnonzero(gone & ~np.concatenate([gone[1:], [False]])) + 1
-                rows.append((batch.column(0)[row].as_py(), int(gone.sum()), [{"start": int(a), "end": int(b)} for a, b in zip(begins, ends, strict=True)], hashlib.sha256(data[~gone].tobytes()).hexdigest()))
+                rows.append((batch.column(0)[row].as_py(), hashlib.sha256(data.tobytes()).hexdigest(), int(gone.sum()), [{"start": int(a), "end": int(b)} for a, b in zip(begins, ends, strict=True)], hashlib.sha256(data[~gone].tobytes()).hexdigest()))
             span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            columns = list(zip(*rows, strict=True)) or [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), span, pa.string()), strict=True)], names=["tid", "n_removed", "spans", "kept_sha256"])
+            columns = list(zip(*rows, strict=True)) or [[], [], [], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.string(), pa.int64(), span, pa.string()), strict=True)], names=["tid", "sha", "n_removed", "spans", "kept_sha256"])
 
-    return texts.select("tid", "text", "ranges").mapInArrow(run, "tid bigint, n_removed bigint, spans array<struct<start:bigint,end:bigint>>, kept_sha256 string")
+    return texts.select("tid", "text", "ranges").mapInArrow(run, "tid bigint, sha string, n_removed bigint, spans array<struct<start:bigint,end:bigint>>, kept_sha256 string")
 
 
 def _ranges(rows: DataFrame) -> DataFrame:
@@ -327,14 +327,15 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
     A byte goes if a string of ``length`` bytes over it also starts anywhere else, in the same text or
     another; overlaps count. Null and empty texts lose nothing, nor do texts below ``length`` bytes.
     Repeated rows are copies of each other and go whole. An empty table gives no rows. Other columns
-    are ignored. Texts are told apart by 64-bit hashes, strings are compared by 128-bit ones.
+    are ignored. Texts are told apart by SHA-256 where bytes are removed; should two texts have the same 64-bit name,
+    one of them loses nothing. Strings are compared by 128-bit hashes.
     """
     if length < 8:
         raise ValueError("length must be at least 8")
     shape = Shape(length)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = materialise(docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("tid"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("sha")), "rows")
-    copies = rows.groupBy("tid").agg(F.count("*").alias("copies"))
+    copies = rows.groupBy("tid", "sha").agg(F.count("*").alias("copies"))
     first = _repeated(_positions(docs, text_col, shape), ["h"], ["tid", "i"], F.col("run") == _TWICE).select("tid", "i", "run", "rank")
     first = materialise(first.dropDuplicates(["tid", "i", "run"]), "ranks-1")
     alive = _doubled(first.where(F.col("run") > _FAR), shape)
@@ -358,7 +359,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
     ranges = _ranges(settled.select("tid", "low", "high").union(found).union(far.where("x.high = -1").select("tid", "x.low", "x.high")))
     cleaned = materialise(_cleaned(texts.select("tid", "text").join(ranges, "tid"), shape), "cleaned")
     release(texts, stretches)
-    joined = rows.join(copies.where("copies > 1"), "tid", "left").join(cleaned, "tid", "left")
+    joined = rows.join(copies.where("copies > 1"), ["tid", "sha"], "left").join(cleaned, ["tid", "sha"], "left")
     whole = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
     everything = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end")))
     nothing = F.array().cast("array<struct<start:bigint,end:bigint>>")
