@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lodeweave.llm import bpe, decontaminate, exact_dedup, langid, ngram_join
-from lodeweave.llm.common import materialise, release
+from lodeweave.llm.common import release, written_alone
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +43,7 @@ STAGES = [
     ("decontamination", drop_benchmark),
     ("bpe", encode),
 ]
-#: SQL can't express the models, the join's components and the encoder; tests hold each stage against brute force.
+#: SQL can't express the models, the join's components and the encoder; tests hold the stages against plain Python.
 ORACLE_SQL = None
 
 
@@ -51,7 +51,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the whole documents table; each one's result is written and read again."""
     docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name)
+        docs = written_alone(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), name)
         if last is not None:
             release(last)
         last = docs
