@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodeweave.functions import maths
-
 EPSILON = 1e-15
 
 
@@ -40,14 +39,25 @@ def reliability(rows: DataFrame, by: list[str] | None = None, bins: int = 10) ->
     return rows.groupBy(*(by or []), at).agg(F.count("*").alias("n"), F.avg(clipped(F.col("confidence"))).alias("mean_confidence"), F.avg("label").alias("accuracy"))
 
 
-def ordered_risk(rows: DataFrame) -> DataFrame:
-    """Each distinct confidence with the accepted rows and errors from it up; counted per confidence before any window.
+def running(rows: DataFrame, order: str, sums: list[str], down: bool = False) -> DataFrame:
+    """``rows`` with the sums of all rows up to theirs by ``order`` (``run_`` columns), without a window over all of them.
 
-    What a global window sees is the distinct confidences, not the rows.
+    The rows are dealt by ranges of the order; each part adds what the parts before it sum up to. The window over
+    the parts sees a row for each.
     """
+    by = F.col(order).desc() if down else F.col(order).asc()
+    parts = rows.repartitionByRange(by).withColumn("_part", F.spark_partition_id()).persist()
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = parts.groupBy("_part").agg(*[F.sum(x).alias(x) for x in sums])
+    totals = totals.select("_part", *[F.coalesce(F.sum(x).over(before), F.lit(0)).alias(f"_{x}") for x in sums])
+    own = Window.partitionBy("_part").orderBy(by).rowsBetween(Window.unboundedPreceding, 0)
+    return parts.join(F.broadcast(totals), "_part").select(*rows.columns, *[(F.sum(x).over(own) + F.col(f"_{x}")).alias(f"run_{x}") for x in sums])
+
+
+def ordered_risk(rows: DataFrame) -> DataFrame:
+    """Each distinct confidence with the accepted rows and errors from it up; counted per confidence first."""
     grouped = rows.groupBy("confidence").agg(F.count("*").alias("n"), F.sum("label").alias("good"))
-    down = Window.orderBy(F.col("confidence").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    return grouped.select("confidence", "n", "good", F.sum("n").over(down).alias("accepted"), F.sum("good").over(down).alias("correct"))
+    return running(grouped, "confidence", ["n", "good"], down=True).withColumnsRenamed({"run_n": "accepted", "run_good": "correct"})
 
 
 def match_threshold(rows: DataFrame, precision: float = 0.9, least: int = 5) -> DataFrame:
@@ -63,9 +73,8 @@ def no_match_threshold(rows: DataFrame, match: float, least: int = 5, precision:
     ``label`` is 1 for rows that are absent. A row is predicted absent if its confidence is at most ``at_most``.
     """
     grouped = rows.groupBy("confidence").agg(F.count("*").alias("n"), F.sum("label").alias("good"))
-    up = Window.orderBy("confidence").rowsBetween(Window.unboundedPreceding, 0)
     total = rows.agg(F.sum("label").alias("absent"), (F.count("*") - F.sum("label")).alias("present"))
-    run = grouped.select("confidence", F.sum("n").over(up).alias("predicted"), F.sum("good").over(up).alias("correct")).crossJoin(F.broadcast(total))
+    run = running(grouped, "confidence", ["n", "good"]).select("confidence", F.col("run_n").alias("predicted"), F.col("run_good").alias("correct")).crossJoin(F.broadcast(total))
     run = run.withColumn("false", F.col("predicted") - F.col("correct"))
     ok = run.where((F.col("confidence") < match) & (F.col("predicted") >= least) & (F.col("correct") / F.col("predicted") >= precision) & (F.col("false") / F.col("present") <= most_false))
     best = ok.orderBy((F.col("correct") / F.col("absent")).desc(), "false", (F.col("correct") / F.col("predicted")).desc(), "confidence").limit(1)
@@ -89,15 +98,32 @@ def fit_logistic(rows: DataFrame, features: list[str], label: str, iterations: i
     return w.tolist(), float(b)
 
 
-def fit_isotonic(rows: DataFrame, x: str = "score", y: str = "label") -> list[tuple[float, float]]:
-    """Pool-adjacent-violators knots, from counts per distinct score (what reaches the driver)."""
-    grouped = rows.groupBy(x).agg(F.count("*").alias("n"), F.sum(y).alias("good")).orderBy(x)
+def _pool(pools: list[list[float]], low: float, high: float, n: float, good: float) -> None:
+    """Add a pool (range, rows, good ones) behind the others and merge while the shares don't rise."""
+    pools.append([low, high, n, good])
+    while len(pools) > 1 and pools[-2][3] / pools[-2][2] >= pools[-1][3] / pools[-1][2]:
+        last = pools.pop()
+        pools[-1][1], pools[-1][2], pools[-1][3] = last[1], pools[-1][2] + last[2], pools[-1][3] + last[3]
+
+
+def fit_isotonic(rows: DataFrame, x: str = "score", y: str = "label", most_knots: int = 100_000) -> list[tuple[float, float]]:
+    """Pool-adjacent-violators knots. Scores are dealt by ranges and pooled where they are; what reaches the
+    driver is each range's pools. A fit of more than ``most_knots`` pools is an error: it is no calibration."""
+    grouped = rows.groupBy(F.col(x).cast("double").alias("x")).agg(F.count("*").cast("double").alias("n"), F.sum(F.col(y).cast("double")).alias("good")).where("x is not null")
+
+    def local(batches):
+        pools: list[list[float]] = []
+        for pdf in batches:
+            for row in pdf[["x", "n", "good"]].to_numpy():
+                _pool(pools, row[0], row[0], row[1], row[2])
+        yield pd.DataFrame(pools, columns=["low", "high", "n", "good"])
+
+    pooled = grouped.repartitionByRange("x").sortWithinPartitions("x").mapInPandas(local, "low double, high double, n double, good double")
     pools: list[list[float]] = []
-    for r in grouped.toLocalIterator():
-        pools.append([r[x], r[x], float(r["n"]), float(r["good"])])
-        while len(pools) > 1 and pools[-2][3] / pools[-2][2] >= pools[-1][3] / pools[-1][2]:
-            low, high = pools[-2], pools.pop()
-            low[1], low[2], low[3] = high[1], low[2] + high[2], low[3] + high[3]
+    for r in pooled.toLocalIterator():  # part by part, so in order
+        _pool(pools, *r)
+        if len(pools) > most_knots:
+            raise ValueError(f"the fit has more than {most_knots} pools")
     out = []
     for low, high, n, good in pools:
         out += [(low, good / n)] + ([(high, good / n)] if high > low else [])
@@ -105,12 +131,48 @@ def fit_isotonic(rows: DataFrame, x: str = "score", y: str = "label") -> list[tu
 
 
 def temperatures(rows: DataFrame, steps: range = range(-400, 401)) -> DataFrame:
-    """Mean log loss of each temperature of a grid over (score, label); all steps in one pass over the rows."""
-    grid = F.explode(F.transform(F.sequence(F.lit(steps.start), F.lit(steps.stop - 1)), lambda s: s)).alias("step")
+    """Mean log loss of each temperature of a grid over (score, label): each task sums all steps over its rows, and
+    gives a row for each step."""
     grouped = rows.groupBy("score", "label").agg(F.count("*").alias("n"))
-    g = grouped.select("score", "label", "n", grid)
-    loss = log_loss(maths.sigmoid(F.col("score") / F.exp(F.col("step") / 100)), F.col("label"))
-    return g.groupBy("step").agg((F.sum(loss * F.col("n")) / F.sum("n")).alias("nll"))
+    scale = np.exp(np.array(steps) / 100.0)
+
+    def run(batches):
+        loss, seen = np.zeros(len(scale)), 0
+        for pdf in batches:
+            for at in range(0, len(pdf), 4096):
+                part = pdf.iloc[at : at + 4096]
+                score, label, n = (part[c].to_numpy(dtype=float)[:, None] for c in ("score", "label", "n"))
+                c = np.clip(1 / (1 + np.exp(-np.clip(score / scale, -40, 40))), EPSILON, 1 - EPSILON)
+                loss += (-(label * np.log(c) + (1 - label) * np.log(1 - c)) * n).sum(axis=0)
+                seen += int(n.sum())
+        if seen:
+            yield pd.DataFrame({"step": list(steps), "loss": loss, "n": seen})
+
+    return grouped.mapInPandas(run, "step int, loss double, n long").groupBy("step").agg((F.sum("loss") / F.sum("n")).alias("nll"))
+
+
+def calibrators(rows: DataFrame, by: str = "name") -> DataFrame:
+    """Brier score, log loss and calibration error of each calibrator (``confidence``, ``label``), rounded, and its place:
+    by Brier score, then log loss, then calibration error, then name."""
+    c = clipped(F.col("confidence"))
+    m = rows.groupBy(by).agg(F.round(F.avg((c - F.col("label")) ** 2), 6).alias("brier"), F.round(F.avg(log_loss(F.col("confidence"), F.col("label"))), 6).alias("nll"))
+    gap = F.sum(F.col("n") * F.abs(F.col("mean_confidence") - F.col("accuracy"))) / F.sum("n")
+    m = m.join(reliability(rows, [by]).groupBy(by).agg(F.round(gap, 6).alias("ece")), by)
+    # a row for each calibrator
+    return m.withColumn("place", F.row_number().over(Window.orderBy("brier", "nll", "ece", by)))
+
+
+def stopped(history: DataFrame, by: str, epoch: str, metric: str, patience: int) -> DataFrame:
+    """Early stopping of each run in ``by``: the first best epoch up to the one that is the ``patience``-th in a row without
+    a new best, that epoch, the best metric and the epochs since. Epochs count from one in the order of ``epoch``."""
+    order = Window.partitionBy(by).orderBy(epoch)
+    best = F.max(metric).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    h = history.select(by, metric, epoch, F.row_number().over(order).alias("at"), (best.isNull() | (F.col(metric) > best)).alias("better"))
+    h = h.withColumn("last", F.max(F.when(F.col("better"), F.col("at"))).over(order)).withColumn("stale", F.col("at") - F.col("last"))
+    until = F.min(F.when(F.col("stale") >= patience, F.col("at"))).over(Window.partitionBy(by))
+    seen = h.withColumn("until", until).where("until is null or at <= until")
+    end = F.struct("at", "last", "stale")
+    return seen.groupBy(by).agg(F.max(end).alias("x"), F.max(metric).alias("best")).select(by, F.col("x.last").alias("selected_epoch"), F.col("x.at").alias("stop_epoch"), "best", F.col("x.stale").alias("stale"))
 
 
 def gates(metrics: DataFrame, rules: list[tuple[str, str, float]]) -> DataFrame:

@@ -249,25 +249,28 @@ def isotonic_fit(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     with_(CALIBRATION)
-    + ", k AS (SELECT 'as given' AS name, confidence AS c, label FROM rows UNION ALL SELECT 'even', 0.5, label FROM rows UNION ALL SELECT 'base rate', (SELECT avg(label) FROM rows), label FROM rows) "
-    "SELECT name, round(avg((c - label) ** 2), 6) AS brier, row_number() OVER (ORDER BY round(avg((c - label) ** 2), 6), name)::INTEGER AS place FROM k GROUP BY name"
+    + ", k0 AS (SELECT 'as given' AS name, confidence AS c, label FROM rows UNION ALL SELECT 'even', 0.5, label FROM rows UNION ALL SELECT 'base rate', (SELECT avg(label) FROM rows), label FROM rows UNION ALL SELECT 'half', 0.5, label FROM rows), "
+    f"k AS (SELECT name, label, least(1 - 1e-15, greatest(1e-15, c)) AS c FROM k0), b AS (SELECT name, least(floor(c * 10), 9) AS bin, count(*) AS n, avg(c) AS mc, avg(label) AS acc FROM k GROUP BY 1, 2), e AS (SELECT name, round(sum(n * abs(mc - acc)) / sum(n), 6) AS ece FROM b GROUP BY name), "
+    f"m AS (SELECT name, round(avg((c - label) ** 2), 6) AS brier, round(avg({_NLL}), 6) AS nll FROM k GROUP BY name) SELECT name, brier, nll, ece, row_number() OVER (ORDER BY brier, nll, ece, name)::INTEGER AS place FROM m JOIN e USING (name)"
 )
 def calibrator_selection(spark: SparkSession, sf: str) -> DataFrame:
-    """Calibrators ordered by Brier score, then by name."""
+    """Calibrators ordered by Brier score, log loss, calibration error and name; two of them tie in all but the name."""
     rows = calibration_rows(spark, sf)
     base = rows.agg(F.avg("label").alias("base"))
-    arms = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), c.alias("c")) for n, c in (("as given", F.col("confidence")), ("even", F.lit(0.5)), ("base rate", F.col("base")))])).alias("x")
-    k = rows.crossJoin(F.broadcast(base)).select("label", arms).groupBy("x.name").agg(F.round(F.avg((F.col("x.c") - F.col("label")) ** 2), 6).alias("brier"))
-    return k.select("name", "brier", F.row_number().over(Window.orderBy("brier", "name")).alias("place"))
+    arms = (("as given", F.col("confidence")), ("even", F.lit(0.5)), ("base rate", F.col("base")), ("half", F.lit(0.5)))
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), c.alias("confidence")) for n, c in arms])).alias("x")
+    return measure.calibrators(rows.crossJoin(F.broadcast(base)).select("label", each).select("label", "x.*"))
 
 
 @query(
-    "SELECT user_id, max(value) AS best, arg_max(event_id, value) AS best_event, count(*) - count_if(value = m) AS stale FROM (SELECT *, max(value) OVER (PARTITION BY user_id ORDER BY event_id) AS m FROM events) GROUP BY user_id"
+    "WITH o AS (SELECT *, row_number() OVER w AS pos, max(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)), "
+    "l AS (SELECT *, max(CASE WHEN before IS NULL OR value > before THEN pos END) OVER (PARTITION BY user_id ORDER BY event_id) AS last FROM o), "
+    "u AS (SELECT *, min(CASE WHEN pos - last >= 3 THEN pos END) OVER (PARTITION BY user_id) AS until FROM l), s AS (SELECT * FROM u WHERE until IS NULL OR pos <= until) "
+    "SELECT user_id, arg_max(last, pos)::INTEGER AS selected_epoch, max(pos)::INTEGER AS stop_epoch, max(value) AS best, (max(pos) - arg_max(last, pos))::INTEGER AS stale FROM s GROUP BY user_id"
 )
 def early_stopping(spark: SparkSession, sf: str) -> DataFrame:
-    """The best value so far of each user, where it came, and how many events didn't reach it."""
-    m = table(spark, sf, "events").withColumn("m", F.max("value").over(Window.partitionBy("user_id").orderBy("event_id")))
-    return m.groupBy("user_id").agg(F.max("value").alias("best"), F.max_by("event_id", F.struct("value", -F.col("event_id"))).alias("best_event"), (F.count("*") - F.count_if(F.col("value") == F.col("m"))).alias("stale"))
+    """Each user's events as a training run: the best epoch, and where three epochs in a row without a new best end it."""
+    return measure.stopped(table(spark, sf, "events"), "user_id", "event_id", "value", patience=3)
 
 
 @query(

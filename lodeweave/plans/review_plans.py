@@ -163,14 +163,14 @@ def alignment_status(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "WITH v AS (SELECT p_brand, p_name, p_type, count(*) AS n FROM part GROUP BY 1, 2, 3), c AS (SELECT p_brand, p_name, array_to_string(list_sort(list(p_type || ':' || n::VARCHAR)), ',') AS variants FROM v GROUP BY 1, 2) "
-    "SELECT p_brand, count(*) AS castings, sha256(array_to_string(list_sort(list(p_name || '[' || variants || ']')), ';')) AS digest FROM c GROUP BY p_brand"
+    "SELECT p_brand, count(*) AS castings, " + hashing.content_digest_sql("p_name || '[' || variants || ']'") + " AS digest FROM c GROUP BY p_brand"
 )
 def nested_catalog(spark: SparkSession, sf: str) -> DataFrame:
     """Variants nested in castings nested in brands, as a digest of the nested text."""
     v = table(spark, sf, "part").groupBy("p_brand", "p_name", "p_type").agg(F.count("*").alias("n"))
     c = v.groupBy("p_brand", "p_name").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "p_type", F.col("n").cast("string")))), ",").alias("variants"))
     line = F.concat("p_name", F.lit("["), "variants", F.lit("]"))
-    return c.groupBy("p_brand").agg(F.count("*").alias("castings"), F.sha2(F.array_join(F.array_sort(F.collect_list(line)), ";"), 256).alias("digest"))
+    return c.groupBy("p_brand").agg(F.count("*").alias("castings"), hashing.content_digest(line).alias("digest"))
 
 
 @query(
@@ -207,11 +207,11 @@ def append_only_ledger(spark: SparkSession, sf: str) -> DataFrame:
     return ledger.groupBy("user_id").agg(F.count("*").alias("events"), F.min("h").alias("first_hash"))
 
 
-@query("SELECT date_trunc('day', ts)::DATE::VARCHAR AS day, count(*) AS events, sha256(array_to_string(list_sort(list(event_id::VARCHAR)), ',')) AS digest FROM events GROUP BY 1")
+@query("SELECT date_trunc('day', ts)::DATE::VARCHAR AS day, count(*) AS events, " + hashing.content_digest_sql("event_id::VARCHAR") + " AS digest FROM events GROUP BY 1")
 def idempotent_batches(spark: SparkSession, sf: str) -> DataFrame:
     """The content digest by which an import of a day is known as done."""
     e = table(spark, sf, "events").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day"))
-    return e.agg(F.count("*").alias("events"), F.sha2(F.array_join(F.array_sort(F.collect_list(F.col("event_id").cast("string"))), ","), 256).alias("digest"))
+    return e.agg(F.count("*").alias("events"), hashing.content_digest(F.col("event_id").cast("string")).alias("digest"))
 
 
 @query("SELECT event_id, upper(trim(event_type)) AS kind, TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS collected_at, CASE WHEN value < 0 THEN 'rejected' ELSE 'accepted' END AS status FROM events")

@@ -332,7 +332,7 @@ def year_stratified_quota_split(spark: SparkSession, sf: str) -> DataFrame:
     return k.join(F.broadcast(r), "y").groupBy("y").agg(F.count("*").alias("total"), F.count_if(chosen).alias("chosen"), F.min(F.when(chosen, F.col("o_orderkey"))).alias("first_id"))
 
 
-@query("SELECT n_regionkey, sha256(array_to_string(list_sort(list(n_nationkey::VARCHAR || '=' || n_name)), chr(10))) AS digest, count(*) AS n FROM nation GROUP BY n_regionkey")
+@query("SELECT n_regionkey, " + hashing.content_digest_sql("n_nationkey::VARCHAR || '=' || n_name") + " AS digest, count(*) AS n FROM nation GROUP BY n_regionkey")
 def content_checksum(spark: SparkSession, sf: str) -> DataFrame:
     """A digest of the rows of each group that doesn't depend on their order."""
     line = F.concat_ws("=", F.col("n_nationkey").cast("string"), "n_name")

@@ -5,16 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodeweave.functions import hashing
 
-def digest_of(rows: DataFrame) -> str:
-    """A digest of a table's rows that doesn't depend on their order or files.
 
-    Row hashes are added up in four 32-bit lanes, so nothing but four numbers and a count is gathered.
-    """
-    line = F.sha2(F.to_json(F.struct(*sorted(rows.columns)), {"ignoreNullFields": "false"}), 256)
-    lanes = [F.sum(F.conv(F.substring(line, 1 + 8 * i, 8), 16, 10).cast("decimal(38,0)")).alias(f"l{i}") for i in range(4)]
-    r = rows.agg(F.count("*").alias("n"), *lanes).first()
-    return "-".join(str(x or 0) for x in r)
+def digest_of(rows: DataFrame) -> str:
+    """A digest of a table's rows that doesn't depend on their order or files."""
+    return rows.agg(hashing.content_digest(F.to_json(F.struct(*sorted(rows.columns)), {"ignoreNullFields": "false"})).alias("digest")).first()["digest"]
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
