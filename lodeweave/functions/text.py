@@ -123,6 +123,13 @@ def windows(tokens: Column, size: int) -> Column:
     ).otherwise(F.array().cast("array<string>"))
 
 
+def windows_up_to(tokens: Column, longest: Column) -> Column:
+    """All runs of one to ``longest`` tokens joined by spaces; the most may differ from row to row."""
+    most = F.least(F.size(tokens), longest)
+    sizes = F.when(most >= 1, F.sequence(F.lit(1), most)).otherwise(F.array().cast("array<int>"))
+    return F.flatten(F.transform(sizes, lambda n: F.transform(F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda i: F.array_join(F.slice(tokens, i, n), " "))))
+
+
 def atoms(text: Column) -> Column:
     """Runs of letters and runs of digits."""
     return F.regexp_extract_all(text, F.lit("[a-z]+|[0-9]+"), F.lit(0))

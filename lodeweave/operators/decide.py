@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodeweave.functions import maths, text
+from lodeweave.functions import exact, maths, text
 from lodeweave.operators import retrieve
 
 #: Weights and intercepts over (top score, margin, support, matches, conflicts) (fixed values).
@@ -54,6 +56,21 @@ def features(queries: DataFrame, candidates: DataFrame, rank: str = "rrf_rank",
     return queries.join(best, "query_id", "left").fillna(zero)
 
 
+#: Sources and structured fields in the order of the feature vector (fixed values).
+SOURCES = ("sparse", "dense", "structured")
+STRUCTURED = ("year", "collector_number", "series_position", "color", "series")
+
+
+def feature_vector(logit: Column) -> dict[str, Column]:
+    """The 21 features of a candidate by name, in order: its logit, fused score and inverse rank; of each source whether it has
+    it and the inverse rank; of each field whether it matches and whether it conflicts; and the shares of both."""
+    out = {"logit": logit.cast("double"), "rrf_score": F.col("rrf_score"), "rrf_inverse": 1.0 / F.col("rrf_rank")}
+    out |= {f"in_{n}": F.col(f"{n}_rank").isNotNull().cast("double") for n in SOURCES}
+    out |= {f"{n}_inverse": F.coalesce(1.0 / F.col(f"{n}_rank"), F.lit(0.0)) for n in SOURCES}
+    out |= {f"{n}_{kind}": F.array_contains(kind, n).cast("double") for kind in ("matches", "conflicts") for n in STRUCTURED}
+    return out | {"matched": F.size("matches") / 5.0, "conflicting": F.size("conflicts") / 5.0}
+
+
 def probability(weights: tuple[float, ...] = FUSION_WEIGHTS, intercept: float = FUSION_INTERCEPT) -> Column:
     names = ("top1_score", "margin", "source_support", "match_count", "conflict_count")
     return maths.sigmoid(sum((F.lit(w) * F.col(n) for w, n in zip(weights, names, strict=True)), F.lit(intercept)))
@@ -78,20 +95,26 @@ def decide(featured: DataFrame, match: float = MATCH, no_match: float = NO_MATCH
     return out.withColumn("status", status)
 
 
-def candidates(signals: DataFrame, catalog: DataFrame, limit: int = retrieve.MOST) -> DataFrame:
-    """Fused candidates of sparse, hashed-dense (optional, see ``dense``) and structured retrieval with their evidence."""
+def candidates(signals: DataFrame, catalog: DataFrame, limit: int = retrieve.MOST, embed: Callable = exact.embed) -> DataFrame:
+    """Fused candidates of sparse, dense and structured retrieval with their evidence.
+
+    ``embed`` turns a text column into vectors. ``signals`` is read by each retriever, so it should be a table or persisted.
+    """
     posted = retrieve.postings(catalog, "doc_id", text.words(F.col("search_text")))
     wanted = signals.select("query_id", F.explode("tokens").alias("token"))
     size = catalog.agg(F.count("*").alias("n"))
-    sparse = retrieve.top(retrieve.sparse(wanted, posted, size), limit)
-    structured = retrieve.top(retrieve.structured(signals, catalog), limit)
-    fused = retrieve.fuse({"sparse": sparse, "structured": structured}, limit=limit)
+    sources = {
+        "sparse": retrieve.top(retrieve.sparse(wanted, posted, size), limit),
+        "dense": retrieve.dense(signals.select("query_id", embed("normalized_title").alias("vec")), catalog.select("doc_id", embed("search_text").alias("vec")), limit),
+        "structured": retrieve.top(retrieve.structured(signals, catalog), limit),
+    }
+    fused = retrieve.fuse(sources, limit=limit)
     keep = ["query_id", "title", "normalized_title", "year", "collector", "position_text", "color_hints", "series_hints"]
     joined = fused.join(retrieve.comparable_query(signals.select(*keep)), "query_id").join(retrieve.comparable_record(catalog).select("doc_id", "search_text", "release_year", "collector_number", "series_position", "color", "series", "_c_year", "_c_collector", "_c_position", "_c_color", "_c_series"), "doc_id")
     return retrieve.evidence(joined)
 
 
-def resolve(signals: DataFrame, catalog: DataFrame) -> DataFrame:
+def resolve(signals: DataFrame, catalog: DataFrame, embed: Callable = exact.embed) -> DataFrame:
     """The whole path: signals to candidates to confidence to a decision for every query."""
-    found = candidates(signals, catalog)
+    found = candidates(signals, catalog, embed=embed)
     return decide(features(signals.select("query_id", "title", "expected_id"), found).withColumn("confidence", probability()))

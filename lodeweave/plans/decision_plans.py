@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodeweave.functions import maths
+from lodeweave.functions import exact, maths
 from lodeweave.operators import decide, measure
-from lodeweave.plans.frames import catalog, query_signals, table, titles, with_
+from lodeweave.plans.frames import catalog, query_signals, table, titles, with_, pool
 from lodeweave.plans.retrieval_plans import BASE, RERANKED, reranked
 
 QUERIES: dict = {}
@@ -41,14 +41,14 @@ decided AS (SELECT *, CASE WHEN reason IN ('no_candidates', 'no_candidate_above_
 @query(with_(*BASE, FEATURES) + " SELECT query_id, round(top1_score, 6) AS top1_score, round(margin, 6) AS margin, round(source_support, 6) AS source_support, match_count, conflict_count FROM features")
 def margin_features(spark: SparkSession, sf: str) -> DataFrame:
     s = query_signals(spark, sf)
-    f = decide.features(s.select("query_id"), decide.candidates(s, catalog(spark, sf)))
+    f = decide.features(s.select("query_id"), pool(spark, sf, s))
     return f.select("query_id", *[F.round(n, 6).alias(n) for n in ("top1_score", "margin", "source_support")], "match_count", "conflict_count")
 
 
 @query(with_(*BASE, FEATURES, DECIDED) + " SELECT query_id, title, CASE WHEN status = 'matched' THEN top_id END AS doc_id, status, reason, round(confidence, 6) AS confidence FROM decided")
 def resolve_decisions(spark: SparkSession, sf: str) -> DataFrame:
     """Every title resolved: the flagship."""
-    d = decide.resolve(query_signals(spark, sf), catalog(spark, sf))
+    d = decide.resolve(query_signals(spark, sf), catalog(spark, sf), embed=exact.embed_md5)
     return d.select("query_id", "title", F.when(F.col("status") == "matched", F.col("top_id")).alias("doc_id"), "status", "reason", F.round("confidence", 6).alias("confidence"))
 
 
@@ -64,7 +64,7 @@ SELECT count(*) AS sample_count, count(expected_id) AS matched_count, round(avg(
 def recall_mrr_report(spark: SparkSession, sf: str) -> DataFrame:
     """The evaluation report in one pass over the decisions."""
     s, c = query_signals(spark, sf), catalog(spark, sf)
-    found = decide.candidates(s, c)
+    found = pool(spark, sf, s)
     d = decide.decide(decide.features(s.select("query_id", "title", "expected_id"), found).withColumn("confidence", decide.probability()))
     target = found.select("query_id", F.col("doc_id").alias("expected_id"), F.col("rrf_rank").alias("rank"))
     r = d.join(target, ["query_id", "expected_id"], "left")
@@ -281,6 +281,6 @@ def early_stopping(spark: SparkSession, sf: str) -> DataFrame:
 def staged_proposal(spark: SparkSession, sf: str) -> DataFrame:
     """A proposed label: one exact candidate, some candidate, or none."""
     s = query_signals(spark, sf)
-    p = decide.candidates(s, catalog(spark, sf)).groupBy("query_id").agg(F.count("*").alias("n"), F.count_if((F.size("conflicts") == 0) & F.array_contains("matches", "collector_number")).alias("exact"))
+    p = pool(spark, sf, s).groupBy("query_id").agg(F.count("*").alias("n"), F.count_if((F.size("conflicts") == 0) & F.array_contains("matches", "collector_number")).alias("exact"))
     label = F.when(F.col("exact") == 1, "matched").when(F.coalesce("n", F.lit(0)) > 0, "ambiguous").otherwise("no_match")
     return s.select("query_id").join(p, "query_id", "left").select("query_id", label.alias("proposal"))

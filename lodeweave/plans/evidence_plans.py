@@ -5,13 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodeweave.functions import exact, maths, text
+from lodeweave.functions import maths, text
 from lodeweave.operators import decide, evidence, retrieve
-from lodeweave.plans.frames import CATALOG, NORMALIZED, TITLES, WORDS, catalog, query_signals, table, titles, with_
+from lodeweave.plans.frames import CATALOG, NORMALIZED, TITLES, WORDS, catalog, query_signals, table, titles, with_, pool
 from lodeweave.plans.retrieval_plans import BASE, _cosine_sql, _forms, ranked
 
-#: Most distinct atoms or words that are handed to UDFs as one table.
-MOST_ATOMS = 1_000_000
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
@@ -67,15 +65,15 @@ def _scored(spark: SparkSession, sf: str) -> DataFrame:
     """Candidates of each title with coverage and alignment evidence."""
     s, c = query_signals(spark, sf), catalog(spark, sf)
     posted = retrieve.postings(c, "doc_id", text.atoms(text.normalize(F.col("casting"))))
-    # the weights of name atoms go to the UDF; more than a million different atoms are refused
-    rows = retrieve.frequencies(posted).crossJoin(F.broadcast(c.agg(F.count("*").alias("n")))).select("token", maths.idf(F.col("n"), F.col("df")).alias("idf")).take(MOST_ATOMS + 1)
-    if len(rows) > MOST_ATOMS:
-        raise ValueError("too many different atoms for a shared table of weights")
-    idf = {r["token"]: r["idf"] for r in rows}
-    found = decide.candidates(s, c).join(c.select("doc_id", "casting", "alias"), "doc_id")
+    idf = retrieve.frequencies(posted).crossJoin(F.broadcast(c.agg(F.count("*").alias("n")))).select("token", maths.idf(F.col("n"), F.col("df")).alias("idf"))
+    most = idf.agg(F.coalesce(F.max("idf"), F.lit(1.0)).alias("most"))
+    asked = evidence.weighted(s, "query_id", text.atoms(text.normalize(F.col("title"))), idf, "asked")
+    held = evidence.weighted(c, "doc_id", F.concat(text.atoms(text.normalize(F.col("casting"))), text.atoms(text.normalize(F.col("alias")))), idf, "held")
+    found = pool(spark, sf, s).join(c.select("doc_id", "casting", "alias"), "doc_id").join(asked, "query_id", "left").join(held, "doc_id", "left").crossJoin(F.broadcast(most))
     names = F.array("casting", "alias")
-    run = evidence.window_evidence(idf, max(idf.values(), default=1.0))
-    return found.select("query_id", "doc_id", "rrf_rank", "title", evidence.token_coverage("title", names).alias("coverage"), run("title", names).alias("evidence"))
+    none = F.array().cast(evidence.WEIGHTS)
+    run = evidence.window_evidence("title", names, F.concat(F.coalesce("asked", none), F.coalesce("held", none)), "most")
+    return found.select("query_id", "doc_id", "rrf_rank", "title", evidence.token_coverage("title", names).alias("coverage"), run.alias("evidence"))
 
 
 @query()
@@ -100,28 +98,29 @@ SELECT query_id, doc_id, rrf_rank = 1 OR coverage + 1e-12 >= 0.75 AS secondary,
 )
 def anchored_admission(spark: SparkSession, sf: str) -> DataFrame:
     """Three ways to admit candidates by how much of the title they cover."""
-    found = decide.candidates(query_signals(spark, sf), catalog(spark, sf))
+    found = pool(spark, sf)
     a, b = F.array_distinct(text.words(F.col("title"))), text.words(F.col("search_text"))
     c = found.withColumn("coverage", F.size(F.array_intersect(a, b)) / F.size(a))
     rank, coverage = F.col("rrf_rank"), F.col("coverage")
     return c.select("query_id", "doc_id", evidence.admitted(rank, coverage).alias("secondary"), (coverage + 1e-12 >= 0.5).alias("plain"), evidence.anchored(rank, coverage, F.lit(None).cast("double"), 0.6).alias("anchored"))
 
 
-@query()
+@query(
+    with_(CATALOG)
+    + f""", w AS (SELECT DISTINCT unnest({WORDS.format('casting')}) AS piece FROM catalog), d AS (SELECT DISTINCT {NORMALIZED.format('casting')} AS casting FROM catalog), t AS (SELECT casting, replace(casting, ' ', '') AS token FROM d),
+r AS (SELECT casting, token, 0 AS done, [] :: VARCHAR[] AS parts FROM t),
+s1 AS (SELECT casting, token, length(piece) AS done, [piece] AS parts FROM r JOIN w ON starts_with(token, piece) WHERE length(piece) >= 2),
+s2 AS (SELECT casting, token, done + length(piece) AS done, list_append(parts, piece) AS parts FROM s1 JOIN w ON starts_with(substr(token, done + 1), piece) WHERE length(piece) >= 2),
+s3 AS (SELECT casting, token, done + length(piece) AS done, list_append(parts, piece) AS parts FROM s2 JOIN w ON starts_with(substr(token, done + 1), piece) WHERE length(piece) >= 2),
+a AS (SELECT * FROM s1 UNION ALL SELECT * FROM s2 UNION ALL SELECT * FROM s3), b AS (SELECT casting, parts, row_number() OVER (PARTITION BY casting ORDER BY len(parts), parts) AS pick FROM a WHERE done = length(token))
+SELECT casting, array_to_string(parts, ' ') AS parts FROM t LEFT JOIN (SELECT * FROM b WHERE pick = 1) USING (casting)"""
+)
 def token_segmentation(spark: SparkSession, sf: str) -> DataFrame:
     """Names written together, broken into the catalogue's words again."""
     c = catalog(spark, sf)
-    words = c.select(F.explode(text.words(F.col("casting")))).distinct().take(MOST_ATOMS + 1)
-    if len(words) > MOST_ATOMS:
-        raise ValueError("too many different words for a shared table")
-    terms = frozenset(r[0] for r in words)
-
-    @F.udf("array<string>", useArrow=True)
-    def segment(token):
-        return exact.segment(token, terms)
-
     d = c.select(text.normalize(F.col("casting")).alias("casting")).distinct()
-    return d.select("casting", segment(F.replace("casting", F.lit(" "), F.lit(""))).alias("parts"))
+    parts = evidence.segmented(d, "casting", F.replace("casting", F.lit(" "), F.lit("")), c.select(F.explode(text.words(F.col("casting")))))
+    return parts.select("casting", F.array_join("parts", " ").alias("parts"))
 
 
 @query(
@@ -164,7 +163,7 @@ def abstention_gates(spark: SparkSession, sf: str) -> DataFrame:
 )
 def listwise_examples(spark: SparkSession, sf: str) -> DataFrame:
     """The pool of each answerable title and where its target stands in it."""
-    t = decide.candidates(query_signals(spark, sf), catalog(spark, sf)).join(titles(spark, sf).where("expected_id is not null").select("query_id", "expected_id"), "query_id")
+    t = pool(spark, sf).join(titles(spark, sf).where("expected_id is not null").select("query_id", "expected_id"), "query_id")
     hit = F.col("doc_id") == F.col("expected_id")
     return t.groupBy("query_id").agg(F.count("*").alias("pool"), F.min(F.when(hit, F.col("rrf_rank"))).alias("target_at"), F.bool_or(hit).alias("eligible"))
 
@@ -175,7 +174,7 @@ def listwise_forward(spark: SparkSession, sf: str) -> DataFrame:
     import numpy as np
     import pandas as pd
 
-    found = decide.candidates(query_signals(spark, sf), catalog(spark, sf))
+    found = pool(spark, sf)
     rows = found.select("query_id", "doc_id", "rrf_rank", (1.0 / F.col("rrf_rank")).alias("a"), F.size("matches").cast("double").alias("b"), F.size("conflicts").cast("double").alias("c"))
 
     def forward(pdf: pd.DataFrame) -> pd.DataFrame:

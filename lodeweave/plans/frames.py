@@ -7,10 +7,11 @@ catalogue.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeweave.functions import text
+from lodeweave.functions import exact, text
+from lodeweave.operators import decide
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -89,21 +90,31 @@ def query_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Titles with everything that can be read off them, hints from the catalogue's vocabularies included.
 
     A vocabulary value is found by its token windows, an equi-join, and not by comparing each title
-    with each value.
+    with each value. The rows are persisted, since every retriever reads them.
     """
     t = titles(spark, sf_dir).select("query_id", "title", "expected_id", "template", *text.signals(F.col("title")))
     c = catalog(spark, sf_dir)
     return t.join(hints(t, c, "color"), "query_id", "left").join(hints(t, c, "series"), "query_id", "left").select(
         *t.columns, *[F.coalesce(f"{n}_hints", F.array().cast("array<string>")).alias(f"{n}_hints") for n in ("color", "series")]
-    )
+    ).persist()
+
+
+def pool(spark: SparkSession, sf_dir: str, signals: DataFrame | None = None) -> DataFrame:
+    """The fused candidates of all titles; vectors by MD5, so that the twin can follow."""
+    return decide.candidates(signals if signals is not None else query_signals(spark, sf_dir), catalog(spark, sf_dir), embed=exact.embed_md5)
+
+
+def mentions(t: DataFrame, values: DataFrame, tokens: Column) -> DataFrame:
+    """query_id and each of the ``values`` (of any number of tokens) whose tokens stand in a row among the query's."""
+    longest = values.agg(F.coalesce(F.max(F.size(F.split("value", " "))), F.lit(0)).alias("longest"))
+    held = t.select("query_id", tokens.alias("_t")).crossJoin(F.broadcast(longest))
+    return held.select("query_id", F.explode(F.array_distinct(text.windows_up_to(F.col("_t"), F.col("longest")))).alias("value")).join(values, "value").select("query_id", "value")
 
 
-def hints(t: DataFrame, c: DataFrame, name: str, longest: int = 4) -> DataFrame:
-    """For each title the sorted vocabulary values of at most ``longest`` tokens that stand in it."""
+def hints(t: DataFrame, c: DataFrame, name: str) -> DataFrame:
+    """For each title the sorted vocabulary values that stand in it."""
     values = c.select(text.normalize(F.col(name)).alias("value")).where("value <> ''").distinct()
-    tokens = F.split("normalized_title", " ")
-    found = t.select("query_id", F.explode(F.array_distinct(F.concat(*[text.windows(tokens, n) for n in range(1, longest + 1)]))).alias("value"))
-    return found.join(values, "value").groupBy("query_id").agg(F.array_sort(F.collect_set("value")).alias(f"{name}_hints"))
+    return mentions(t, values, F.split("normalized_title", " ")).groupBy("query_id").agg(F.array_sort(F.collect_set("value")).alias(f"{name}_hints"))
 
 
 SIGNALS = (

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodeweave.functions import maths, text
 from lodeweave.operators import decide, retrieve
-from lodeweave.plans.frames import CATALOG, NORMALIZED, SIGNALS, TITLES, WORDS, catalog, query_signals, table, titles, with_
+from lodeweave.plans.frames import CATALOG, NORMALIZED, SIGNALS, TITLES, WORDS, catalog, query_signals, table, titles, with_, pool
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -105,13 +105,33 @@ wanted AS (SELECT DISTINCT query_id, unnest(tokens) AS token FROM signals),
 {IDF.format(n='catalog')},
 sparse AS ({ranked('(SELECT query_id, doc_id, sum(idf) AS score FROM wanted JOIN posted USING (token) JOIN idf USING (token) GROUP BY 1, 2)')})"""
 STRUCTURED = f"structured AS ({ranked(f'(SELECT query_id, doc_id, {SCORE} AS score FROM signals, catalog WHERE {SCORE} > 0)')})"
+_EMBEDDED = "list_concat(list_filter(string_split({0}, ' '), lambda x: x <> ''), list_transform(range(1, length({0}) - 1), lambda i: substr({0}, i, 3)))"
+
+
+def _vectors(name: str, key: str, text_: str, source: str) -> str:
+    """Signed feature hashing by MD5 to 192 dimensions, as rows (key, dimension, number), and each vector's length."""
+    return (
+        f"{name}f AS (SELECT {key}, md5(unnest({_EMBEDDED.format('t')})) AS h FROM (SELECT {key}, {text_} AS t FROM {source})), "
+        f"{name}v AS (SELECT {key}, CAST('0x' || substr(h, 1, 8) AS BIGINT) % 192 AS d, sum(CASE WHEN CAST('0x' || substr(h, 9, 2) AS BIGINT) % 2 = 1 THEN 1 ELSE -1 END)::DOUBLE AS v FROM {name}f GROUP BY 1, 2), "
+        f"{name}n AS (SELECT {key}, sqrt(sum(v * v)) AS norm FROM {name}v GROUP BY 1)"
+    )
+
+
+DENSE = (
+    _vectors("dq", "query_id", "normalized_title", "signals")
+    + ", "
+    + _vectors("dd", "doc_id", NORMALIZED.format("search_text"), "catalog")
+    + ", dots AS (SELECT query_id, doc_id, sum(q.v * d.v) AS dot FROM dqv q JOIN ddv d USING (d) GROUP BY 1, 2), "
+    + f"dense AS ({ranked('(SELECT query_id, doc_id, dot / (dqn.norm * ddn.norm) AS score FROM dots JOIN dqn USING (query_id) JOIN ddn USING (doc_id) WHERE dot > 0)')})"
+)
 FUSED = """
-merged AS (SELECT query_id, doc_id, s.rank AS sparse_rank, t.rank AS structured_rank, coalesce(1.0 / (60 + s.rank), 0) + coalesce(1.0 / (60 + t.rank), 0) AS rrf_score FROM sparse s FULL JOIN structured t USING (query_id, doc_id)),
+listed AS (SELECT query_id, doc_id, rank, score, 'dense' AS source FROM dense UNION ALL SELECT query_id, doc_id, rank, score, 'sparse' FROM sparse UNION ALL SELECT query_id, doc_id, rank, score, 'structured' FROM structured),
+merged AS (SELECT query_id, doc_id, max(rank) FILTER (source = 'dense') AS dense_rank, max(rank) FILTER (source = 'sparse') AS sparse_rank, max(rank) FILTER (source = 'structured') AS structured_rank, sum(1.0 / (60 + rank)) AS rrf_score FROM listed GROUP BY query_id, doc_id),
 fused AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf_score, 10) DESC, doc_id) AS rrf_rank FROM merged QUALIFY rrf_rank <= 25)"""
 EVIDENCE = f"""
-evidence AS (SELECT f.*, s.title, s.normalized_title, c.search_text, (sparse_rank IS NOT NULL)::INTEGER + (structured_rank IS NOT NULL)::INTEGER AS support, {MATCHES} AS matches, {CONFLICTS} AS conflicts
+evidence AS (SELECT f.*, s.title, s.normalized_title, c.search_text, (sparse_rank IS NOT NULL)::INTEGER + (dense_rank IS NOT NULL)::INTEGER + (structured_rank IS NOT NULL)::INTEGER AS support, {MATCHES} AS matches, {CONFLICTS} AS conflicts
   FROM fused f JOIN signals s USING (query_id) JOIN catalog c USING (doc_id))"""
-BASE = (CATALOG, TITLES, SIGNALS, SPARSE, STRUCTURED, FUSED, EVIDENCE)
+BASE = (CATALOG, TITLES, SIGNALS, SPARSE, STRUCTURED, DENSE, FUSED, EVIDENCE)
 
 
 @query(with_(CATALOG, TITLES, SIGNALS, SPARSE) + " SELECT query_id, doc_id, round(score, 6) AS score, rank FROM sparse")
@@ -128,10 +148,10 @@ def structured_evidence_topk(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
-@query(with_(*BASE) + " SELECT query_id, doc_id, sparse_rank, structured_rank, round(rrf_score, 8) AS rrf_score, rrf_rank, array_to_string(matches, ',') AS matches, array_to_string(conflicts, ',') AS conflicts FROM evidence")
+@query(with_(*BASE) + " SELECT query_id, doc_id, sparse_rank, dense_rank, structured_rank, round(rrf_score, 8) AS rrf_score, rrf_rank, array_to_string(matches, ',') AS matches, array_to_string(conflicts, ',') AS conflicts FROM evidence")
 def rrf_fusion(spark: SparkSession, sf: str) -> DataFrame:
-    found = decide.candidates(query_signals(spark, sf), catalog(spark, sf))
-    return found.select("query_id", "doc_id", "sparse_rank", "structured_rank", F.round("rrf_score", 8).alias("rrf_score"), "rrf_rank", F.array_join("matches", ",").alias("matches"), F.array_join("conflicts", ",").alias("conflicts"))
+    found = pool(spark, sf)
+    return found.select("query_id", "doc_id", "sparse_rank", "dense_rank", "structured_rank", F.round("rrf_score", 8).alias("rrf_score"), "rrf_rank", F.array_join("matches", ",").alias("matches"), F.array_join("conflicts", ",").alias("conflicts"))
 
 
 @query(
@@ -214,7 +234,7 @@ RERANKED = f"reranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORD
 
 
 def reranked(spark: SparkSession, sf: str) -> DataFrame:
-    found = decide.candidates(query_signals(spark, sf), catalog(spark, sf))
+    found = pool(spark, sf)
     return decide.rerank(found, decide.heuristic_score(F.col("normalized_title"), F.col("search_text")))
 
 
@@ -233,34 +253,26 @@ _COVERAGE = f"len(list_intersect({WORDS.format('normalized_title')}, {WORDS.form
 )
 def coverage_rerank(spark: SparkSession, sf: str) -> DataFrame:
     """Fused scores penalised for what a document doesn't cover; rank 1 and well covered ones are admitted."""
-    found = decide.candidates(query_signals(spark, sf), catalog(spark, sf))
+    found = pool(spark, sf)
     a, b = F.array_distinct(text.words(F.col("normalized_title"))), text.words(F.col("search_text"))
     s = found.withColumn("coverage", F.size(F.array_intersect(a, b)) / F.size(a)).withColumn("score", decide.coverage_penalty(2.0))
     t = retrieve.top(s)
     return t.select("query_id", "doc_id", F.round("score", 8).alias("score"), F.round("coverage", 6).alias("coverage"), "rank", ((F.col("rank") == 1) | (F.col("coverage") + 1e-12 >= 0.5)).alias("admitted"))
 
 
-@query(
-    with_(*BASE, RERANKED)
-    + ", t AS (SELECT r.*, x.expected_id FROM reranked r JOIN titles x USING (query_id)) SELECT query_id, doc_id, round(1.0 / rrf_rank, 6) AS inverse_rank, round(coalesce(1.0 / sparse_rank, 0), 6) AS sparse_inverse, "
-    "round(coalesce(1.0 / structured_rank, 0), 6) AS structured_inverse, support, len(matches)::INTEGER AS n_matches, len(conflicts)::INTEGER AS n_conflicts, list_contains(matches, 'year') AS year_match, "
-    "list_contains(conflicts, 'year') AS year_conflict, coalesce(doc_id = expected_id, FALSE) AS target FROM t"
-)
+def _features_sql() -> str:
+    out = ["round(reranker_score, 6) AS logit", "round(rrf_score, 8) AS rrf_score", "round(1.0 / rrf_rank, 6) AS rrf_inverse"]
+    out += [f"({n}_rank IS NOT NULL)::INTEGER::DOUBLE AS in_{n}" for n in decide.SOURCES] + [f"round(coalesce(1.0 / {n}_rank, 0), 6) AS {n}_inverse" for n in decide.SOURCES]
+    out += [f"list_contains({kind}, '{n}')::INTEGER::DOUBLE AS {n}_{kind}" for kind in ("matches", "conflicts") for n in decide.STRUCTURED]
+    return ", ".join(out + ["round(len(matches) / 5.0, 6) AS matched", "round(len(conflicts) / 5.0, 6) AS conflicting"])
+
+
+@query(with_(*BASE, RERANKED) + f", t AS (SELECT r.*, x.expected_id FROM reranked r JOIN titles x USING (query_id)) SELECT query_id, doc_id, {_features_sql()}, coalesce(doc_id = expected_id, FALSE) AS target FROM t")
 def ltr_feature_vector(spark: SparkSession, sf: str) -> DataFrame:
+    """The 21 features of each candidate, the heuristic score standing in for a model's logit."""
     t = reranked(spark, sf).join(titles(spark, sf).select("query_id", "expected_id"), "query_id")
-    return t.select(
-        "query_id",
-        "doc_id",
-        F.round(1.0 / F.col("rrf_rank"), 6).alias("inverse_rank"),
-        F.round(F.coalesce(1.0 / F.col("sparse_rank"), F.lit(0.0)), 6).alias("sparse_inverse"),
-        F.round(F.coalesce(1.0 / F.col("structured_rank"), F.lit(0.0)), 6).alias("structured_inverse"),
-        "support",
-        F.size("matches").alias("n_matches"),
-        F.size("conflicts").alias("n_conflicts"),
-        F.array_contains("matches", "year").alias("year_match"),
-        F.array_contains("conflicts", "year").alias("year_conflict"),
-        F.coalesce(F.col("doc_id") == F.col("expected_id"), F.lit(False)).alias("target"),
-    )
+    target = F.coalesce(F.col("doc_id") == F.col("expected_id"), F.lit(False)).alias("target")
+    return t.select("query_id", "doc_id", *[F.round(c, 8 if n == "rrf_score" else 6).alias(n) for n, c in decide.feature_vector(F.col("reranker_score")).items()], target)
 
 
 @query(
@@ -270,7 +282,7 @@ def ltr_feature_vector(spark: SparkSession, sf: str) -> DataFrame:
 )
 def hard_negative_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """Up to five wrong candidates of each answerable title that differ in at least one stated field, the nearest first."""
-    t = decide.candidates(query_signals(spark, sf), catalog(spark, sf)).join(titles(spark, sf).select("query_id", "expected_id"), "query_id")
+    t = pool(spark, sf).join(titles(spark, sf).select("query_id", "expected_id"), "query_id")
     p = t.where((F.col("doc_id") != F.col("expected_id")) & (F.size("conflicts") >= 1))
     pick = F.row_number().over(Window.partitionBy("query_id").orderBy(F.size("conflicts"), "rrf_rank", "doc_id"))
     return p.withColumn("pick", pick).where("pick <= 5").select("query_id", "doc_id", "pick", F.array_join("conflicts", ",").alias("conflicts"))
@@ -304,6 +316,6 @@ def pair_scorer_hook(spark: SparkSession, sf: str) -> DataFrame:
     """Fused candidates scored in batches by an injected scorer; here similarity of the texts."""
     from lodeweave.functions import exact
 
-    found = decide.candidates(query_signals(spark, sf), catalog(spark, sf))
+    found = pool(spark, sf)
     scored = found.withColumn("score", exact.ratio("normalized_title", "search_text"))
     return retrieve.top(scored, 5).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")

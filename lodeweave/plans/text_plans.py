@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodeweave.functions import hashing, maths, text
-from lodeweave.plans.frames import CATALOG, NOISE, NORMALIZED, SIGNALS, TITLES, WORDS, catalog, query_signals, table, titles, with_
+from lodeweave.plans.frames import CATALOG, NOISE, NORMALIZED, SIGNALS, TITLES, WORDS, catalog, mentions, query_signals, table, titles, with_
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -204,9 +204,7 @@ def one_edit_tokens(spark: SparkSession, sf: str) -> DataFrame:
 def word_boundary_mentions(spark: SparkSession, sf: str) -> DataFrame:
     """Which castings of four letters or more each title mentions, by an equi-join on token windows."""
     v = catalog(spark, sf).select(text.normalize(F.col("casting")).alias("value")).where("length(value) >= 4").distinct()
-    tokens = text.words(F.col("title"))
-    w = titles(spark, sf).select("query_id", F.explode(F.array_distinct(F.concat(*[text.windows(tokens, n) for n in range(1, 5)]))).alias("value"))
-    return w.join(v, "value").select("query_id", "value")
+    return mentions(titles(spark, sf), v, text.words(F.col("title")))
 
 
 _SANITIZE = "{0}"

@@ -25,8 +25,10 @@ def resolve_stream(titles: DataFrame, catalog: DataFrame, path: str, checkpoint:
     """
 
     def sink(batch: DataFrame, number: int) -> None:
-        rows = decide.resolve(with_signals(batch.dropDuplicates(["query_id"]), catalog), catalog)
+        signals = with_signals(batch.dropDuplicates(["query_id"]), catalog).persist()
+        rows = decide.resolve(signals, catalog)
         rows.select("query_id", "title", "status", "reason", "confidence", F.when(F.col("status") == "matched", F.col("top_id")).alias("doc_id")).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        signals.unpersist()
 
     return titles.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
 
