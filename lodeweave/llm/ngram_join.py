@@ -309,8 +309,8 @@ def _verify(pairs: DataFrame, sets: DataFrame, docs: DataFrame, k: int, percent:
     return found
 
 
-def _buckets(grams: DataFrame) -> DataFrame:
-    """The rows (gram, sid, n, i) of grams that several sets have, and each gram's pivot.
+def _buckets(grams: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """The rows (gram, sid, n, i) of grams that several sets have, and each gram's pivot; and the scratch tables behind them.
 
     The rows are exchanged once. A gram that many sets may have is dealt over many partitions by its
     sets' names; its parts are then put together from their sums.
@@ -322,23 +322,25 @@ def _buckets(grams: DataFrame) -> DataFrame:
     counted = salted.select("*", F.count("*").over(part).alias("size"), F.min(F.struct("rare", "sid", "n", "i")).over(part).alias("pivot"))
     parts = materialise(counted.where("hot or size > 1").drop("salt", "rare"), "buckets")
     hot = parts.where("hot")
-    whole = hot.groupBy("gram").agg(F.count("*").alias("size"), F.min("pivot").alias("pivot")).where("size > 1")
+    # written, so that the join below is between two exchanges, of which a hot gram's rows can be split
+    whole = materialise(hot.groupBy("gram").agg(F.count("*").alias("size"), F.min("pivot").alias("pivot")).where("size > 1"), "hot")
     out = parts.where("not hot").unionByName(hot.drop("size", "pivot").join(whole, "gram")).select("gram", "sid", "n", "i", "pivot")
-    out.scratch = parts.scratch
-    return out
+    return out, [parts, whole]
 
 
 def _labelled(buckets: DataFrame, labels: DataFrame) -> DataFrame:
     return buckets.join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
 
 
-def _mixed(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+def _mixed(buckets: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The rows, besides pivots, of buckets with members of several components; their ``label``, the bucket's
-    ``main`` (largest) one and its number of ``members``. Counts are summed before they are exchanged."""
+    ``main`` (largest) one and its number of ``members``. Counts are summed before they are exchanged. And the
+    table of the buckets, which is written for the same reason as that of hot shingles."""
     left = _labelled(buckets.where("sid <> pivot.sid"), labels)
     parts = left.groupBy("gram", "label").agg(F.count("*").alias("same"))
     spans = parts.groupBy("gram").agg(F.max(F.struct("same", "label"))["label"].alias("main"), F.count("*").alias("labels"), F.sum("same").alias("members"))
-    return left.join(spans.where("labels > 1").drop("labels"), "gram")
+    spans = materialise(spans.where("labels > 1").drop("labels"), "spans")
+    return left.join(spans, "gram"), spans
 
 
 def _apart(n: int, percent: int) -> int:
@@ -427,7 +429,7 @@ def link(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id",
     sets = rows.where("sid is not null").groupBy("sid", "sid2").agg(F.min("row").alias("row"), F.min("id").alias("id"), *[F.first(x).alias(x) for x in ("n", *PARITIES, "hist")])
     first = F.row_number().over(Window.partitionBy("sid").orderBy("sid2")) == 1
     sets = materialise(sets.withColumn("first", first).where("first").drop("first"), "classes")
-    buckets = _buckets(prefixes(docs, orders, k, percent, id_col, text_col))
+    buckets, behind = _buckets(prefixes(docs, orders, k, percent, id_col, text_col))
     stars = buckets.select(F.col("pivot.sid").alias("a"), F.col("pivot.n").alias("an"), F.col("pivot.i").alias("ai"), F.col("sid").alias("b"), F.col("n").alias("bn"), F.col("i").alias("bi"))
     pairs = stars.where("a <> b").where(_may_match(percent)).select("a", "b").distinct()
     parities = sets.select("sid", "n", *PARITIES)
@@ -435,8 +437,9 @@ def link(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id",
         pairs = pairs.join(parities.withColumnsRenamed({"sid": side, "n": f"{side}n"} | {q: f"{side}{q}" for q in PARITIES}), side)
     tested = _verify(pairs.where(_near(percent)).select("a", "b"), sets, docs, k, percent, id_col, text_col)
     # what is left: buckets with members of different components
-    left = materialise(_mixed(buckets, components(tested.where("ok"), "a", "b")), "mixed")
-    release(buckets)
+    left, spans = _mixed(buckets, components(tested.where("ok"), "a", "b"))
+    left = materialise(left, "mixed")
+    release(*behind, spans)
     few = left.where(F.col("members") <= bucket).join(parities.drop("n"), "sid")
     # the largest part of a bucket against the rest
     a = few.where("label <> main").select("gram", F.col("label").alias("al"), *_member("a"))
