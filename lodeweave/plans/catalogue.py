@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lodeweave.plans import decision_plans, evidence_plans, lifecycle_plans, retrieval_plans, review_plans, text_plans
+from lodeweave.plans import decision_plans, evaluation_plans, evidence_plans, lifecycle_plans, retrieval_plans, review_plans, text_plans
 
-_MODULES = (text_plans, retrieval_plans, decision_plans, review_plans, evidence_plans, lifecycle_plans)
+_MODULES = (text_plans, retrieval_plans, decision_plans, review_plans, evidence_plans, lifecycle_plans, evaluation_plans)
 
 
 def queries() -> dict:

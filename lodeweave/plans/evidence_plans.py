@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodeweave.functions import maths, text
-from lodeweave.operators import decide, evidence, retrieve
+from lodeweave.operators import evidence, listwise, retrieve
 from lodeweave.plans.frames import CATALOG, NORMALIZED, TITLES, WORDS, catalog, query_signals, table, titles, with_, pool
 from lodeweave.plans.retrieval_plans import BASE, _cosine_sql, _forms, ranked
 
@@ -170,25 +170,8 @@ def listwise_examples(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def listwise_forward(spark: SparkSession, sf: str) -> DataFrame:
-    """A set-wise reranker over each pool: one attention layer with fixed weights, in numpy."""
-    import numpy as np
-    import pandas as pd
-
-    found = pool(spark, sf)
-    rows = found.select("query_id", "doc_id", "rrf_rank", (1.0 / F.col("rrf_rank")).alias("a"), F.size("matches").cast("double").alias("b"), F.size("conflicts").cast("double").alias("c"))
-
-    def forward(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rrf_rank")
-        x = pdf[["a", "b", "c"]].to_numpy()
-        r = np.random.default_rng(17)
-        q, k, v, o = (r.normal(size=s) for s in ((3, 8), (3, 8), (3, 8), (8, 1)))
-        z = (x @ q) @ (x @ k).T / np.sqrt(8)
-        z = np.exp(z - z.max(axis=1, keepdims=True))
-        score = ((z / z.sum(axis=1, keepdims=True)) @ (x @ v) @ o)[:, 0] + x[:, 0]
-        return pd.DataFrame({"query_id": pdf["query_id"], "doc_id": pdf["doc_id"], "score": score})
-
-    # a pool has at most 25 rows
-    scored = rows.groupBy("query_id").applyInPandas(forward, "query_id string, doc_id string, score double")
+    """A set-wise reranker over each pool of 21-feature candidates, with seeded weights."""
+    scored = listwise.scored(listwise.with_features(pool(spark, sf)), "rrf_rank")
     return retrieve.top(scored).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
