@@ -175,12 +175,13 @@ class _Table:
         """(item, places in the document, places in the item) of the windows of a document, given in one or more forms."""
         n = own.shape[-1]
         own = own.ravel()
-        bucket = (own >> self.shift).astype(np.int64)
+        bucket = own >> self.shift
         hit = np.flatnonzero(self.full[bucket])
         if not len(hit):
             return
-        low = self.starts[bucket[hit]]
-        reps = self.starts[bucket[hit] + 1] - low
+        bucket = bucket[hit].astype(np.int64)
+        low = self.starts[bucket]
+        reps = self.starts[bucket + 1] - low
         probe = np.repeat(hit, reps)
         theirs = np.repeat(low, reps) + np.arange(len(probe)) - np.repeat(np.cumsum(reps) - reps, reps)
         same = self.hashes[theirs] == own[probe]
