@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodeweave.functions import hashing, maths, text
+from lodeweave.functions import exact, hashing, maths, text
 from lodeweave.operators import keep, measure
 from lodeweave.plans.frames import CATALOG, TITLES, WORDS, catalog, table, titles, with_
 from lodeweave.plans.decision_plans import DECIDED, FEATURES, resolve_decisions
@@ -231,3 +231,23 @@ def synthetic_families(spark: SparkSession, sf: str) -> DataFrame:
     i = F.col("id")
     kind = F.get(F.array(F.lit("coupe"), F.lit("sedan"), F.lit("wagon")), (i % 3).cast("int"))
     return spark.range(3000).select(F.format_string("family-%04d", i).alias("knowledge_id"), F.concat(F.lit("Family "), i.cast("string"), F.lit(" "), kind).alias("casting"), F.substring(hashing.salted("family", i), 1, 8).alias("alias"))
+
+
+_JSON = """
+j AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN '{"a":{"Expected_id":1},"labels_loaded":false}' WHEN 1 THEN '{"b":[{"x":{"label":2}},{"x":1}],"labels_loaded":false}' WHEN 2 THEN '{"a":1,"a":2,"c":{"d":1,"d":1}}'
+  WHEN 3 THEN '{"labels_loaded":false,"inner":{"labels_loaded":false}}' ELSE '{"k":' || event_id::VARCHAR END AS payload FROM events)"""
+
+
+@query(
+    with_(_JSON)
+    + " SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'forbidden $.a.Expected_id' WHEN 1 THEN 'forbidden $.b[0].x.label' WHEN 2 THEN 'duplicate $.a;duplicate $.c.d' WHEN 3 THEN 'forbidden $.inner.labels_loaded' ELSE 'invalid' END AS faults FROM j"
+)
+def json_walk(spark: SparkSession, sf: str) -> DataFrame:
+    """Forbidden keys of any depth, repeated keys and broken texts among made-up payloads."""
+    n = F.col("event_id") % 5
+    texts = ['{"a":{"Expected_id":1},"labels_loaded":false}', '{"b":[{"x":{"label":2}},{"x":1}],"labels_loaded":false}', '{"a":1,"a":2,"c":{"d":1,"d":1}}', '{"labels_loaded":false,"inner":{"labels_loaded":false}}']
+    payload = F.concat(F.lit('{"k":'), F.col("event_id").cast("string"))
+    for i, t in reversed(list(enumerate(texts))):
+        payload = F.when(n == i, F.lit(t)).otherwise(payload)
+    e = table(spark, sf, "events").select("event_id", payload.alias("payload"))
+    return e.select("event_id", F.array_join(exact.json_faults("payload", {"label", "expected"}, {"labels_loaded"}), ";").alias("faults"))

@@ -121,10 +121,39 @@ def wikitext_rows(pages: DataFrame, text_col: str = "wikitext", least_cells: int
 
 def read_snapshot(spark: SparkSession, path: str, version: str) -> DataFrame:
     """A published snapshot, in the order of its ids, after its digest has been checked."""
-    from lodeweave.sources.writers import digest_of
+    from lodeweave.sources.writers import _Files, digest_of
 
     rows = spark.read.parquet(f"{path}/version={version}")
-    manifest = spark.read.json(f"{path}/_manifest-{version}").first()
+    manifest = _Files(spark, path).read(f"_manifest-{version}.json")
     if manifest["digest"] != digest_of(rows):
         raise ConstraintError(f"the digest of version {version} differs")
     return rows
+
+
+def fetch(url: str, most_bytes: int = 3 << 20, seconds: float = 30.0, schemes: tuple[str, ...] = ("https",)) -> bytes:
+    """The body of a page, fetched by the driver: refused if it isn't of one of the ``schemes`` or is longer than ``most_bytes``."""
+    from urllib.parse import urlsplit
+    from urllib.request import Request, urlopen
+
+    if urlsplit(url).scheme not in schemes:
+        raise ConstraintError(f"the address must begin with {' or '.join(schemes)}")
+    with urlopen(Request(url, headers={"User-Agent": "lodeweave"}), timeout=seconds) as answer:  # noqa: S310  schemes are checked
+        if urlsplit(answer.url).scheme not in schemes:
+            raise ConstraintError("the address leads to another scheme")
+        body = answer.read(most_bytes + 1)
+    if len(body) > most_bytes:
+        raise ConstraintError(f"the page is longer than {most_bytes} bytes")
+    return body
+
+
+def revision(spark: SparkSession, address: str, **options) -> DataFrame:
+    """One row (title, revision, wikitext) of a wiki's query answer for a single page's latest revision."""
+    import json
+
+    pages = json.loads(fetch(address, **options))["query"]["pages"]
+    pages = list(pages.values()) if isinstance(pages, dict) else pages
+    if len(pages) != 1 or "revisions" not in pages[0]:
+        raise ConstraintError("the answer must hold one page with a revision")
+    r = pages[0]["revisions"][0]
+    content = r.get("slots", {}).get("main", r)
+    return spark.createDataFrame([(pages[0]["title"], int(r["revid"]), content.get("content", content.get("*")))], "title string, revision long, wikitext string")

@@ -62,6 +62,100 @@ def test_snapshots(spark, tmp_path):
     assert writers.current(spark, path).count() == 1
 
 
+def test_pointer_numbers_and_claims(spark, tmp_path):
+    """What is current is the largest number, whatever the clocks say; a number whose writer died is passed over."""
+    path, rows = f"{tmp_path}/s", spark.createDataFrame([(1, "a"), (2, None)], "id long, v string")
+    for version, n in (("1", 2), ("2", 1), ("1", 2)):
+        writers.publish(rows.limit(n), path, version)
+    assert writers.current(spark, path).count() == 2
+    (tmp_path / "s" / "_pointer" / "000000000004.json.claim").write_text("")
+    writers.publish(rows.limit(1), path, "2")
+    assert writers.current(spark, path).count() == 1
+
+
+def test_publication_of_several_tables(spark, tmp_path):
+    root, a, b = f"{tmp_path}/p", spark.range(5), spark.range(3).withColumn("x", F.lit(None).cast("string"))
+    assert writers.recover(spark, root) == "absent"
+    assert writers.publish_all({"a": a, "b": b}, root) == 1 and writers.recover(spark, root) == "completed"
+    # cut off behind the journal and the first table
+    (tmp_path / "p" / "journal-2.json").write_text('{"number": 2, "status": "prepared", "digests": {}}')
+    (tmp_path / "p" / "journal-2.json.claim").write_text("")
+    a.limit(1).write.parquet(f"{root}/2/a")
+    assert writers.published(spark, root, "a").count() == 5
+    with pytest.raises(RuntimeError):
+        writers.publish_all({"a": a.limit(2), "b": b}, root)
+    assert writers.recover(spark, root) == "rolled_back" and not (tmp_path / "p" / "2").exists()
+    assert writers.publish_all({"a": a.limit(2), "b": b}, root) == 2 and writers.published(spark, root, "a").count() == 2
+    a.write.mode("overwrite").parquet(f"{root}/2/a")
+    assert writers.recover(spark, root) == "in_doubt"
+
+
+def test_reports(spark):
+    rows = spark.createDataFrame([("a|b", 1), (None, 2)], "k string, n long")
+    assert writers.markdown(rows, "T") == "# T\n\n| k | n |\n| --- | --- |\n| a\\|b | 1 |\n|  | 2 |\n"
+    with pytest.raises(ValueError):
+        writers.markdown(spark.range(4), "T", most=3)
+
+
+def test_fetch(spark):
+    import json
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    body = json.dumps({"query": {"pages": [{"title": "P", "revisions": [{"revid": 7, "slots": {"main": {"content": "text"}}}]}]}}).encode()
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self):
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    address = f"http://127.0.0.1:{server.server_port}/"
+    try:
+        with pytest.raises(readers.ConstraintError):
+            readers.fetch(address)
+        with pytest.raises(readers.ConstraintError):
+            readers.fetch(address, most_bytes=len(body) - 1, schemes=("http",))
+        assert readers.fetch(address, most_bytes=len(body), schemes=("http",)) == body
+        assert [tuple(r) for r in readers.revision(spark, address, schemes=("http",)).collect()] == [("P", 7, "text")]
+    finally:
+        server.shutdown()
+
+
+def test_tracing(spark):
+    from lodeweave import tracing
+
+    timings, seen = {}, []
+
+    class Span:
+        def set_attribute(self, key, value):
+            seen.append((key, value))
+
+        def record_exception(self, error):
+            seen.append(("exception", type(error)))
+
+    class Tracer:
+        from contextlib import contextmanager
+
+        @contextmanager
+        def start_as_current_span(self, name):
+            yield Span()
+
+    with tracing.stage("quiet", timings) as span:
+        assert span is None
+    with pytest.raises(KeyError), tracing.stage("loud", timings, Tracer()):
+        raise KeyError("x")
+    assert set(timings) == {"quiet", "loud"} and ("error_type", "KeyError") in seen and ("stage", "loud") in seen
+    df, got = tracing.counted(spark.range(7), "n", most=F.max("id"))
+    df.write.format("noop").mode("overwrite").save()
+    assert got.get == {"rows": 7, "most": 6}
+
+
 def test_stream_equals_batch(spark, tmp_path):
     c = catalog(spark, SF)
     t = titles(spark, SF).select("query_id", "title")
