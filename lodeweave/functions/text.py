@@ -164,18 +164,33 @@ def one_edit(a: Column, b: Column) -> Column:
     return alpha & (a != b) & ((F.levenshtein(a, b) <= 1) | ((F.length(a) == F.length(b)) & swaps))
 
 
+#: The ordered relations of two atoms (fixed values).
+RELATIONS = ("exact", "leading_year_suffix", "leading_year_uncertainty_x", "ocr_o_zero", "ocr_repeated_digit_restore", "unique_prefix_abbreviation", "unique_alpha_edit_1")
+
+
+def repeated_digit(a: Column, b: Column) -> Column:
+    """Whether one is the other with one digit of a run of equal digits left out."""
+
+    def one_way(short: Column, long: Column) -> Column:
+        def cut(i: Column) -> Column:
+            c = F.substring(long, i, F.lit(1))
+            beside = (F.substring(long, i + 1, F.lit(1)) == c) | ((i > 1) & (F.substring(long, i - 1, F.lit(1)) == c))
+            return c.rlike("[0-9]") & beside & (F.concat(F.substring(long, F.lit(1), i - 1), F.substring(long, i + 1, F.length(long))) == short)
+
+        return (F.length(long) == F.length(short) + 1) & F.exists(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(long))), cut)
+
+    return one_way(a, b) | one_way(b, a)
+
+
 def atom_relation(a: Column, b: Column) -> Column:
-    """The first of the ordered relations that holds between two atoms, or null."""
-    shorter_digits = a.rlike("^[0-9]+$") & b.rlike("^[0-9]+$")
-    return (
-        F.when(a == b, "exact")
-        .when(year_suffix(a, b), "year_suffix")
-        .when(F.concat(a, F.lit("x")) == b, "number_x")
-        .when((a != b) & (F.translate(a, "o", "0") == F.translate(b, "o", "0")), "ocr")
-        .when(shorter_digits & (F.length(b) == F.length(a) + 1) & (F.regexp_replace(b, r"([0-9])\1", "$1") == F.regexp_replace(a, r"([0-9])\1", "$1")), "repeat")
-        .when((F.length(a) >= 3) & b.startswith(a), "prefix")
-        .when(one_edit(a, b), "edit")
-    )
+    """The first of ``RELATIONS`` that holds between a query's atom and a public one, or null."""
+    zero = (F.length(a) == F.length(b)) & F.concat(a, b).rlike("[0-9]") & F.concat(a, b).contains("o") & (F.translate(a, "o", "0") == F.translate(b, "o", "0"))
+    prefix = a.rlike("^[a-z]{2,}$") & b.rlike("^[a-z]{5,}$") & b.startswith(a)
+    tests = (a == b, year_suffix(a, b), a.rlike("^([0-9]{2}|[0-9]{4})x$") & (F.regexp_replace(a, "x$", "") == b), zero, repeated_digit(a, b), prefix, one_edit(a, b))
+    out = F.when(tests[0], RELATIONS[0])
+    for test, name in zip(tests[1:], RELATIONS[1:], strict=True):
+        out = out.when(test, name)
+    return out
 
 
 def mentions(text: Column, value: Column) -> Column:

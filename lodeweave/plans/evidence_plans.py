@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodeweave.functions import maths, text
-from lodeweave.operators import evidence, listwise, retrieve
+from lodeweave.operators import envelope, evidence, listwise, retrieve
 from lodeweave.plans.frames import CATALOG, NORMALIZED, TITLES, WORDS, catalog, query_signals, table, titles, with_, pool
 from lodeweave.plans.retrieval_plans import BASE, _cosine_sql, _forms, ranked
 
@@ -206,3 +206,38 @@ def greedy_cover(spark: SparkSession, sf: str) -> DataFrame:
         chosen.append((best["p_brand"], best["n"]))
         left = left.join(p.where(F.col("p_brand") == best["p_brand"]).select("item"), "item", "left_anti")
     return spark.createDataFrame([(i + 1, b, n) for i, (b, n) in enumerate(chosen)], "place int, p_brand string, added bigint")
+
+
+@query()
+def query_envelopes(spark: SparkSession, sf: str) -> DataFrame:
+    """The part of each title that names something, by the anchors of all castings and aliases."""
+    c = catalog(spark, sf)
+    names = c.select("doc_id", F.explode(F.array("casting", "alias")).alias("name"))
+    posted = retrieve.postings(c, "doc_id", text.atoms(text.normalize(F.col("casting"))))
+    idf = retrieve.frequencies(posted).crossJoin(F.broadcast(c.agg(F.count("*").alias("n")))).select("token", maths.idf(F.col("n"), F.col("df")).alias("idf"))
+    return envelope.envelopes(titles(spark, sf), names.select(F.col("name").alias("doc_id"), "name").distinct(), idf)
+
+
+_KINDS = {"numeric_relation": ("none", "equal", "conflict"), "compact_digit_guard": ("pass", "fail"), "query_model_residual": ("none", "present"), "candidate_model_residual": ("none", "present"), "anchor_relation": ("same", "different"), "form_completion": ("complete", "partial"), "alignment_strength": ("exact", "shorthand", "fuzzy")}
+_EACH = ", ".join(f"(VALUES {', '.join(f"('{v}')" for v in values)}) {n}0({n})" for n, values in _KINDS.items())
+
+
+@query(
+    f"""WITH e AS (SELECT * FROM {_EACH}, (VALUES (1), (2)) r0(rank), (VALUES (0.5), (0.75)) c0(coverage)),
+x AS (SELECT *, form_completion = 'complete' AND alignment_strength IN ('exact', 'shorthand') AS safe, query_model_residual = 'present' AND candidate_model_residual = 'present' AS bilateral, CASE WHEN rank <> 1 THEN CASE WHEN coverage >= 0.75 THEN 'secondary_coverage_at_least_075' ELSE 'secondary_coverage_below_075' END END AS late,
+  CASE WHEN numeric_relation = 'conflict' THEN 'numeric_conflict' WHEN compact_digit_guard = 'fail' THEN 'compact_digit_guard_failed' END AS number FROM e),
+p AS (SELECT 'reference-anchor' AS policy, coalesce(late, 'reference_rank_1') AS reason FROM x UNION ALL SELECT 'envelope-numeric', coalesce(late, number, 'compatible_identity') FROM x
+  UNION ALL SELECT 'envelope-bilateral', coalesce(late, number, CASE WHEN anchor_relation = 'different' THEN 'anchor_mismatch' WHEN bilateral THEN 'bilateral_model_residual' ELSE 'compatible_identity' END) FROM x
+  UNION ALL SELECT 'envelope-safe-form', coalesce(late, number, CASE WHEN safe THEN 'complete_safe_form' WHEN anchor_relation = 'different' THEN 'anchor_mismatch' WHEN query_model_residual = 'present' THEN 'query_model_residual' ELSE 'compatible_identity' END) FROM x
+  UNION ALL SELECT 'envelope-decision-list', coalesce(late, number, CASE WHEN safe THEN 'complete_safe_form' WHEN anchor_relation = 'different' THEN 'anchor_mismatch' WHEN alignment_strength = 'fuzzy' AND query_model_residual = 'none' AND candidate_model_residual = 'none' THEN 'bounded_fuzzy_form'
+    WHEN bilateral THEN 'bilateral_model_residual' ELSE 'ambiguous_identity' END) FROM x)
+SELECT policy, reason, count(*) AS n, reason IN ('secondary_coverage_at_least_075', 'reference_rank_1', 'compatible_identity', 'complete_safe_form', 'bounded_fuzzy_form') AS admitted FROM p GROUP BY policy, reason"""
+)
+def envelope_policies(spark: SparkSession, sf: str) -> DataFrame:
+    """What the five policies say to every combination of evidence."""
+    e = spark.range(1).select(F.explode(F.array(F.lit(1), F.lit(2))).alias("rank"))
+    e = e.select("*", F.explode(F.array(F.lit(0.5), F.lit(0.75))).alias("coverage"))
+    for n, values in _KINDS.items():
+        e = e.select("*", F.explode(F.array(*[F.lit(v) for v in values])).alias(n))
+    said = F.explode(F.array(*[F.struct(F.lit(p).alias("policy"), envelope.policy(F.col("rank"), F.col("coverage"), {n: F.col(n) for n in _KINDS}, p).alias("reason")) for p in envelope.POLICIES])).alias("x")
+    return e.select(said).select("x.*").groupBy("policy", "reason").agg(F.count("*").alias("n")).withColumn("admitted", envelope.admits(F.col("reason")))

@@ -164,19 +164,38 @@ def atomize_tokens(spark: SparkSession, sf: str) -> DataFrame:
     return a.select("query_id", "place", "atom", text.ocr_form(F.col("atom")).alias("ocr"), text.model_frame(F.col("atom")).alias("frame"))
 
 
+#: Ways to write an atom ``b`` otherwise: as SQL and as Columns of b.
+_SPELLINGS = [
+    ("b", lambda b: b),
+    ("right(b, 2)", lambda b: F.right(b, F.lit(2))),
+    ("b || 'x'", lambda b: F.concat(b, F.lit("x"))),
+    ("translate(b, '0', 'o')", lambda b: F.translate(b, "0", "o")),
+    ("b || right(b, 1)", lambda b: F.concat(b, F.right(b, F.lit(1)))),
+    ("left(b, 3)", lambda b: F.left(b, F.lit(3))),
+    ("left(b, 1) || substr(b, 3)", lambda b: F.concat(F.left(b, F.lit(1)), F.substring(b, 3, 99))),
+    ("substr(b, 2, 1) || left(b, 1) || substr(b, 3)", lambda b: F.concat(F.substring(b, 2, 1), F.left(b, F.lit(1)), F.substring(b, 3, 99))),
+    ("reverse(b)", F.reverse),
+]
+
+
 @query(
-    with_(CATALOG, TITLES)
-    + f", a AS (SELECT DISTINCT unnest(regexp_extract_all({NORMALIZED.format('title')}, '[a-z]+|[0-9]+')) AS a FROM titles), b AS (SELECT DISTINCT unnest(regexp_extract_all({NORMALIZED.format('search_text')}, '[a-z]+|[0-9]+')) AS b FROM catalog), "
-    "y AS (SELECT a, b, 'year_suffix' AS relation FROM a JOIN b ON substr(b, 3) = a WHERE regexp_matches(a, '^[0-9]{2}$') AND regexp_matches(b, '^(19|20)[0-9]{2}$')), "
-    "e AS (SELECT a, b, 'exact' AS relation FROM a JOIN b ON a = b) SELECT * FROM e UNION ALL SELECT * FROM y"
+    with_(CATALOG)
+    + f", v AS (SELECT DISTINCT unnest(regexp_extract_all({NORMALIZED.format('search_text')}, '[a-z]+|[0-9]+')) AS b FROM catalog UNION SELECT release_year::VARCHAR FROM catalog), p AS ("
+    + " UNION ".join(f"SELECT {sql} AS a, b FROM v" for sql, _ in _SPELLINGS)
+    + """), c AS (SELECT *, CASE WHEN length(a) > length(b) THEN a ELSE b END AS lo, CASE WHEN length(a) > length(b) THEN b ELSE a END AS sh FROM p) SELECT a, b, CASE WHEN a = b THEN 'exact'
+WHEN regexp_matches(sh, '^[0-9]{2}$') AND regexp_matches(lo, '^(19|20)[0-9]{2}$') AND right(lo, 2) = sh THEN 'leading_year_suffix'
+WHEN regexp_matches(a, '^([0-9]{2}|[0-9]{4})x$') AND left(a, length(a) - 1) = b THEN 'leading_year_uncertainty_x'
+WHEN length(a) = length(b) AND regexp_matches(a || b, '[0-9]') AND contains(a || b, 'o') AND replace(a, 'o', '0') = replace(b, 'o', '0') THEN 'ocr_o_zero'
+WHEN length(lo) = length(sh) + 1 AND list_contains(list_transform(range(1, length(lo) + 1), lambda i: CASE WHEN regexp_matches(lo[i], '[0-9]') AND (lo[i + 1] = lo[i] OR (i > 1 AND lo[i - 1] = lo[i])) THEN left(lo, i - 1) || substr(lo, i + 1) ELSE '!' END), sh) THEN 'ocr_repeated_digit_restore'
+WHEN regexp_matches(a, '^[a-z]{2,}$') AND regexp_matches(b, '^[a-z]{5,}$') AND starts_with(b, a) THEN 'unique_prefix_abbreviation'
+WHEN regexp_matches(a, '^[a-z]{4,}$') AND regexp_matches(b, '^[a-z]{4,}$') AND damerau_levenshtein(a, b) = 1 THEN 'unique_alpha_edit_1' END AS relation FROM c WHERE a <> ''"""
 )
 def atom_relation(spark: SparkSession, sf: str) -> DataFrame:
-    """Exact and year-suffix relations of the titles' atoms to the catalogue's, by equi-joins on what each relation fixes."""
-    a = titles(spark, sf).select(F.explode(text.atoms(text.normalize(F.col("title")))).alias("a")).distinct()
-    b = catalog(spark, sf).select(F.explode(text.atoms(text.normalize(F.col("search_text")))).alias("b")).distinct()
-    exact = a.join(b, a.a == b.b)
-    suffix = a.where(F.col("a").rlike("^[0-9]{2}$")).join(b.where(F.col("b").rlike("^(19|20)[0-9]{2}$")), F.col("a") == F.substring("b", 3, 2))
-    return exact.union(suffix).select("a", "b", text.atom_relation(F.col("a"), F.col("b")).alias("relation"))
+    """All seven relations, of the catalogue's atoms to nine spellings of each."""
+    c = catalog(spark, sf)
+    v = c.select(F.explode(text.atoms(text.normalize(F.col("search_text")))).alias("b")).union(c.select(F.col("release_year").cast("string"))).distinct()
+    p = v.select("b", F.explode(F.array_distinct(F.array(*[make(F.col("b")) for _, make in _SPELLINGS]))).alias("a")).where("a <> ''")
+    return p.select("a", "b", text.atom_relation(F.col("a"), F.col("b")).alias("relation"))
 
 
 @query(

@@ -43,7 +43,10 @@ def test_hashes(spark):
 
 def test_atoms(spark):
     rel = text.atom_relation(F.col("a"), F.col("b"))
-    for a, b, want in (("88", "1988", "year_suffix"), ("camaro", "camaro", "exact"), ("37", "37x", "number_x"), ("cam", "camaro", "prefix"), ("camaro", "camrao", "edit"), ("g0", "go", "ocr"), ("abc", "xyz", None)):
+    for a, b, want in (
+        ("88", "1988", "leading_year_suffix"), ("camaro", "camaro", "exact"), ("37x", "37", "leading_year_uncertainty_x"), ("37", "37x", None), ("cam", "camaro", "unique_prefix_abbreviation"),
+        ("camaro", "camrao", "unique_alpha_edit_1"), ("g0", "go", "ocr_o_zero"), ("oo", "00", "ocr_o_zero"), ("do", "da", None), ("1100", "100", "ocr_repeated_digit_restore"), ("120", "10", None), ("abc", "xyz", None),
+    ):
         assert one(spark, rel.alias("r"), a=a, b=b).r == want, (a, b)
 
 
@@ -118,3 +121,69 @@ def test_dense_takes_all_queries(spark):
     queries = spark.range(20_001).selectExpr("cast(id as string) AS query_id", "array(1D, cast(id AS double)) AS vec")
     docs = spark.createDataFrame([("d", [1.0, 0.0])], "doc_id string, vec array<double>")
     assert retrieve.dense(queries, docs, 1).count() == 20_001
+
+
+def test_set_wise_reranker_against_plain_loops():
+    import math
+
+    import numpy as np
+
+    from lodeweave.operators import listwise
+
+    w, x = listwise.seeded(3), np.random.default_rng(1).normal(size=(7, listwise.INPUT))
+
+    def linear(v, name):
+        return [sum(a * b for a, b in zip(row, v, strict=True)) + bias for row, bias in zip(w[name], w[f"{name}_bias"], strict=True)]
+
+    def norm(v, gain, shift):
+        m = sum(v) / len(v)
+        s = math.sqrt(sum((a - m) ** 2 for a in v) / len(v) + 1e-5)
+        return [(a - m) / s * g + b for a, g, b in zip(v, w[gain], w[shift], strict=True)]
+
+    h = [norm([a * 0.5 * (1 + math.erf(a / math.sqrt(2))) for a in linear(v, "encoder")], "encoder_gain", "encoder_shift") for v in x]
+    qkv = [linear(v, "attention") for v in h]
+    size, n = listwise.HIDDEN // listwise.HEADS, listwise.HIDDEN
+    mixed = [[0.0] * n for _ in h]
+    for head in range(listwise.HEADS):
+        at = range(head * size, (head + 1) * size)
+        for i, a in enumerate(qkv):
+            z = [math.exp(sum(a[c] * b[n + c] for c in at) / math.sqrt(size)) for b in qkv]
+            for c in at:
+                mixed[i][c] = sum(zz * b[2 * n + c] for zz, b in zip(z, qkv, strict=True)) / sum(z)
+    h = [norm([a + b for a, b in zip(v, linear(m, "output"), strict=True)], "first_gain", "first_shift") for v, m in zip(h, mixed, strict=True)]
+    h = [norm([a + b for a, b in zip(v, linear([max(0.0, c) for c in linear(v, "wide")], "narrow"), strict=True)], "second_gain", "second_shift") for v in h]
+    want = [linear(v, "head")[0] for v in h]
+    assert np.allclose(listwise.forward(x, w), want, atol=1e-9)
+    order = [3, 0, 6, 1, 5, 2, 4]
+    assert np.allclose(listwise.forward(x[order], w), np.array(want)[order], atol=1e-9)
+
+
+def test_running_sums(spark):
+    from lodeweave.operators import measure
+
+    rows = spark.createDataFrame([(float(i % 37) / 37, 1 + i % 3) for i in range(200)], "x double, n long").groupBy("x").sum("n").withColumnRenamed("sum(n)", "n")
+    for down in (False, True):
+        got = sorted(((r.x, r.n, r.run_n) for r in measure.running(rows, "x", ["n"], down).collect()), reverse=down)
+        total = 0
+        for _, n, run in got:
+            total += n
+            assert run == total
+
+
+def test_isotonic_against_plain_pooling(spark):
+    import random
+
+    from lodeweave.operators import measure
+
+    r = random.Random(3)
+    data = [(r.randrange(60) / 10, int(r.random() < 0.5)) for _ in range(400)]
+    pools = []
+    for x in sorted({x for x, _ in data}):
+        own = [y for z, y in data if z == x]
+        pools.append([x, x, len(own), sum(own)])
+        while len(pools) > 1 and pools[-2][3] / pools[-2][2] >= pools[-1][3] / pools[-1][2]:
+            last = pools.pop()
+            pools[-1] = [pools[-1][0], last[1], pools[-1][2] + last[2], pools[-1][3] + last[3]]
+    want = [k for low, high, n, good in pools for k in ([(low, good / n)] + ([(high, good / n)] if high > low else []))]
+    got = measure.fit_isotonic(spark.createDataFrame(data, "score double, label int").repartition(7))
+    assert [(a, round(b, 9)) for a, b in got] == [(a, round(b, 9)) for a, b in want]
