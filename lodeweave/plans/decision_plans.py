@@ -232,7 +232,13 @@ def dev_policy_threshold(spark: SparkSession, sf: str) -> DataFrame:
     return ok.agg(F.coalesce(F.min(F.col("t") / 100), F.lit(0.99)).alias("threshold"))
 
 
-@query()
+@query(
+    "WITH RECURSIVE "
+    + CALIBRATION
+    + """, fit AS (SELECT 0 AS i, 0.0::DOUBLE AS w, 0.0::DOUBLE AS b UNION ALL
+  SELECT i + 1, w - 0.05 * gw, b - 0.05 * gb FROM (SELECT i, w, b, avg((1 / (1 + exp(-greatest(-40, least(40, w * score + b)))) - label) * score) AS gw, avg(1 / (1 + exp(-greatest(-40, least(40, w * score + b)))) - label) AS gb FROM fit, rows WHERE i < 500 GROUP BY i, w, b))
+SELECT doc_id, label, round(1 / (1 + exp(-greatest(-40, least(40, w * score + b)))), 6) AS confidence FROM rows, fit WHERE i = 500"""
+)
 def logistic_gd_fit(spark: SparkSession, sf: str) -> DataFrame:
     """500 gradient steps from zero, and the confidence each row then has."""
     rows = calibration_rows(spark, sf)
@@ -240,7 +246,12 @@ def logistic_gd_fit(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("doc_id", "label", F.round(maths.sigmoid(F.lit(b) + F.lit(w[0]) * F.col("score")), 6).alias("confidence"))
 
 
-@query()
+@query(
+    with_(CALIBRATION)
+    + """, g AS (SELECT score, count(*) AS n, sum(label) AS good, row_number() OVER (ORDER BY score) AS i FROM rows GROUP BY score), c AS (SELECT *, sum(n) OVER (ORDER BY i) AS cn, sum(good) OVER (ORDER BY i) AS cg FROM g),
+v AS (SELECT a.i AS j, b.i AS k, (b.cg - a.cg + a.good) / (b.cn - a.cn + a.n) AS mean FROM c a JOIN c b ON a.i <= b.i), least_ AS (SELECT j, k, min(mean) OVER (PARTITION BY j ORDER BY k DESC ROWS UNBOUNDED PRECEDING) AS m FROM v),
+f AS (SELECT k AS i, max(m) AS fitted FROM least_ GROUP BY k) SELECT doc_id, label, round(fitted, 6) AS confidence FROM rows JOIN g USING (score) JOIN f USING (i)"""
+)
 def isotonic_fit(spark: SparkSession, sf: str) -> DataFrame:
     rows = calibration_rows(spark, sf)
     knots = measure.fit_isotonic(rows)
@@ -273,6 +284,29 @@ def early_stopping(spark: SparkSession, sf: str) -> DataFrame:
     return measure.stopped(table(spark, sf, "events"), "user_id", "event_id", "value", patience=3)
 
 
+@query()
+def logistic_newton_fit(spark: SparkSession, sf: str) -> DataFrame:
+    """The regularised fit, solved to its optimum, and the confidence each row then has."""
+    rows = calibration_rows(spark, sf)
+    w, b = measure.fit_logistic_newton(rows, ["score"], "label")
+    return rows.select("doc_id", "label", F.round(maths.sigmoid(F.lit(b) + F.lit(w[0]) * F.col("score")), 6).alias("confidence"))
+
+
+@query(
+    "WITH s AS (SELECT s_suppkey, s_nationkey, CASE WHEN CAST('0x' || substr(sha256('audit' || chr(10) || s_suppkey::VARCHAR), 1, 8) AS BIGINT) / 4294967296.0 < 0.7 THEN 'train' ELSE 'test' END AS split FROM supplier), "
+    "l AS (SELECT s_nationkey, count(DISTINCT split) AS sides FROM s GROUP BY 1) SELECT split, count(*) AS rows, count(DISTINCT s.s_nationkey) AS families, count(DISTINCT CASE WHEN sides > 1 THEN s.s_nationkey END) AS shared_families, round(count(*) / (SELECT count(*) FROM s), 6) AS share FROM s JOIN l USING (s_nationkey) GROUP BY split"
+)
+def split_audit(spark: SparkSession, sf: str) -> DataFrame:
+    """A split made anew from its salt: the rows and families of each side, and the families that are on both."""
+    from lodeweave.functions import hashing
+
+    s = table(spark, sf, "supplier").select("s_suppkey", "s_nationkey", F.when(hashing.hash_unit("audit", F.col("s_suppkey")) < 0.7, "train").otherwise("test").alias("split"))
+    sides = s.groupBy("s_nationkey").agg((F.countDistinct("split") > 1).alias("shared"))
+    total = s.agg(F.count("*").alias("total"))
+    j = s.join(sides, "s_nationkey").crossJoin(F.broadcast(total))
+    return j.groupBy("split").agg(F.count("*").alias("rows"), F.countDistinct("s_nationkey").alias("families"), F.countDistinct(F.when(F.col("shared"), F.col("s_nationkey"))).alias("shared_families"), F.round(F.count("*") / F.first("total"), 6).alias("share"))
+
+
 @query(
     with_(*BASE, FEATURES)
     + ", p AS (SELECT query_id, count(*) AS n, count_if(len(conflicts) = 0 AND list_contains(matches, 'collector_number')) AS exact FROM evidence GROUP BY 1) "

@@ -190,7 +190,14 @@ def component_partition(spark: SparkSession, sf: str) -> DataFrame:
     return d.crossJoin(F.broadcast(cut)).select("p_brand", "n", "running", (F.col("running") <= F.col("cut")).alias("in_train"))
 
 
-@query()
+def _cover_sql(steps: int = 5) -> str:
+    out = "WITH p AS (SELECT DISTINCT p_brand, unnest([p_type, p_size::VARCHAR]) AS item FROM part), l1 AS (SELECT * FROM p)"
+    for k in range(1, steps + 1):
+        out += f", b{k} AS (SELECT {k} AS place, p_brand, count(*) AS added FROM l{k} GROUP BY p_brand ORDER BY added DESC, p_brand LIMIT 1), l{k + 1} AS (SELECT * FROM l{k} WHERE item NOT IN (SELECT item FROM p JOIN b{k} USING (p_brand)))"
+    return out + " " + " UNION ALL ".join(f"SELECT * FROM b{k}" for k in range(1, steps + 1))
+
+
+@query(_cover_sql())
 def greedy_cover(spark: SparkSession, sf: str) -> DataFrame:
     """Up to five brands that together cover the most series and sizes, each chosen for what it adds.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodeweave.functions import maths, text
+from lodeweave.functions import exact, maths, text
 from lodeweave.operators import decide, retrieve
 from lodeweave.plans.frames import CATALOG, NORMALIZED, SIGNALS, TITLES, WORDS, catalog, query_signals, table, titles, with_, pool
 
@@ -301,21 +301,17 @@ def ranknet_loss(spark: SparkSession, sf: str) -> DataFrame:
     return pos.join(neg, "query_id").groupBy("query_id").agg(F.count("*").alias("pairs"), F.round(F.avg(F.log1p(F.exp(-gap))), 6).alias("loss"), F.count_if(F.round(gap, 10) > 0).alias("won"))
 
 
-@query()
+@query(with_(CATALOG, TITLES, SIGNALS, DENSE) + " SELECT query_id, doc_id, round(score, 6) AS score, rank FROM dense")
 def hashing_dense_topk(spark: SparkSession, sf: str) -> DataFrame:
     """Nearest catalogue rows by the hashed embedding."""
-    from lodeweave.functions import exact
-
-    q = titles(spark, sf).select("query_id", exact.embed("title").alias("vec"))
-    found = retrieve.dense(q, catalog(spark, sf).select("doc_id", exact.embed("search_text").alias("vec")))
+    q = query_signals(spark, sf).select("query_id", exact.embed_md5("normalized_title").alias("vec"))
+    found = retrieve.dense(q, catalog(spark, sf).select("doc_id", exact.embed_md5("search_text").alias("vec")))
     return found.select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query()
 def pair_scorer_hook(spark: SparkSession, sf: str) -> DataFrame:
     """Fused candidates scored in batches by an injected scorer; here similarity of the texts."""
-    from lodeweave.functions import exact
-
     found = pool(spark, sf)
     scored = found.withColumn("score", exact.ratio("normalized_title", "search_text"))
     return retrieve.top(scored, 5).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")

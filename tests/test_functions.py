@@ -187,3 +187,18 @@ def test_isotonic_against_plain_pooling(spark):
     want = [k for low, high, n, good in pools for k in ([(low, good / n)] + ([(high, good / n)] if high > low else []))]
     got = measure.fit_isotonic(spark.createDataFrame(data, "score double, label int").repartition(7))
     assert [(a, round(b, 9)) for a, b in got] == [(a, round(b, 9)) for a, b in want]
+
+
+def test_newton_finds_the_optimum(spark):
+    import random
+
+    import numpy as np
+
+    from lodeweave.operators import measure
+
+    r = random.Random(2)
+    data = [(a, b, int(r.random() < 1 / (1 + math.exp(-(2 * a - b + 0.5))))) for a, b in ((r.gauss(0, 1), r.gauss(0, 2)) for _ in range(300))]
+    w, b = measure.fit_logistic_newton(spark.createDataFrame(data, "a double, b double, y int"), ["a", "b"], "y", strength=0.5)
+    x, y = np.array([d[:2] for d in data]), np.array([d[2] for d in data])
+    error = 1 / (1 + np.exp(-(x @ np.array(w) + b))) - y
+    assert np.allclose(error @ x + np.array(w) / 0.5, 0, atol=1e-7) and abs(error.sum()) < 1e-7
