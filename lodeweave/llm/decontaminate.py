@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeweave.llm.common import trim
+from lodeweave.llm.common import materialise, release, trim
 
 WINDOW = 5
 #: Share of an item's windows that a document must hold.
@@ -397,14 +397,14 @@ def _chains(ours: np.ndarray, at: np.ndarray) -> list[list[int]]:
     return sorted(out, key=len, reverse=True)
 
 
-def blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple]]:
-    """The benchmark in blocks of about ``block_bytes`` of text: each is small enough to broadcast."""
+def blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK_BYTES) -> Iterator[tuple[list[tuple], bool]]:
+    """The benchmark in blocks of about ``block_bytes`` of text, each small enough to broadcast, and whether there is one only."""
     rows = benchmark.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.length("text") > 0)
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-total // block_bytes))
     for k in range(n):
         part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k)
-        yield [(r["id"], r["text"]) for r in part.toLocalIterator()]
+        yield [(r["id"], r["text"]) for r in part.toLocalIterator()], n == 1
 
 
 _INDEXES: dict[bytes, tuple[Index, _Vocabulary]] = {}
@@ -418,10 +418,10 @@ def _worker_index(items: list[tuple]) -> tuple[Index, _Vocabulary]:
     return _INDEXES[key]
 
 
-def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row for each document and benchmark item that it holds: both ids, ``windows`` found, ``of_windows``, ``exact``.
 
-    Whole texts are scanned without a shuffle, once for each block of the benchmark. Null and empty
+    Whole texts are scanned without a shuffle, once for each block of the benchmark; one block is broadcast at a time. Null and empty
     texts and items hold and are held by nothing. An item shorter than a window is one window; one without
     a window of three literal tokens is looked for word for word. ``windows`` counts those found with
     half of the item's, or those inside 13 or more of its raw tokens in a row. ``exact`` says whether all of
@@ -433,7 +433,7 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     id_kind = source.schema["id"].dataType.simpleString()
     item_kind = benchmark.schema[item_col].dataType.simpleString()
     out = None
-    for items in blocks(benchmark, item_col, item_text_col):
+    for items, only in blocks(benchmark, item_col, item_text_col, block_bytes):
         shared = docs.sparkSession.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -451,6 +451,9 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
                 )
 
         part = source.mapInArrow(run, f"id {id_kind}, item {item_kind}, windows bigint, of_windows bigint, exact boolean")
+        if not only:  # one block is broadcast at a time
+            part = materialise(part, "matches")
+            shared.destroy()
         out = part if out is None else out.unionByName(part)
     return out.withColumnsRenamed({"id": id_col, "item": item_col})
 
@@ -459,10 +462,12 @@ def _arrow(kind: str) -> pa.DataType:
     return {"bigint": pa.int64(), "int": pa.int32(), "smallint": pa.int16(), "tinyint": pa.int8()}.get(kind, pa.string())
 
 
-def without_benchmark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark item, with all their columns; no shuffle."""
+def without_benchmark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of ``docs`` that hold no benchmark item, with all their columns; no shuffle. Of a benchmark in several
+    blocks, each reads what the one before it kept."""
     place = docs.columns.index(text_col)
-    for items in blocks(benchmark, item_col, item_text_col):
+    before = None
+    for items, only in blocks(benchmark, item_col, item_text_col, block_bytes):
         shared = docs.sparkSession.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -474,6 +479,12 @@ def without_benchmark(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
             trim()
 
         docs = docs.mapInArrow(run, docs.schema)
+        if not only:
+            docs = materialise(docs, "clean")
+            shared.destroy()
+            if before is not None:
+                release(before)
+            before = docs
     return docs
 
 

@@ -413,11 +413,42 @@ def around_pivots(members: DataFrame, sets: DataFrame, docs: DataFrame, orders:
     return a.join(b, ["p", "e"]).where(F.col("al") != F.col("bl")).where(nearer & length & enough).select("a", "b")
 
 
+def _sets(docs: DataFrame, k: int, id_col: str, text_col: str) -> tuple[DataFrame, np.ndarray, DataFrame]:
+    """The rows and orders of magnitude of ``describe``, and the distinct sets."""
+    rows, orders = describe(docs, k, id_col, text_col)
+    sets = rows.where("sid is not null").groupBy("sid", "sid2").agg(F.min("row").alias("row"), F.min("id").alias("id"), *[F.first(x).alias(x) for x in ("n", *PARITIES, "hist")])
+    first = F.row_number().over(Window.partitionBy("sid").orderBy("sid2")) == 1
+    sets = materialise(sets.withColumn("first", first).where("first").drop("first"), "classes")
+    return rows, orders, sets
+
+
+def all_links(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The rows (id, sid, n, ``n_links``: other rows whose sets are similar, copies among them) and every link (a, b) between
+    different sets; ``sid`` tells which rows have which set.
+
+    All pairs that pass the filters are verified, also those of one component: the result has as many rows as there
+    are links, the square of a group of near copies. ``link`` finds the components without that. Empty sets have no links.
+    """
+    rows, orders, sets = _sets(docs, k, id_col, text_col)
+    buckets, behind = _buckets(prefixes(docs, orders, k, percent, id_col, text_col))
+    held = buckets.join(sets.select("sid", *PARITIES), "sid")
+    a, b = (held.select("gram", *_member(x)) for x in "ab")
+    pairs = a.join(b, "gram").where("a < b").where(_may_match(percent) & _near(percent)).select("a", "b").distinct()
+    links = _verify(pairs, sets, docs, k, percent, id_col, text_col).where("ok").select("a", "b")
+    release(*behind)
+    named = rows.join(sets.select("sid", "sid2", F.lit(True).alias("first")), ["sid", "sid2"], "left")
+    size = named.where("first").groupBy("sid").agg(F.count("*").alias("size"))
+    both = links.select(F.col("a").alias("sid"), F.col("b").alias("other")).union(links.select("b", "a"))
+    linked = both.join(size.withColumnsRenamed({"sid": "other", "size": "more"}), "other").groupBy("sid").agg(F.sum("more").alias("more"))
+    counts = size.join(linked, "sid", "left").select("sid", F.lit(True).alias("first"), (F.col("size") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"))
+    return named.join(counts, ["sid", "first"], "left").select("id", "sid", "n", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")), links
+
+
 def link(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", bucket: int = BUCKET) -> tuple[DataFrame, DataFrame]:
     """The rows (id, row, sid, n, label, component) and verified links between sets (a, b) that span each component.
 
     The links are not all true links: two sets that are in one component already are not compared with
-    each other, so their number says nothing of how many links a document has.
+    each other, so their number says nothing of how many links a document has; ``all_links`` counts them.
     ``label`` names a component by its smallest set. ``component`` is the smallest id that a row reaches by links; of an empty set its own id. Null
     and empty texts have empty sets, linked with nothing. Null ids are passed over as the smallest,
     unless a component has no other. Repeated rows are one class. An empty table gives no rows.
@@ -425,10 +456,7 @@ def link(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id",
     the same 64-bit name, the second is linked with nothing (it is never taken for the first). Buckets of up to
     ``bucket`` members are compared pair by pair.
     """
-    rows, orders = describe(docs, k, id_col, text_col)
-    sets = rows.where("sid is not null").groupBy("sid", "sid2").agg(F.min("row").alias("row"), F.min("id").alias("id"), *[F.first(x).alias(x) for x in ("n", *PARITIES, "hist")])
-    first = F.row_number().over(Window.partitionBy("sid").orderBy("sid2")) == 1
-    sets = materialise(sets.withColumn("first", first).where("first").drop("first"), "classes")
+    rows, orders, sets = _sets(docs, k, id_col, text_col)
     buckets, behind = _buckets(prefixes(docs, orders, k, percent, id_col, text_col))
     stars = buckets.select(F.col("pivot.sid").alias("a"), F.col("pivot.n").alias("an"), F.col("pivot.i").alias("ai"), F.col("sid").alias("b"), F.col("n").alias("bn"), F.col("i").alias("bi"))
     pairs = stars.where("a <> b").where(_may_match(percent)).select("a", "b").distinct()

@@ -111,6 +111,18 @@ def test_ngram_join_of_a_large_bucket(spark, monkeypatch, seed, k, percent, buck
     assert sorted(((r.id, r.n, r.component) for r in got.collect()), key=repr) == linked(rows, k, percent)
 
 
+@pytest.mark.parametrize(("make", "k", "percent"), [(noisy, 4, 85), (family, 4, 85), (family, 2, 60)])
+def test_all_links(spark, make, k, percent):
+    rows = make()
+    sets = [shingles(t, k) for _, t in rows]
+    similar = lambda x, y: bool(x and y) and 100 * len(x & y) >= percent * len(x | y)
+    want = sorted(((i, len(s), sum(similar(s, o) for o in sets) - bool(s)) for (i, _), s in zip(rows, sets, strict=True)), key=repr)
+    got, links = ngram_join.all_links(table(spark, rows), k, percent)
+    assert sorted(((r.id, r.n, r.n_links) for r in got.collect()), key=repr) == want
+    distinct = list({s for s in sets if s})
+    assert links.distinct().count() == links.count() == sum(similar(x, y) for i, x in enumerate(distinct) for y in distinct[:i])
+
+
 def test_near_copies_leave_one(spark):
     rows = noisy()
     left = ngram_join.without_near_copies(table(spark, rows), 4, 85)
@@ -431,9 +443,14 @@ def test_decontamination(spark):
 def test_decontamination_in_blocks(spark):
     docs = table(spark, [(i, f"alpha beta gamma delta w{i} epsilon zeta eta theta iota") for i in range(6)])
     bench = spark.createDataFrame([(i, f"alpha beta gamma delta w{i} epsilon zeta eta theta iota") for i in range(6)], "item_id long, text string")
-    n = len(list(decontaminate.blocks(bench, "item_id", "text", 100)))
-    assert n > 1 and sum(len(b) for b in decontaminate.blocks(bench, "item_id", "text", 100)) == 6
-    assert {(r.doc_id, r.item_id) for r in decontaminate.find(docs, bench).collect()} >= {(i, i) for i in range(6)}
+    parts = list(decontaminate.blocks(bench, "item_id", "text", 100))
+    assert len(parts) > 1 and sum(len(b) for b, _ in parts) == 6 and not any(only for _, only in parts)
+    want = sorted(map(tuple, decontaminate.find(docs, bench).collect()))
+    assert {x[:2] for x in want} >= {(i, i) for i in range(6)}
+    assert sorted(map(tuple, decontaminate.find(docs, bench, block_bytes=100).collect())) == want
+    clean = docs.unionByName(table(spark, [(50, "nothing of the kind"), (51, None)]))
+    for size in (100, decontaminate.BLOCK_BYTES):
+        assert sorted(r.doc_id for r in decontaminate.without_benchmark(clean, bench, block_bytes=size).collect()) == [50, 51]
 
 
 def held(item, doc):
