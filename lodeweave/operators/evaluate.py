@@ -222,3 +222,47 @@ def shadow_admission(results: DataFrame, admitted: Column) -> DataFrame:
         return F.transform(F.array_sort(F.collect_list(F.when(which, entry))), lambda x: x["doc_id"])
 
     return results.groupBy("query_id").agg(ids(admitted).alias("admitted"), ids(~admitted).alias("refused"))
+
+
+def frozen(cases: DataFrame, strata: list[str], quota: int, salt: str, key: str = "case_id") -> DataFrame:
+    """A benchmark frozen by salted hash: the first ``quota`` cases of each stratum, numbered in the order of their keys, and
+    whether their stratum is ``short`` of its quota. Cases that come later change nothing unless their hash is among the first."""
+    from pyspark.sql import Window
+
+    from lodeweave.functions import hashing
+
+    at = F.row_number().over(Window.partitionBy(*strata).orderBy(hashing.salted(salt, F.col(key)), key))
+    chosen = cases.withColumn("_at", at).where(F.col("_at") <= quota)
+    short = F.count("*").over(Window.partitionBy(*strata)) < quota
+    # quota rows for each stratum: few, however many cases there are
+    return chosen.withColumn("short", short).withColumn("number", F.row_number().over(Window.orderBy(key))).drop("_at")
+
+
+def inventory(rows: DataFrame, source: str, ids: str, content: Column) -> DataFrame:
+    """Each source's rows, distinct ids and distinct contents, and of these how many other sources have as well."""
+    named = rows.select(F.col(source).alias("source"), F.col(ids).alias("id"), F.sha2(F.coalesce(content, F.lit("")), 256).alias("h"))
+    own = named.groupBy("source").agg(F.count("*").alias("rows"), F.countDistinct("id").alias("ids"), F.countDistinct("h").alias("contents"))
+    held = named.select("source", "h").distinct()
+    shared = held.join(held.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "h").groupBy("source").agg(F.count("*").alias("shared"))
+    return own.join(shared, own["source"].eqNullSafe(shared["source"]), "left").select(own["source"], "rows", "ids", "contents", F.coalesce("shared", F.lit(0)).alias("shared"))
+
+
+def overlaid(base: DataFrame, overlay: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """``base`` with approved repairs (key, field, old, new, approved) on top, and what became of each record's repairs.
+
+    A repair applies if it is approved, the record's value still is ``old`` and no other approved repair of that field says
+    otherwise. ``applied``, ``stale`` and ``conflicting`` count them; repairs of unknown records are left out.
+    """
+    some = overlay.where("approved").groupBy(key, "field").agg(F.countDistinct(F.struct("old", "new")).alias("kinds"), F.first("old").alias("old"), F.first("new").alias("new"))
+    by_record = some.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("field", F.struct("kinds", "old", "new")))).alias("_r"))  # one entry a field
+    joined = base.join(by_record, key, "left")
+    out, applied, stale, conflicting = joined, F.lit(0), F.lit(0), F.lit(0)
+    for f in fields:
+        r = F.try_element_at("_r", F.lit(f))
+        clash = r.isNotNull() & (r["kinds"] > 1)
+        fresh = r.isNotNull() & (r["kinds"] == 1) & r["old"].eqNullSafe(F.col(f).cast("string"))
+        one = lambda c: F.coalesce(c, F.lit(False)).cast("int")
+        applied, conflicting = applied + one(fresh), conflicting + one(clash)
+        stale = stale + one(r.isNotNull() & (r["kinds"] == 1) & ~r["old"].eqNullSafe(F.col(f).cast("string")))
+        out = out.withColumn(f"_{f}", F.when(one(fresh) == 1, r["new"]).otherwise(F.col(f).cast("string")))
+    return out.select(key, *[F.col(f"_{f}").alias(f) for f in fields], applied.alias("applied"), stale.alias("stale"), conflicting.alias("conflicting"))

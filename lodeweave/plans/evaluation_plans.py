@@ -441,3 +441,46 @@ def trained_policy(spark: SparkSession, sf: str) -> DataFrame:
     dev = rows.where("split = 'dev'").select(decide.probability(tuple(w), b).alias("confidence"), "label")
     chosen = measure.match_threshold(dev, precision=0.6, least=3)
     return spark.range(1).select(*[F.lit(round(x, 6)).alias(n) for n, x in zip(names, w, strict=True)], F.lit(round(b, 6)).alias("intercept")).join(chosen.select("threshold", "accepted", F.round("precision", 6).alias("precision")), how="left", on=F.lit(True))
+
+
+@query(
+    with_(CATALOG, TITLES, CASES)
+    + ", k AS (SELECT *, row_number() OVER (PARTITION BY kind, style ORDER BY sha256('freeze' || chr(10) || case_id), case_id) AS at0 FROM cases), c AS (SELECT *, count(*) OVER (PARTITION BY kind, style) < 5 AS short FROM k WHERE at0 <= 5) "
+    "SELECT case_id, kind, style, short, row_number() OVER (ORDER BY case_id)::INTEGER AS number FROM c"
+)
+def frozen_benchmark(spark: SparkSession, sf: str) -> DataFrame:
+    """Five cases of each kind and style by salted hash, and which strata have too few."""
+    return evaluate.frozen(cases(spark, sf), ["kind", "style"], 5, "freeze").select("case_id", "kind", "style", "short", "number")
+
+
+@query(
+    "WITH n AS (SELECT source, doc_id AS id, sha256(coalesce(text, '')) AS h FROM documents), d AS (SELECT DISTINCT source, h FROM n), m AS (SELECT h FROM d GROUP BY h HAVING count(*) > 1) "
+    "SELECT n.source, count(*) AS rows, count(DISTINCT id) AS ids, count(DISTINCT h) AS contents, (SELECT count(*) FROM d WHERE d.source IS NOT DISTINCT FROM n.source AND h IN (SELECT h FROM m)) AS shared FROM n GROUP BY n.source"
+)
+def source_inventory(spark: SparkSession, sf: str) -> DataFrame:
+    """What each source of documents holds, and how much of it others hold too."""
+    return evaluate.inventory(table(spark, sf, "documents"), "source", "doc_id", F.col("text"))
+
+
+_REPAIRS = """
+rep AS (SELECT p_partkey, 'p_type' AS field, p_type AS old, lower(p_type) AS new, p_partkey % 5 <> 0 AS approved FROM part WHERE p_partkey % 3 = 0
+  UNION ALL SELECT p_partkey, 'p_brand', p_brand || '?', 'X', TRUE FROM part WHERE p_partkey % 7 = 0 UNION ALL SELECT p_partkey, 'p_type', p_type, 'other', TRUE FROM part WHERE p_partkey % 9 = 0),
+app AS (SELECT p_partkey, field, count(DISTINCT old || '|' || new) AS kinds, min(old) AS old, min(new) AS new FROM rep WHERE approved GROUP BY 1, 2),
+bt AS (SELECT * FROM app WHERE field = 'p_type'), bb AS (SELECT * FROM app WHERE field = 'p_brand')"""
+
+
+@query(
+    "WITH "
+    + _REPAIRS
+    + " SELECT p.p_partkey, CASE WHEN bt.kinds = 1 AND bt.old = p_type THEN bt.new ELSE p_type END AS p_type, CASE WHEN bb.kinds = 1 AND bb.old = p_brand THEN bb.new ELSE p_brand END AS p_brand, "
+    "coalesce((bt.kinds = 1 AND bt.old = p_type)::INTEGER, 0) + coalesce((bb.kinds = 1 AND bb.old = p_brand)::INTEGER, 0) AS applied, coalesce((bt.kinds = 1 AND bt.old <> p_type)::INTEGER, 0) + coalesce((bb.kinds = 1 AND bb.old <> p_brand)::INTEGER, 0) AS stale, "
+    "coalesce((bt.kinds > 1)::INTEGER, 0) + coalesce((bb.kinds > 1)::INTEGER, 0) AS conflicting FROM part p LEFT JOIN bt ON bt.p_partkey = p.p_partkey LEFT JOIN bb ON bb.p_partkey = p.p_partkey"
+)
+def repair_overlay(spark: SparkSession, sf: str) -> DataFrame:
+    """Records with made-up repairs on top: some not approved, some of a value that has changed, some that contradict."""
+    p = table(spark, sf, "part").select("p_partkey", "p_type", "p_brand")
+    n = F.col("p_partkey")
+    lower = p.where(n % 3 == 0).select("p_partkey", F.lit("p_type").alias("field"), F.col("p_type").alias("old"), F.lower("p_type").alias("new"), (n % 5 != 0).alias("approved"))
+    stale = p.where(n % 7 == 0).select("p_partkey", F.lit("p_brand"), F.concat("p_brand", F.lit("?")), F.lit("X"), F.lit(True))
+    other = p.where(n % 9 == 0).select("p_partkey", F.lit("p_type"), F.col("p_type"), F.lit("other"), F.lit(True))
+    return evaluate.overlaid(p, lower.union(stale).union(other), "p_partkey", ["p_type", "p_brand"])
