@@ -43,7 +43,7 @@ def envelopes(queries: DataFrame, names: DataFrame, idf: DataFrame) -> DataFrame
     atoms, then the later place (names that begin with one anchor give one envelope). A query without any anchor is its own envelope; one
     without atoms has none.
     """
-    q = queries.select("query_id", core_atoms(F.col("title")).alias("q"))
+    q = queries.select("query_id", core_atoms(F.coalesce("title", F.lit(""))).alias("q"))
     forms = names.select("doc_id", core_atoms(F.col("name")).alias("n")).distinct()
     at = F.array_position(F.transform("n", lambda a: a.rlike("^[a-z]")), F.lit(True)).cast("int")
     forms = forms.withColumn("at", at).where("at > 0").select(F.concat_ws("\x1f", F.array_join("n", " "), F.col("doc_id").cast("string")).alias("form"), F.element_at("n", F.col("at")).alias("anchor"), F.slice("n", F.col("at"), F.size("n")).alias("n"))

@@ -100,8 +100,8 @@ def query_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pool(spark: SparkSession, sf_dir: str, signals: DataFrame | None = None) -> DataFrame:
-    """The fused candidates of all titles; vectors by MD5, so that the twin can follow."""
-    return decide.candidates(signals if signals is not None else query_signals(spark, sf_dir), catalog(spark, sf_dir), embed=exact.embed_md5)
+    """The fused candidates of all titles, persisted since reports read them more than once; vectors by MD5, so that the twin can follow."""
+    return decide.candidates(signals if signals is not None else query_signals(spark, sf_dir), catalog(spark, sf_dir), embed=exact.embed_md5).persist()
 
 
 def mentions(t: DataFrame, values: DataFrame, tokens: Column) -> DataFrame:

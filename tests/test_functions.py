@@ -202,3 +202,37 @@ def test_newton_finds_the_optimum(spark):
     x, y = np.array([d[:2] for d in data]), np.array([d[2] for d in data])
     error = 1 / (1 + np.exp(-(x @ np.array(w) + b))) - y
     assert np.allclose(error @ x + np.array(w) / 0.5, 0, atol=1e-7) and abs(error.sum()) < 1e-7
+
+
+def test_envelopes_against_plain_python(spark):
+    from lodeweave.operators import envelope
+
+    names = [("a", "blue camaro 1967"), ("b", "camaro z28"), ("c", "red nomad"), ("d", "1955"), ("e", "nomad")]
+    titles = [("q1", "lot of 3 camaro z28"), ("q2", "67 camaro blue"), ("q3", "nothing known"), ("q4", ""), ("q5", "shiny red nomad wagon"), ("q6", "55 nomad"), ("q7", None)]
+    idf = {"camaro": 1.5, "blue": 2.0, "red": 2.0, "nomad": 1.7, "z": 2.2}
+    most = max(idf.values())
+
+    def atoms(t):
+        return [a for a, _ in evidence.atoms_of(t or "")]
+
+    def weights(x):
+        return [0.0 if len(a) == 1 and a.isalpha() else idf.get(a, most) / most for a in x]
+
+    want = {}
+    for key, t in titles:
+        q, best = atoms(t), None
+        for pos, a in enumerate(q):
+            for _, name in names:
+                n = atoms(name)
+                at = next((i for i, x in enumerate(n) if x.isalpha()), None)
+                if at is None or n[at] != a:
+                    continue
+                nw = weights(n[at:])
+                got, _, similar, _ = evidence.align(q[pos:], n[at:], weights(q[pos:]), nw)
+                option = (round(got / sum(nw), 10), round(got, 10), round(similar, 10), pos)
+                best = max(best or option, option)
+        start = None if not q else 0 if best is None or (best[3] == 1 and q[0].isdigit()) else best[3]
+        want[key] = ("empty" if not q else "unanchored" if best is None else "anchored", None if best is None else q[best[3]], start, " ".join(q[start:]) if q else "")
+    rows = envelope.envelopes(spark.createDataFrame(titles, "query_id string, title string"), spark.createDataFrame(names, "doc_id string, name string"), spark.createDataFrame(list(idf.items()), "token string, idf double"))
+    got = {r.query_id: (r.status, r.anchor, r.start, r.text or "") for r in rows.collect()}
+    assert got == want
