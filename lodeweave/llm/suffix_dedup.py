@@ -10,6 +10,10 @@ A string of the wanted length belongs to the first anchor in its inner part. Whe
 of an alive anchor's strings occurs elsewhere, all of them do; only at the edges of repeats (and where
 there is no anchor for long, as in periodic text) are the strings compared one by one, by 128-bit
 hashes of their bytes. Of strings without an anchor, each text gives every distinct one once.
+
+Passages of many words may be shorter than that many bytes. They are counted beside, in texts that lose nothing:
+word n-grams chosen by winnowing (any passage of the wanted number of words holds one that is the least around
+it) are ranked with the phrases; where two texts share one, their windows of words around it are compared.
 """
 
 from __future__ import annotations
@@ -26,12 +30,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodeweave.llm.common import bitmap_has, materialise, membership_bitmap, release
-from lodeweave.llm.shingles import packed, pieces, random_odd, spread
+from lodeweave.llm.shingles import packed, pieces, random_odd, shingle_hashes, spread, word_hashes
 
 #: Texts of one task that are remembered, so that copies give their anchors once.
 REMEMBERED = 500_000
 #: In place of a run: a string without an anchor, and one that its own text holds more than once.
 _FAR, _TWICE = -2, -3
+#: In place of a run: a word n-gram that winnowing has chosen.
+_WORDS = -4
+#: Passages of over 50 words are counted, also those below 400 bytes.
+PASSAGE_WORDS = 51
 _BYTES = random_odd(1 << 30, 256)
 
 
@@ -134,8 +142,33 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def _positions(docs: DataFrame, text_col: str, shape: Shape) -> DataFrame:
-    """Every phrase and far string of all texts: tid, i (anchor number or start), run (-1: no string belongs to it) and hash."""
+def winnowed(hashes: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
+    """Which of the n-grams of some texts are the least of ``width`` in a row of their text; texts with fewer have none.
+
+    Equal stretches of ``width`` n-grams choose the same ones, wherever they stand.
+    """
+    n = len(hashes)
+    if n < width:
+        return np.zeros(0, dtype=np.int64)
+    text = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+    # no hash is zero, so a row that spans two texts chooses nothing
+    least = np.where(text[: n - width + 1] == text[width - 1 :], _slide(hashes, width), np.uint64(0))
+    around = np.zeros(n + width - 1, dtype=np.uint64)
+    around[width - 1 : n] = least
+    return np.flatnonzero(~_slide(~around, width) == hashes)
+
+
+def _gram(words: int) -> tuple[int, int]:
+    """The words of an n-gram and the n-grams in a row of which one is chosen, for passages of so many words."""
+    k = max(1, words // 4)
+    return k, words - k + 1
+
+
+def _positions(docs: DataFrame, text_col: str, shape: Shape, words: int | None = None) -> DataFrame:
+    """Every phrase and far string of all texts: tid, i (anchor number or start), run (-1: no string belongs to it) and hash.
+
+    With ``words``, the chosen word n-grams too (i is the first word's number).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -150,12 +183,16 @@ def _positions(docs: DataFrame, text_col: str, shape: Shape) -> DataFrame:
                 cut = np.searchsorted(text, np.arange(b - a + 1))
                 view = memoryview(own.tobytes())
                 out: tuple[list, list, list, list] = ([], [], [], [])
+                fresh = np.zeros(b - a, dtype=bool)
                 for t in range(b - a):
                     n, tid = int(base[t + 1] - base[t]), tids[a + t]
-                    if n < length or tid in seen:
+                    if n < least or tid in seen:
                         continue
                     if len(seen) < REMEMBERED:
                         seen.add(tid)
+                    fresh[t] = True
+                    if n < length:
+                        continue
                     here = view[base[t] : base[t + 1]]
                     m = marks(at[cut[t] : cut[t + 1]] - base[t], n, shape)
                     where = m.at.tolist()
@@ -179,8 +216,20 @@ def _positions(docs: DataFrame, text_col: str, shape: Shape) -> DataFrame:
                 if out[0]:
                     kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64())
                     yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=["tid", "i", "run", "h"])
-
-    return docs.select(F.xxhash64(text_col).alias("tid"), F.col(text_col).alias("text")).where(F.octet_length("text") >= shape.length).mapInArrow(run, "tid bigint, i int, run int, h bigint")
+                if words:
+                    size, width = _gram(words)
+                    hashes, at_text = shingle_hashes(*word_hashes(own, base), b - a, size)
+                    hashes |= np.uint64(1)
+                    chosen = winnowed(hashes, at_text, width)
+                    text = np.searchsorted(at_text, chosen, side="right") - 1
+                    keep = fresh[text]
+                    chosen, text = chosen[keep], text[keep]
+                    if len(chosen):
+                        columns = [np.array(tids[a:b])[text], (chosen - at_text[text]).astype(np.int32), np.full(len(chosen), _WORDS, dtype=np.int32), spread(hashes[chosen]).view(np.int64)]
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["tid", "i", "run", "h"])
+
+    least = min(shape.length, 2 * words - 1) if words else shape.length
+    return docs.select(F.xxhash64(text_col).alias("tid"), F.col(text_col).alias("text")).where(F.octet_length("text") >= least).mapInArrow(run, "tid bigint, i int, run int, h bigint")
 
 
 def _repeated(rows: DataFrame, key: list[str], spot: list[str], keep: Column | None = None) -> DataFrame:
@@ -317,13 +366,51 @@ def _cleaned(texts: DataFrame, shape: Shape) -> DataFrame:
     return texts.select("tid", "text", "ranges").mapInArrow(run, "tid bigint, sha string, n_removed bigint, spans array<struct<start:bigint,end:bigint>>, kept_sha256 string")
 
 
+def _windows(texts: DataFrame, words: int) -> DataFrame:
+    """The 128-bit hash of each window of ``words`` words around the n-grams ``at`` of a text: tid, p (first word) and string."""
+    size, width = _gram(words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                data = _opened(batch.column(1)[row])
+                own, _ = word_hashes(data, np.array([0, len(data)]))
+                at = np.array(batch.column(2)[row].as_py(), dtype=np.int64)
+                p = np.unique(at[:, None] - np.arange(width))  # the windows that hold the n-gram
+                p = p[(p >= 0) & (p + words <= len(own))]
+                view = memoryview(own.tobytes())
+                hashes = [xxhash.xxh3_128_digest(view[8 * i : 8 * (i + words)]) for i in p.tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[row].as_py()] * len(p), pa.int64()), pa.array(p, pa.int32()), pa.array(hashes, pa.binary())], names=["tid", "p", "string"])
+
+    return texts.select("tid", "text", "at").mapInArrow(run, "tid bigint, p int, string binary")
+
+
+def _passages(docs: DataFrame, text_col: str, grams: DataFrame, settled: DataFrame, words: int) -> DataFrame:
+    """tid and ``passages``: for texts not ``settled`` (tid), the runs of overlapping windows of ``words`` words that another text has too.
+
+    ``grams`` are the chosen n-grams that occur at several places, with their rank. Those that no open text has are left out.
+    """
+    wanted = grams.join(settled, "tid", "left_anti").select("rank").distinct()
+    need = materialise(grams.join(wanted, "rank", "left_semi").groupBy("tid").agg(F.collect_list("i").alias("at")), "grams")
+    texts = _fetch(docs, text_col, need).select("tid", "text", "at")
+    shared = _repeated(_windows(texts, words), ["string"], ["tid"]).select("tid", "p")
+    before = F.lag("p").over(Window.partitionBy("tid").orderBy("p"))
+    runs = shared.distinct().withColumn("new", before.isNull() | (F.col("p") - before > words))
+    found = materialise(runs.where("new").groupBy("tid").agg(F.count("*").alias("passages")).join(settled, "tid", "left_anti"), "passages")
+    release(need)
+    return found
+
+
 def _ranges(rows: DataFrame) -> DataFrame:
     return rows.groupBy("tid").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", words: int | None = None) -> DataFrame:
     """One row per row of ``docs``: id, ``n_bytes``, ``n_removed``, ``spans`` (array<struct<start,end>>, maximal runs) and ``kept_sha256``.
 
+    With ``words``, also ``passages``: the spans of a text that loses bytes, and of one that loses none its passages of at least so
+    many words (white space apart, A-Z in either case) that another text has too. They stay: only bytes decide what goes.
+
     A byte goes if a string of ``length`` bytes over it also starts anywhere else, in the same text or
     another; overlaps count. Null and empty texts lose nothing, nor do texts below ``length`` bytes.
     Repeated rows are copies of each other and go whole. An empty table gives no rows. Other columns
@@ -336,14 +423,14 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = materialise(docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("tid"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("sha")), "rows")
     copies = rows.groupBy("tid", "sha").agg(F.count("*").alias("copies"))
-    first = _repeated(_positions(docs, text_col, shape), ["h"], ["tid", "i"], F.col("run") == _TWICE).select("tid", "i", "run", "rank")
+    first = _repeated(_positions(docs, text_col, shape, words), ["h"], ["tid", "i"], F.col("run") == _TWICE).select("tid", "i", "run", "rank")
     first = materialise(first.dropDuplicates(["tid", "i", "run"]), "ranks-1")
     alive = _doubled(first.where(F.col("run") > _FAR), shape)
     twice = F.when(F.col("run") == _TWICE, F.lit(-1)).otherwise(F.col("i"))
-    far = first.where(F.col("run") <= _FAR).groupBy("tid").agg(F.collect_list(F.struct(F.col("i").alias("low"), twice.alias("high"))).alias("far"))
+    far = first.where(F.col("run").isin(_FAR, _TWICE)).groupBy("tid").agg(F.collect_list(F.struct(F.col("i").alias("low"), twice.alias("high"))).alias("far"))
     wanted = alive.groupBy("tid").agg(F.collect_list(F.struct("i", "rank")).alias("alive")).join(far, "tid", "full")
     texts = materialise(_fetch(docs, text_col, wanted), "texts")
-    release(first, alive)
+    release(alive)
     stretches = materialise(_stretches(texts, shape), "stretches")
     # stretches that occur elsewhere settle all their strings; the rest are compared with one of each kind of their run
     spot = F.xxhash64("tid", "i")
@@ -359,19 +446,28 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
     ranges = _ranges(settled.select("tid", "low", "high").union(found).union(far.where("x.high = -1").select("tid", "x.low", "x.high")))
     cleaned = materialise(_cleaned(texts.select("tid", "text").join(ranges, "tid"), shape), "cleaned")
     release(texts, stretches)
+    found = None
+    if words:
+        settled = cleaned.select("tid").union(rows.join(copies.where("copies > 1"), ["tid", "sha"], "left_semi").where(F.col("n_bytes") >= length).select("tid")).distinct()
+        found = _passages(docs, text_col, first.where(F.col("run") == _WORDS).select("tid", "i", "rank"), settled, words)
+    release(first)
     joined = rows.join(copies.where("copies > 1"), ["tid", "sha"], "left").join(cleaned, ["tid", "sha"], "left")
     whole = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
     everything = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end")))
     nothing = F.array().cast("array<struct<start:bigint,end:bigint>>")
-    return joined.select(
+    out = joined.select(
         "id",
         "n_bytes",
         F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
         F.when(whole, everything).otherwise(F.coalesce("spans", nothing)).alias("spans"),
         F.when(whole, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
-    ).withColumnRenamed("id", id_col)
+        "tid",
+    )
+    if found is not None:
+        out = out.join(found, "tid", "left").withColumn("passages", F.size("spans").cast("long") + F.coalesce("passages", F.lit(0)))
+    return out.drop("tid").withColumnRenamed("id", id_col)
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+    found = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=PASSAGE_WORDS)
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256", F.col("passages").alias("n_passages"))

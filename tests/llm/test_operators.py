@@ -189,6 +189,37 @@ def test_suffix_dedup(spark, length):
     assert sorted(((x.doc_id, (x.n_bytes, x.n_removed, len(x.spans), x.kept_sha256)) for x in got), key=repr) == sorted(((i, w) for (i, _), w in zip(rows, want, strict=True)), key=repr)
 
 
+@pytest.mark.parametrize(("length", "words"), [(64, 9), (400, 51), (40, 3)])
+def test_passages_of_many_words(spark, length, words):
+    """In texts that lose no byte, the passages of so many words that another text has too, however short in bytes."""
+    r = random.Random(words)
+    word = lambda: "".join(r.choice("abcdé") for _ in range(r.choice((1, 1, 2, 3))))
+    parts = [" ".join(word() for _ in range(r.randint(words - 2, words + 6))) for _ in range(8)]
+    texts = [None, "", "a " * (2 * words), "a  A\n" * (2 * words)]
+    for i in range(40):
+        t = [" ".join(word() for _ in range(r.randint(0, 2 * words))) for _ in range(2)]
+        t.insert(1, r.choice(parts) if i % 2 else "")
+        texts.append((r.choice((" ", "\n", "  "))).join(t).upper() if i % 5 == 0 else " ".join(t))
+    texts += [texts[7], parts[0]]
+    rows = list(enumerate(texts))
+    got = {x.doc_id: x for x in suffix_dedup.remove_repeats(table(spark, rows), length, words=words).collect()}
+    split = [re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER)) for t in texts]
+    holders = {}
+    for t, w in zip(texts, split, strict=True):
+        for p in range(len(w) - words + 1):
+            holders.setdefault(tuple(w[p : p + words]), set()).add(t)
+    some = 0
+    for i, t in rows:
+        if got[i].n_removed:
+            assert got[i].passages == len(got[i].spans)
+            continue
+        shared = [p for p in range(len(split[i]) - words + 1) if len(holders[tuple(split[i][p : p + words])]) > 1]
+        want = sum(k == 0 or p - shared[k - 1] > words for k, p in enumerate(shared))
+        assert got[i].passages == want, i
+        some += want
+    assert some >= 5
+
+
 def test_suffix_dedup_empty(spark):
     assert suffix_dedup.remove_repeats(table(spark, [])).count() == 0
     with pytest.raises(ValueError):
