@@ -125,19 +125,22 @@ class Markov:
 
 
 class Scanner:
-    """Both models and the threshold, in nats for the whole string and for each character."""
+    """Both models and the thresholds, in nats for the whole string and for each character.
 
-    def __init__(self, samples: list[tuple[str, int]], least: float = 12.0, least_each: float = 0.45):
+    Runs of letters alone are words far more often than secrets, so they have to be the likelier by ``least_letters``.
+    """
+
+    def __init__(self, samples: list[tuple[str, int]], least: float = 12.0, least_each: float = 0.45, least_letters: float = 1.2):
         self.random = Markov(s for s, label in samples if label)
         self.ordinary = Markov(s for s, label in samples if not label)
-        self.least, self.least_each = least, least_each
+        self.least, self.least_each, self.least_letters = least, least_each, least_letters
 
     def ratio(self, s: str) -> float:
         return self.random.score(s) - self.ordinary.score(s)
 
     def secret(self, s: str) -> bool:
         ratio = self.ratio(s)
-        return ratio >= self.least and ratio >= self.least_each * len(s)
+        return ratio >= self.least and ratio >= (self.least_letters if s.isalpha() else self.least_each) * len(s)
 
     def base(self, text: str) -> list[tuple[int, int, int]]:
         """(start, place of the kind in KINDS, end) of the patterns' matches, sorted."""
