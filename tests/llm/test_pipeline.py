@@ -73,5 +73,5 @@ def test_queries_with_sql(spark):
 def test_registered(spark):
     names = catalogue.queries()
     assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 11)} and "pipeline" in names
-    for name in ("op2_suffix_dedup", "op3_secrets", "op5_sharding", "op6_decontaminate", "op7_langid", "op9_bpe", "op10_html"):
+    for name in ("op1_ngram_join", "op2_suffix_dedup", "op3_secrets", "op5_sharding", "op6_decontaminate", "op7_langid", "op9_bpe", "op10_html"):
         assert names[name](spark, SF).count() > 0, name
