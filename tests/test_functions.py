@@ -236,3 +236,23 @@ def test_envelopes_against_plain_python(spark):
     rows = envelope.envelopes(spark.createDataFrame(titles, "query_id string, title string"), spark.createDataFrame(names, "doc_id string, name string"), spark.createDataFrame(list(idf.items()), "token string, idf double"))
     got = {r.query_id: (r.status, r.anchor, r.start, r.text or "") for r in rows.collect()}
     assert got == want
+
+
+def test_many_queries_give_what_few_give(spark, monkeypatch):
+    """Beyond the size that may be broadcast, pairs meet in shuffles and by rare tokens only: the best are the same."""
+    from lodeweave.plans.frames import catalog, query_signals
+
+    sf = "/root/testdata/sf0.01"
+    s, c = query_signals(spark, sf), catalog(spark, sf)
+    posted = retrieve.postings(c, "doc_id", text.words(F.col("search_text")))
+    wanted, n = s.select("query_id", F.explode("tokens").alias("token")), c.agg(F.count("*").alias("n"))
+
+    def best():
+        out = []
+        for found in (retrieve.sparse(wanted, posted, n), retrieve.structured(s, c)):
+            out.append(sorted((r.query_id, r.doc_id, round(r.score, 8), r["rank"]) for r in retrieve.top(found).collect()))
+        return out
+
+    few = best()
+    monkeypatch.setattr(retrieve, "BROADCAST_ROWS", -1)
+    assert best() == few and len(few[0]) == 2500
