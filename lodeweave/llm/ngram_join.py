@@ -358,15 +358,18 @@ def around_pivots(members: DataFrame, sets: DataFrame, docs: DataFrame, orders:
     The other is indexed. If it is linked to p, then r > (|A| + (1 - t) / (1 + t) (|p| - |a|)) / 2, since B is
     more than p allows; else the one that is nearer to p is indexed, so that r >= |A| - D / 2.
     """
-    need = members.select("sid").union(members.select("p")).distinct()
-    texts = materialise(_texts(docs, need.join(sets.select("sid", "row"), "sid"), k, id_col, text_col).dropDuplicates(["sid"]), "texts")
-    joined = members.join(texts.withColumnRenamed("text", "at"), "sid").join(texts.select(F.col("sid").alias("p"), F.col("text").alias("pt")), "p")
+    pivots = members.select("p").distinct()
+    need = members.select("sid").union(pivots).distinct()
+    texts = materialise(_texts(docs, need.join(sets.select("sid", "row"), "sid"), k, id_col, text_col), "texts")
+    # pivots are few: written by themselves, their texts can be broadcast if Spark finds them small, and no member's text is exchanged twice
+    centres = materialise(texts.withColumnRenamed("sid", "p").join(pivots, "p", "left_semi").withColumnRenamed("text", "pt"), "pivots")
+    joined = members.join(texts.withColumnRenamed("text", "at"), "sid").join(centres, "p")
     shared = docs.sparkSession.sparkContext.broadcast(orders)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank, coder = shared.value, zstandard.ZstdDecompressor()
         kinds = [("p", pa.int64()), ("e", pa.int64()), ("sid", pa.int64()), ("label", pa.int64()), ("n", pa.int64()), ("far", pa.int64()), ("i", pa.int64()), ("linked", pa.bool_()), ("probe", pa.bool_())]
-        last: tuple[int | None, np.ndarray | None] = (None, None)
+        kept: OrderedDict[int, np.ndarray] = OrderedDict()
 
         def opened(data: pa.Scalar) -> np.ndarray:
             return next(shingle_sets(pa.array([coder.decompress(data.as_py()).decode("utf-8", "surrogatepass")]), k))
@@ -377,9 +380,12 @@ def around_pivots(members: DataFrame, sets: DataFrame, docs: DataFrame, orders:
         for batch in batches:
             out: list[list[np.ndarray]] = []
             for p, sid, label, at, pt in zip(*(batch.column(x) for x in ("p", "sid", "label", "at", "pt")), strict=True):
-                if last[0] != p.as_py():
-                    last = (p.as_py(), opened(pt))
-                a, own = opened(at), last[1]
+                own = kept.get(p.as_py())
+                if own is None:
+                    own = kept[p.as_py()] = opened(pt)
+                    if len(kept) > 64:
+                        kept.popitem(last=False)
+                a = opened(at)
                 more, less = np.setdiff1d(a, own, assume_unique=True), np.setdiff1d(own, a, assume_unique=True)
                 n, m, far = len(a), len(own), len(more) + len(less)
                 linked = 100 * (n - len(more)) >= percent * (m + len(more))
@@ -402,7 +408,7 @@ def around_pivots(members: DataFrame, sets: DataFrame, docs: DataFrame, orders:
         trim()
 
     rows = materialise(joined.select("p", "sid", "label", "at", "pt").mapInArrow(run, "p bigint, e bigint, sid bigint, label bigint, n bigint, far bigint, i bigint, linked boolean, probe boolean"), "differences")
-    release(texts)
+    release(texts, centres)
     a = rows.where("not probe").select("p", "e", *[F.col(x).alias(y) for x, y in (("sid", "a"), ("label", "al"), ("n", "an"), ("far", "af"), ("i", "ai"), ("linked", "linked"))])
     b = rows.where("probe").select("p", "e", *[F.col(x).alias(y) for x, y in (("sid", "b"), ("label", "bl"), ("n", "bn"), ("far", "bf"), ("i", "bi"))])
     nearer = F.col("linked") | (F.col("af") < F.col("bf")) | ((F.col("af") == F.col("bf")) & (F.col("a") < F.col("b")))
@@ -416,9 +422,9 @@ def around_pivots(members: DataFrame, sets: DataFrame, docs: DataFrame, orders:
 def _sets(docs: DataFrame, k: int, id_col: str, text_col: str) -> tuple[DataFrame, np.ndarray, DataFrame]:
     """The rows and orders of magnitude of ``describe``, and the distinct sets."""
     rows, orders = describe(docs, k, id_col, text_col)
-    sets = rows.where("sid is not null").groupBy("sid", "sid2").agg(F.min("row").alias("row"), F.min("id").alias("id"), *[F.first(x).alias(x) for x in ("n", *PARITIES, "hist")])
-    first = F.row_number().over(Window.partitionBy("sid").orderBy("sid2")) == 1
-    sets = materialise(sets.withColumn("first", first).where("first").drop("first"), "classes")
+    # of two sets with one name the first stays; what the sets hold is exchanged once, and once for each task
+    one = F.min(F.struct("sid2", "row", "n", *PARITIES, "hist")).alias("one")
+    sets = materialise(rows.where("sid is not null").groupBy("sid").agg(one).select("sid", "one.*"), "classes")
     return rows, orders, sets
 
 
@@ -481,7 +487,8 @@ def link(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id",
     release(left, many)
     links = tested.where("ok").select("a", "b")
     labels = components(links, "a", "b")
-    named = sets.select("sid", "sid2", "id").join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+    ids = rows.where("sid is not null").groupBy("sid", "sid2").agg(F.min("id").alias("id"))
+    named = sets.select("sid", "sid2").join(ids, ["sid", "sid2"]).join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
     least = named.groupBy("label").agg(F.min("id").alias("component"))
     named = named.join(least, "label").select("sid", "sid2", "label", "component")
     out = rows.join(named, ["sid", "sid2"], "left").select("id", "row", "row2", "sid", "n", "label", F.when(F.col("label").isNull(), F.col("id")).otherwise(F.col("component")).alias("component"))
