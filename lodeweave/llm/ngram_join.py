@@ -310,7 +310,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, docs: DataFrame, k: int, percent:
 
 
 def _buckets(grams: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-    """The rows (gram, sid, n, i) of grams that several sets have, and each gram's pivot; and the scratch tables behind them.
+    """The rows (gram, sid, n, i) of grams that several sets have, each gram's pivot and number of sets; and the scratch tables behind them.
 
     The rows are exchanged once. A gram that many sets may have is dealt over many partitions by its
     sets' names; its parts are then put together from their sums.
@@ -324,7 +324,7 @@ def _buckets(grams: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     hot = parts.where("hot")
     # written, so that the join below is between two exchanges, of which a hot gram's rows can be split
     whole = materialise(hot.groupBy("gram").agg(F.count("*").alias("size"), F.min("pivot").alias("pivot")).where("size > 1"), "hot")
-    out = parts.where("not hot").unionByName(hot.drop("size", "pivot").join(whole, "gram")).select("gram", "sid", "n", "i", "pivot")
+    out = parts.where("not hot").unionByName(hot.drop("size", "pivot").join(whole, "gram")).select("gram", "sid", "n", "i", "pivot", "size")
     return out, [parts, whole]
 
 
@@ -336,7 +336,8 @@ def _mixed(buckets: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]
     """The rows, besides pivots, of buckets with members of several components; their ``label``, the bucket's
     ``main`` (largest) one and its number of ``members``. Counts are summed before they are exchanged. And the
     table of the buckets, which is written for the same reason as that of hot shingles."""
-    left = _labelled(buckets.where("sid <> pivot.sid"), labels)
+    # besides the pivot, two members are needed to differ
+    left = _labelled(buckets.where("size > 2 and sid <> pivot.sid").drop("size"), labels)
     parts = left.groupBy("gram", "label").agg(F.count("*").alias("same"))
     spans = parts.groupBy("gram").agg(F.max(F.struct("same", "label"))["label"].alias("main"), F.count("*").alias("labels"), F.sum("same").alias("members"))
     spans = materialise(spans.where("labels > 1").drop("labels"), "spans")
