@@ -33,7 +33,9 @@ LEAST_CAPACITY, MOST_CAPACITY = 64 << 10, 64 << 20
 
 def normalised(text: Column) -> Column:
     """A text with A-Z (and only these) in lower case; null counts as empty."""
-    return F.translate(F.coalesce(text, F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
+    text = F.coalesce(text, F.lit(""))
+    # of a text whose characters are all one byte, lower() changes A-Z only, and does so byte by byte
+    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, string.ascii_uppercase, string.ascii_lowercase))
 
 
 @dataclass
