@@ -134,3 +134,22 @@ def bitmap_has(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
     bucket = np.where(slot > 0, 1 + (slot - 1) // 32768, 0)
     position = np.where(slot > 0, (slot - 1) % 32768, (-slot) % 32768)
     return (bitmap[bucket * 4096 + position // 8] >> (position % 8).astype(np.uint8)) & 1 == 1
+
+
+#: The coarse form of a bitmap, which is tested by the JVM: 2**COARSE_BITS bits (32 KB), whatever the input's size.
+COARSE_BITS = 18
+
+
+def may_hold(bitmap: bytes, key: Column) -> Column:
+    """Whether a 64-bit hash may be in a bitmap of ``membership_bitmap``, by a coarse form of it that is part of the expression.
+
+    It spares Python the rows that few keys want; with very many keys it lets all pass.
+    """
+    at = np.flatnonzero(np.unpackbits(np.frombuffer(bitmap, dtype=np.uint8), bitorder="little"))
+    slots = np.where(at >= 32768, at - 32767, 0)  # the inverse of ``bitmap_has``
+    coarse = np.zeros(1 << COARSE_BITS, dtype=np.uint8)
+    coarse[slots & ((1 << COARSE_BITS) - 1)] = 1
+    packed = np.packbits(coarse, bitorder="little").tobytes()
+    slot = F.pmod(key, F.lit(1 << COARSE_BITS)).cast("int")
+    byte = F.conv(F.hex(F.substring(F.lit(packed), F.shiftright(slot, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    return F.call_function("shiftright", byte, slot.bitwiseAND(F.lit(7))).bitwiseAND(F.lit(1)) == 1

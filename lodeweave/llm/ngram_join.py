@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodeweave.llm.common import bitmap_has, materialise, membership_bitmap, release, trim
+from lodeweave.llm.common import bitmap_has, materialise, may_hold, membership_bitmap, release, trim
 from lodeweave.llm.components import components
 from lodeweave.llm.shingles import shingle_sets
 
@@ -229,7 +229,8 @@ def _texts(docs: DataFrame, wanted: DataFrame, k: int, id_col: str, text_col: st
 
     The bitmap lets a few rows too many pass; a join by sid drops them. No exchange.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(membership_bitmap(wanted, "row"))
+    bitmap = membership_bitmap(wanted, "row")
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap, coder = np.frombuffer(shared.value, dtype=np.uint8), zstandard.ZstdCompressor(level=6)
@@ -251,7 +252,7 @@ def _texts(docs: DataFrame, wanted: DataFrame, k: int, id_col: str, text_col: st
             if sids:
                 yield pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), pa.array(packs, pa.binary())], names=["sid", "text"])
 
-    return _source(docs, id_col, text_col).select("row", "text").mapInArrow(run, "sid bigint, text binary")
+    return _source(docs, id_col, text_col).select("row", "text").where(may_hold(bitmap, F.col("row"))).mapInArrow(run, "sid bigint, text binary")
 
 
 def _close(pairs: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:

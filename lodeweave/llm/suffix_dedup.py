@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodeweave.llm.common import bitmap_has, materialise, membership_bitmap, release
+from lodeweave.llm.common import bitmap_has, materialise, may_hold, membership_bitmap, release
 from lodeweave.llm.shingles import packed, pieces, random_odd, shingle_hashes, spread, word_hashes
 
 #: Texts of one task that are remembered, so that copies give their anchors once.
@@ -167,7 +167,7 @@ def _gram(words: int) -> tuple[int, int]:
 def _positions(docs: DataFrame, text_col: str, shape: Shape, words: int | None = None) -> DataFrame:
     """Every phrase and far string of all texts: tid, i (anchor number or start), run (-1: no string belongs to it) and hash.
 
-    With ``words``, the chosen word n-grams too (i is the first word's number).
+    With ``words``, the chosen word n-grams too, each distinct one of a text once (i is the number of its first word there).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,6 +225,11 @@ def _positions(docs: DataFrame, text_col: str, shape: Shape, words: int | None =
                     keep = fresh[text]
                     chosen, text = chosen[keep], text[keep]
                     if len(chosen):
+                        # periodic text chooses the same n-gram at every word
+                        order = np.lexsort((hashes[chosen], text))
+                        once = np.ones(len(order), dtype=bool)
+                        once[1:] = (np.diff(text[order]) != 0) | (np.diff(hashes[chosen[order]]) != 0)
+                        chosen, text = chosen[order[once]], text[order[once]]
                         columns = [np.array(tids[a:b])[text], (chosen - at_text[text]).astype(np.int32), np.full(len(chosen), _WORDS, dtype=np.int32), spread(hashes[chosen]).view(np.int64)]
                         yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["tid", "i", "run", "h"])
 
@@ -267,7 +272,8 @@ def _doubled(first: DataFrame, shape: Shape) -> DataFrame:
 
 def _fetch(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
     """``wanted`` (with tid) and each text, compressed; a bitmap of fixed size spares the other texts the exchange."""
-    shared = docs.sparkSession.sparkContext.broadcast(membership_bitmap(wanted, "tid"))
+    bitmap = membership_bitmap(wanted, "tid")
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = np.frombuffer(shared.value, dtype=np.uint8)
@@ -290,7 +296,7 @@ def _fetch(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
             if ids:
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.binary())], names=["tid", "text"])
 
-    found = docs.select(F.xxhash64(text_col).alias("tid"), F.col(text_col).alias("text")).where(F.octet_length("text") > 0).mapInArrow(run, "tid bigint, text binary")
+    found = docs.select(F.xxhash64(text_col).alias("tid"), F.col(text_col).alias("text")).where(F.octet_length("text") > 0).where(may_hold(bitmap, F.col("tid"))).mapInArrow(run, "tid bigint, text binary")
     return wanted.join(found.dropDuplicates(["tid"]), "tid")
 
 
@@ -367,17 +373,21 @@ def _cleaned(texts: DataFrame, shape: Shape) -> DataFrame:
 
 
 def _windows(texts: DataFrame, words: int) -> DataFrame:
-    """The 128-bit hash of each window of ``words`` words around the n-grams ``at`` of a text: tid, p (first word) and string."""
+    """The 128-bit hash of each window of ``words`` words around the n-grams that stand ``at`` some words of a text, wherever
+    they occur in it: tid, p (first word) and string."""
     size, width = _gram(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
                 data = _opened(batch.column(1)[row])
-                own, _ = word_hashes(data, np.array([0, len(data)]))
-                at = np.array(batch.column(2)[row].as_py(), dtype=np.int64)
-                p = np.unique(at[:, None] - np.arange(width))  # the windows that hold the n-gram
-                p = p[(p >= 0) & (p + words <= len(own))]
+                own, text = word_hashes(data, np.array([0, len(data)]))
+                grams, _ = shingle_hashes(own, text, 1, size)
+                at = np.flatnonzero(np.isin(grams, grams[np.array(batch.column(2)[row].as_py(), dtype=np.int64)]))
+                change = np.zeros(len(own) + 1, dtype=np.int64)  # the windows that hold one of the n-grams
+                np.add.at(change, np.maximum(0, at - width + 1), 1)
+                np.add.at(change, at + 1, -1)
+                p = np.flatnonzero(np.cumsum(change)[: max(0, len(own) - words + 1)] > 0)
                 view = memoryview(own.tobytes())
                 hashes = [xxhash.xxh3_128_digest(view[8 * i : 8 * (i + words)]) for i in p.tolist()]
                 yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[row].as_py()] * len(p), pa.int64()), pa.array(p, pa.int32()), pa.array(hashes, pa.binary())], names=["tid", "p", "string"])

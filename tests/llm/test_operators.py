@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodeweave.llm import bpe, decontaminate, exact_dedup, html_extract, langid, ngram_join, secret_scan, sharding, suffix_dedup, warc
-from lodeweave.llm.common import bitmap_has, membership_bitmap
+from lodeweave.llm.common import bitmap_has, may_hold, membership_bitmap
 from lodeweave.llm.components import components
 
 LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
@@ -809,6 +809,12 @@ def test_bitmap(spark):
     bitmap = np.frombuffer(membership_bitmap(some, "k"), dtype=np.uint8)
     has = bitmap_has(bitmap, keys)
     assert has[::2].all() and has[1::2].mean() < 0.01
+    edge = [0, 1, 32767, 32768, 32769, (1 << 25) - 1, 1 << 25, -1, -(1 << 63)]
+    one = membership_bitmap(spark.createDataFrame([(k,) for k in edge], "k long"), "k")
+    every = spark.createDataFrame([(int(k),) for k in [*keys, *edge]], "k long")
+    coarse = [r.k for r in every.where(may_hold(bitmap.tobytes(), F.col("k"))).collect()]
+    assert set(map(int, keys[::2])) <= set(coarse) and len(coarse) < 0.55 * len(keys)
+    assert set(edge) <= {r.k for r in every.where(may_hold(one, F.col("k"))).collect()}
 
 
 def test_shingles_match_plain_python():
