@@ -19,13 +19,13 @@ it) are ranked with the phrases; where two texts share one, their windows of wor
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -160,7 +160,7 @@ def winnowed(hashes: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
 
 def _gram(words: int) -> tuple[int, int]:
     """The words of an n-gram and the n-grams in a row of which one is chosen, for passages of so many words."""
-    k = max(1, words // 4)
+    k = max(1, words // 8)
     return k, words - k + 1
 
 
@@ -276,7 +276,7 @@ def _fetch(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = np.frombuffer(shared.value, dtype=np.uint8)
+        bitmap, coder = np.frombuffer(shared.value, dtype=np.uint8), zstandard.ZstdCompressor(level=1)
         seen: set[int] = set()
         for batch in batches:
             hit = np.flatnonzero(bitmap_has(bitmap, batch.column(0).to_numpy()))
@@ -288,7 +288,7 @@ def _fetch(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
                 if len(seen) < REMEMBERED:
                     seen.add(tid)
                 ids.append(tid)
-                texts.append(zlib.compress(batch.column(1)[i].as_py().encode("utf-8", "surrogatepass"), 1))
+                texts.append(coder.compress(batch.column(1)[i].as_py().encode("utf-8", "surrogatepass")))
                 held += len(texts[-1])
                 if held > 4 << 20:
                     yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.binary())], names=["tid", "text"])
@@ -301,7 +301,7 @@ def _fetch(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
 
 
 def _opened(x: pa.Scalar) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(x.as_py()), dtype=np.uint8)
+    return np.frombuffer(zstandard.decompress(x.as_py()), dtype=np.uint8)
 
 
 def _stretches(texts: DataFrame, shape: Shape) -> DataFrame:
