@@ -143,9 +143,9 @@ def resolve(index: Index) -> DataFrame:
     # the owner has compared the bytes of all entries of a key: where its chain has one text, they are equal
     found = entries.join(index.chains.where("texts = 1").select("key", "sha", "keep_id", "keep_row_id", "group_size"), "key")
     if index.clashes:
-        chains = index.chains.where("texts > 1").select("key", F.col("text").alias("same"), "sha", "keep_id", "keep_row_id", "group_size")
-        told = index.entries.select("row_id", "id", "key", index.text.alias("text")).join(chains.select("key").distinct(), "key", "left_semi")
-        found = found.unionByName(told.join(chains, [told["key"] == chains["key"], F.col("text") == F.col("same")]).drop(chains["key"]).drop("text", "same"))
+        chains = index.chains.where("texts > 1").select(F.col("key").alias("chained"), F.col("text").alias("same"), "sha", "keep_id", "keep_row_id", "group_size")
+        told = index.entries.select("row_id", "id", "key", index.text.alias("text")).join(chains.select(F.col("chained").alias("key")).distinct(), "key", "left_semi")
+        found = found.unionByName(told.join(chains, [F.col("key") == F.col("chained"), F.col("text") == F.col("same")]).drop("chained", "text", "same"))
     return found.select("row_id", "id", "keep_id", "group_size", (F.col("row_id") == F.col("keep_row_id")).alias("kept"), "sha")
 
 
