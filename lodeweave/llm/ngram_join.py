@@ -1,7 +1,7 @@
 """Similarity join on word n-grams with rare-first prefix filtering.
 
-Texts with equal shingle sets are one class. Shingles are ordered rare first: by the binary order of
-magnitude of their count in a fixed-size table of hashed counts, then by hash. Two sets with Jaccard
+Texts with equal shingle sets are one class. Shingles are ordered rare first: by the logarithm
+of their count in a fixed-size table of hashed counts, then by hash. Two sets with Jaccard
 similarity of at least t share a shingle in their prefixes of n - ceil(t n) + 1 shingles, so classes
 meet in the buckets of their prefix shingles.
 
@@ -38,12 +38,14 @@ from lodeweave.llm.common import bitmap_has, materialise, may_hold, membership_b
 from lodeweave.llm.components import components
 from lodeweave.llm.shingles import shingle_sets
 
-#: Hashed counts: 2**COUNT_BITS in blocks of 2**16. Their size (2 MB as orders of magnitude) is fixed.
+#: Hashed counts: 2**COUNT_BITS in blocks of 2**16. Their size (2 MB as orders) is fixed.
 COUNT_BITS = 21
 #: The suffix filter's parities, 64 to a column.
 PARITIES = ("q0", "q1", "q2", "q3")
-#: Shingles of this order of magnitude and above (of the hashed counts) may fill a bucket: their rows are salted.
-HOT_ORDER = 9
+#: Steps of an order to a doubling of the count, so that shingles stay apart when the table is full and all counts are near each other.
+STEPS = 8
+#: Shingles of this order and above (of the hashed counts) may fill a bucket, if their count also stands out from the usual one: their rows are salted.
+HOT_ORDER = 9 * STEPS
 SALTS = 1024
 #: Buckets with up to so many members that still differ are compared pair by pair, larger ones by differences from the pivot.
 BUCKET = 48
@@ -91,7 +93,7 @@ def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def describe(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, np.ndarray]:
-    """Per row: id, row hashes, set names (null if empty), set size and parities; and the orders of magnitude of hashed counts."""
+    """Per row: id, row hashes, set names (null if empty), set size and parities; and the orders of hashed counts."""
     source = _source(docs, id_col, text_col)
     kind = source.schema["id"].dataType.simpleString()
     schema = f"id {kind}, row bigint, row2 bigint, sid bigint, sid2 bigint, n bigint, {', '.join(f'{q} bigint' for q in PARITIES)}, hist binary, task int, block int, counts binary"
@@ -151,7 +153,7 @@ def _unpack(data: bytes) -> np.ndarray:
 
 
 def _orders(counts: DataFrame) -> np.ndarray:
-    """Sum the tasks' counts, 128 tasks at a time, and give each slot's order of magnitude."""
+    """Sum the tasks' counts, 128 tasks at a time, and give each slot's order (``STEPS`` to a doubling)."""
     most = counts.agg(F.max("task")).first()[0] or 0
 
     def add(pdf):
@@ -165,14 +167,23 @@ def _orders(counts: DataFrame) -> np.ndarray:
             break
     out = np.zeros(1 << COUNT_BITS, dtype=np.uint8)
     for r in counts.toLocalIterator():  # 2**(COUNT_BITS - 16) rows
-        out[r["block"] << 16 : (r["block"] + 1) << 16] = np.log2(_unpack(bytes(r["counts"])) + 1).astype(np.uint8)
+        out[r["block"] << 16 : (r["block"] + 1) << 16] = np.minimum(255, STEPS * np.log2(_unpack(bytes(r["counts"])) + 1)).astype(np.uint8)
     return out
 
 
+def _hot_order(orders: np.ndarray) -> int:
+    """The order from which shingles are salted: ``HOT_ORDER``, or four times the usual count if the table is so full that most slots have more.
+
+    The usual count of a full table is a fixed share of all shingles, so what isn't salted stays a small part of a partition.
+    """
+    usual = int(np.median(orders))
+    return max(HOT_ORDER, usual + 2 * STEPS if usual else 0)
+
+
 def prefixes(docs: DataFrame, orders: np.ndarray, k: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The prefix shingles of each set: gram, sid, set size n and place i in the rare-first order (both in ``ni``),
     how rare the set's shingles are on the whole, and whether many sets may have the shingle."""
-    shared = docs.sparkSession.sparkContext.broadcast(orders)
+    shared, hot_order = docs.sparkSession.sparkContext.broadcast(orders), _hot_order(orders)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = shared.value
@@ -194,7 +205,7 @@ def prefixes(docs: DataFrame, orders: np.ndarray, k: int, percent: int, id_col:
                 out[1].append(np.full(length, sid, dtype=np.int64))
                 out[2].append((n << 32) + np.arange(length, dtype=np.int64))
                 out[3].append(np.full(length, -int(1000 * own.mean()), dtype=np.int32))
-                out[4].append(own[order[:length]] >= HOT_ORDER)
+                out[4].append(own[order[:length]] >= hot_order)
                 held += length
                 if held > 200_000:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=names)
@@ -422,7 +433,7 @@ def around_pivots(members: DataFrame, sets: DataFrame, docs: DataFrame, orders:
 
 
 def _sets(docs: DataFrame, k: int, id_col: str, text_col: str) -> tuple[DataFrame, np.ndarray, DataFrame]:
-    """The rows and orders of magnitude of ``describe``, and the distinct sets."""
+    """The rows and orders of ``describe``, and the distinct sets."""
     rows, orders = describe(docs, k, id_col, text_col)
     # of two sets with one name the first stays; what the sets hold is exchanged once, and once for each task
     one = F.min(F.struct("sid2", "row", "n", *PARITIES, "hist")).alias("one")

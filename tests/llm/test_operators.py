@@ -9,6 +9,7 @@ import string
 import zlib
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -111,6 +112,19 @@ def test_ngram_join_of_a_large_bucket(spark, monkeypatch, seed, k, percent, buck
     assert sorted(((r.id, r.n, r.component) for r in got.collect()), key=repr) == linked(rows, k, percent)
 
 
+def test_full_counts_leave_shingles_unsalted(spark):
+    """Where the table of counts is full, all shingles have large counts; only those that stand out are salted."""
+    rows = family(5)
+    orders = np.full(1 << ngram_join.COUNT_BITS, ngram_join.HOT_ORDER + 6, dtype=np.uint8)
+    prefix = lambda: ngram_join.prefixes(table(spark, rows), orders, 4, 85)
+    assert not prefix().where("hot").count()
+    buckets, behind = ngram_join._buckets(prefix())
+    assert behind[0].count() == buckets.count() < prefix().count()  # rows of shingles that one set has are not written
+    gram = prefix().first().gram
+    orders[gram & ((1 << ngram_join.COUNT_BITS) - 1)] += 2 * ngram_join.STEPS
+    assert {r.gram for r in ngram_join.prefixes(table(spark, rows), orders, 4, 85).where("hot").collect()} <= {gram}
+
+
 @pytest.mark.parametrize(("make", "k", "percent"), [(noisy, 4, 85), (family, 4, 85), (family, 2, 60)])
 def test_all_links(spark, make, k, percent):
     rows = make()
