@@ -100,6 +100,7 @@ def candidates(signals: DataFrame, catalog: DataFrame, limit: int = retrieve.MOS
 
     ``embed`` turns a text column into vectors. ``signals`` is read by each retriever, so it should be a table or persisted.
     """
+    catalog = retrieve.spread(catalog)
     posted = retrieve.postings(catalog, "doc_id", text.words(F.col("search_text")))
     wanted = signals.select("query_id", F.explode("tokens").alias("token"))
     size = catalog.agg(F.count("*").alias("n"))

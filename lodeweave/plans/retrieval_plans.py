@@ -305,7 +305,7 @@ def ranknet_loss(spark: SparkSession, sf: str) -> DataFrame:
 def hashing_dense_topk(spark: SparkSession, sf: str) -> DataFrame:
     """Nearest catalogue rows by the hashed embedding."""
     q = query_signals(spark, sf).select("query_id", exact.embed_md5("normalized_title").alias("vec"))
-    found = retrieve.dense(q, catalog(spark, sf).select("doc_id", exact.embed_md5("search_text").alias("vec")))
+    found = retrieve.dense(q, retrieve.spread(catalog(spark, sf)).select("doc_id", exact.embed_md5("search_text").alias("vec")))
     return found.select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 

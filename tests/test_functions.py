@@ -293,3 +293,31 @@ def test_dense_in_blocks_against_plain_numpy(spark):
     frame = lambda x, n, key: spark.createDataFrame([(f"{n}{i:03}", v.tolist()) for i, v in enumerate(x)], f"{key} string, vec array<double>")
     got = retrieve.dense(frame(q, "q", "query_id"), frame(d, "d", "doc_id").repartition(7), 5, block=20)
     assert sorted((x.query_id, x.doc_id, x["rank"]) for x in got.collect()) == want
+
+
+def test_many_embeddings_are_those_of_single_texts():
+    texts = ["", "a", "ab", "abc  DEF", "\u0130stanbul \U0001f600x \U0001f600\U0001f600", "Brand#7 large ring LARGE large 0 2/10 ring", "x" * 50, "\ufb01ne \u00df"] * 3
+    for letters in (1, 10, 1 << 20):
+        for digest in (None, exact._md5):
+            assert [x.tolist() for x in exact.embed_many(texts, digest=digest, letters=letters)] == [exact.embed_python(t, digest=digest) for t in texts]
+    assert exact.embed_many([]) == []
+
+
+def test_marked_cells_are_those_of_nonzero():
+    r = np.random.default_rng(5)
+    for shape in ((3, 5), (8, 16), (7, 24), (1, 8), (4, 0)):
+        for share in (0.0, 0.1, 1.0):
+            marked = r.random(shape) < share
+            assert [x.tolist() for x in retrieve._cells(marked)] == [x.tolist() for x in np.nonzero(marked)]
+            assert [x.tolist() for x in retrieve._cells(marked.T)] == [x.tolist() for x in np.nonzero(marked.T)]
+
+
+def test_a_small_file_s_rows_are_dealt_over_all_cores(spark):
+    """The catalogue is one small file, and so one task, but each of its rows is scored against all titles."""
+    from lodeweave.plans.frames import catalog
+
+    c, cores = catalog(spark, "/root/testdata/sf0.01"), spark.sparkContext.defaultParallelism
+    assert c.rdd.getNumPartitions() < cores
+    dealt = retrieve.spread(c)
+    assert dealt.rdd.getNumPartitions() == cores and retrieve.spread(dealt).rdd.getNumPartitions() == cores
+    assert sorted(dealt.collect()) == sorted(c.collect())
