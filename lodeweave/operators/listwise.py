@@ -7,16 +7,19 @@ behind each part) and a linear head. A query has 25 candidates at most, so a gro
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodeweave.operators import decide
 
 INPUT, HIDDEN, HEADS, FEEDFORWARD, MOST = 21, 32, 4, 64, 25
+#: Sets of candidates that are scored together.
+SETS = 512
 #: The names of the weights and their shapes (rows give outputs).
 SHAPES = {
     "encoder": (HIDDEN, INPUT), "encoder_bias": (HIDDEN,), "encoder_gain": (HIDDEN,), "encoder_shift": (HIDDEN,),
@@ -52,18 +55,23 @@ def forward(x: np.ndarray, w: dict[str, np.ndarray]) -> np.ndarray:
     """The scores of one set of candidates, a row of features for each."""
     if x.ndim != 2 or x.shape[1] != INPUT or not 1 <= len(x) <= MOST:
         raise ValueError(f"between 1 and {MOST} rows of {INPUT} features are needed")
+    return _forward(x[None], w)[0]
+
+
+def _forward(x: np.ndarray, w: dict[str, np.ndarray]) -> np.ndarray:
+    """``forward`` of several sets of the same size: (sets, candidates, features)."""
     h = x @ w["encoder"].T + w["encoder_bias"]
     h = _norm(h * 0.5 * (1 + _erf(h / math.sqrt(2))), w["encoder_gain"], w["encoder_shift"])
-    q, k, v = np.split(h @ w["attention"].T + w["attention_bias"], 3, axis=1)
+    q, k, v = np.split(h @ w["attention"].T + w["attention_bias"], 3, axis=2)
     size = HIDDEN // HEADS
-    parts = [a.reshape(len(x), HEADS, size).transpose(1, 0, 2) for a in (q, k, v)]
-    z = parts[0] @ parts[1].transpose(0, 2, 1) / math.sqrt(size)
-    z = np.exp(z - z.max(axis=2, keepdims=True))
-    mixed = (z / z.sum(axis=2, keepdims=True) @ parts[2]).transpose(1, 0, 2).reshape(len(x), HIDDEN)
+    parts = [a.reshape(*x.shape[:2], HEADS, size).transpose(0, 2, 1, 3) for a in (q, k, v)]
+    z = parts[0] @ parts[1].transpose(0, 1, 3, 2) / math.sqrt(size)
+    z = np.exp(z - z.max(axis=3, keepdims=True))
+    mixed = (z / z.sum(axis=3, keepdims=True) @ parts[2]).transpose(0, 2, 1, 3).reshape(*x.shape[:2], HIDDEN)
     h = _norm(h + mixed @ w["output"].T + w["output_bias"], w["first_gain"], w["first_shift"])
     wide = np.maximum(h @ w["wide"].T + w["wide_bias"], 0.0)
     h = _norm(h + wide @ w["narrow"].T + w["narrow_bias"], w["second_gain"], w["second_shift"])
-    return (h @ w["head"].T + w["head_bias"])[:, 0]
+    return (h @ w["head"].T + w["head_bias"])[:, :, 0]
 
 
 def with_features(candidates: DataFrame) -> DataFrame:
@@ -77,10 +85,21 @@ def scored(candidates: DataFrame, order: str, weights: dict[str, np.ndarray] | N
     w = checked(weights or seeded())
     m, s = np.array(mean or [0.0] * INPUT), np.array(scale or [1.0] * INPUT)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("at")
-        score = forward((np.stack(pdf["features"].to_numpy()) - m) / s, w)
-        return pd.DataFrame({"query_id": pdf["query_id"], "doc_id": pdf["doc_id"], "score": score})
-
-    rows = candidates.select("query_id", "doc_id", "features", F.col(order).cast("double").alias("at"))
-    return rows.groupBy("query_id").applyInPandas(run, "query_id string, doc_id string, score double")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, SETS):
+                batch = whole.slice(at, SETS)
+                names, features = batch.column("doc_id"), batch.column("features")
+                sizes = names.value_lengths().to_numpy()
+                if len(sizes) and sizes.max() > MOST:
+                    raise ValueError(f"between 1 and {MOST} rows of {INPUT} features are needed")
+                x = (features.flatten().flatten().to_numpy(zero_copy_only=False).reshape(-1, INPUT) - m) / s
+                first, score = np.cumsum(sizes) - sizes, np.empty(len(x))
+                for n in np.unique(sizes):
+                    each = first[sizes == n][:, None] + np.arange(n)
+                    score[each] = _forward(x[each], w)
+                yield pa.RecordBatch.from_arrays([batch.column("query_id").take(pa.array(np.repeat(np.arange(len(sizes)), sizes))), names.flatten(), pa.array(score)], names=["query_id", "doc_id", "score"])
+
+    own = F.sort_array(F.collect_list(F.struct(F.col(order).cast("double").alias("at"), "doc_id", "features"))).alias("own")
+    sets = candidates.groupBy("query_id").agg(own).select("query_id", F.col("own.doc_id").alias("doc_id"), F.col("own.features").alias("features"))
+    return sets.mapInArrow(run, "query_id string, doc_id string, score double")
