@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from lodeweave.llm.common import trim
 
 _NEVER = 1 << 60
+#: Lengths of the beginnings of pieces whose tables are remembered.
+BEGINNINGS = (4, 7)
 
 
 def load_ranks(lines: Iterable[bytes]) -> dict[bytes, int]:
@@ -48,9 +50,21 @@ class PrefixCoder:
         self.longest = max(map(len, ranks), default=0)
         self._spines: dict[int, tuple[list, list]] = {}
         self._parts: dict[int, tuple[int, int] | None] = {}
-        self._fits: dict[int, bool] = {}
+        self._fits: dict[int, dict[int, bool]] = {}  # right token -> left token
+        self._known = 0
         self._good: set[int] = set()  # tokens known to be reachable
-        self._suffixes = {k[i:] for k in ranks for i in range(len(k))}
+        self._begun: dict[bytes, tuple[int, ...]] = {}  # the tables of short beginnings, which many pieces share
+        # the tokens' bytes from the last to the first as a tree: node << 8 | byte -> node, and the token of each node
+        self._nodes, self._ends = {}, [-1]
+        for token, rank in ranks.items():
+            node = 0
+            for key in reversed(token):
+                key |= node << 8
+                node = self._nodes.get(key)
+                if node is None:
+                    node = self._nodes[key] = len(self._ends)
+                    self._ends.append(-1)
+            self._ends[node] = rank
 
     # -- how a token came to be -------------------------------------------------------------
     def parts(self, token: int) -> tuple[int, int] | None:
@@ -96,14 +110,24 @@ class PrefixCoder:
 
     def fits(self, left: int, right: int) -> bool:
         """Whether ``left`` followed by ``right`` is what encoding their bytes gives."""
-        key = left << 32 | right
-        known = self._fits.get(key)
+        own = self._fits.get(right)
+        known = own.get(left) if own is not None else None
         if known is None:
-            known = self._fits[key] = self._separate(self.spines(left)[1], self.spines(right)[0])
-            if len(self._fits) > 400_000:
+            known = self._separate(self.spines(left)[1], self.spines(right)[0])
+            if self._known >= 400_000:
                 self._fits.clear()
+                self._known = 0
+            self._fits.setdefault(right, {})[left] = known
+            self._known += 1
         return known
 
+    def forget(self) -> None:
+        """Free what has been remembered of tokens and beginnings."""
+        self._fits.clear()
+        self._known = 0
+        self._spines.clear()
+        self._begun.clear()
+
     def _separate(self, lefts: list, rights: list) -> bool:
         tokens, ranks = self.tokens, self.ranks
         for a, a_end in lefts:
@@ -125,30 +149,27 @@ class PrefixCoder:
     # -- the table --------------------------------------------------------------------------
     def extend(self, text: bytes, last: list[int], upto: int | None = None) -> list[int]:
         """Complete ``last`` (the last token of each prefix of ``text``, from length 1) in place."""
-        rank, known, suffixes, longest, good = self.ranks.get, self._fits.get, self._suffixes, self.longest, self._good
-        for end in range(len(last) + 1, (len(text) if upto is None else upto) + 1):
-            start = end
-            floor = end - longest if end > longest else 0
-            while start > floor:
-                start -= 1
-                part = text[start:end]
-                token = rank(part)
-                if token is None:
-                    if part in suffixes:
-                        continue
-                    start = floor  # no token ends in this part
-                    break
-                if start:
-                    left = last[start - 1]
-                    fit = known(left << 32 | token)
-                    if fit is None:
-                        fit = self.fits(left, token)
-                    if not fit:
-                        continue
-                if token in good or self.reachable(token):
-                    last.append(token)
+        nodes, ends, known, good = self._nodes.get, self._ends, self._fits.get, self._good
+        for end in range(len(last), len(text) if upto is None else upto):
+            node, start = 0, end
+            while start >= 0:
+                node = nodes(node << 8 | text[start])
+                if node is None:  # no token ends in this part
                     break
-            if len(last) < end:
+                token = ends[node]
+                if token >= 0:
+                    fit = True
+                    if start:
+                        left = last[start - 1]
+                        own = known(token)
+                        fit = own.get(left) if own is not None else None
+                        if fit is None:
+                            fit = self.fits(left, token)
+                    if fit and (token in good or self.reachable(token)):
+                        last.append(token)
+                        break
+                start -= 1
+            if len(last) <= end:
                 raise ValueError("the vocabulary lacks a byte or isn't closed under merging")
         return last
 
@@ -166,7 +187,21 @@ class PrefixCoder:
         if not piece:
             return []
         whole = self.ranks.get(piece)
-        return [whole] if whole is not None else self.walk(self.extend(piece, []))
+        return [whole] if whole is not None else self.walk(self.extend(piece, self._beginning(piece)))
+
+    def _beginning(self, piece: bytes) -> list[int]:
+        """The table of the longest of a piece's short beginnings, remembered from other pieces: theirs are extended, as in an append."""
+        last, begun = [], self._begun
+        for n in reversed(BEGINNINGS):
+            if n < len(piece) and (got := begun.get(piece[:n])) is not None:
+                last = list(got)
+                break
+        for n in BEGINNINGS:
+            if len(last) < n < len(piece):
+                if len(begun) >= 200_000:
+                    begun.clear()
+                begun[piece[:n]] = tuple(self.extend(piece, last, n))
+        return last
 
     def append(self, text: bytes, last: list[int], more: bytes) -> tuple[bytes, list[int]]:
         """The text and table after an exact append: only the new prefixes are computed."""
@@ -227,7 +262,8 @@ class Codec:
         self.find = regex.compile(pattern).findall
         self.cache = _Pieces(self.coder, cached_pieces)
         size = max(self.coder.tokens, default=-1) + 1
-        self.table = [self.coder.tokens.get(i, b"") for i in range(size)]
+        self.table = np.empty(size, dtype=object)
+        self.table[:] = [self.coder.tokens.get(i, b"") for i in range(size)]
 
     def encode_bytes(self, text: str) -> bytes:
         return b"".join(map(self.cache.__getitem__, self.find(text)))
@@ -239,12 +275,11 @@ class Codec:
         """Free the caches at the end of a task: a worker that waits for other work shouldn't hold them."""
         self.cache.clear()
         self.cache.older = {}
-        self.coder._fits.clear()
-        self.coder._spines.clear()
+        self.coder.forget()
         trim()
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.table.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
+        return b"".join(self.table[np.frombuffer(ids, dtype="<u4")].tolist())
 
 
 _CODECS: dict[tuple, Codec] = {}

@@ -762,6 +762,26 @@ def test_bpe_prefix_table(vocabulary):
         assert table_ == coder.extend(edited, [])
 
 
+def test_bpe_pieces_share_their_beginnings(vocabulary, monkeypatch):
+    ranks = bpe.load_ranks(vocabulary[0].splitlines())
+    made, extend = [], bpe.PrefixCoder.extend
+
+    def counted(self, text, last, upto=None):
+        before = len(last)
+        out = extend(self, text, last, upto)
+        made.append(len(out) - before)
+        return out
+
+    monkeypatch.setattr(bpe.PrefixCoder, "extend", counted)
+    r, coder = random.Random(6), bpe.PrefixCoder(ranks)
+    pieces = [b"qzxvwkj" + bytes(r.choice(b"qzxvwkj") for _ in range(5)) for _ in range(300)]
+    got = [coder.encode(x) for x in pieces]
+    assert sum(made) < 6 * len(pieces)  # of 12 bytes each, 7 are extended once
+    assert got == [bpe.PrefixCoder.walk(coder, coder.extend(x, [])) for x in pieces]
+    coder.forget()
+    assert got == [coder.encode(x) for x in reversed(pieces)][::-1]
+
+
 # -- 10
 PAGE = """<html><body class="home"><header><h1>Site</h1><p>Slogan, long, long.</p></header><div id="cookie-notice"><p>We use cookies, and more, and so on.</p></div>
 <div class="wrap"><div class="post-content"><h2>Title</h2><p>First &amp; para,
