@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import json
 import tempfile
 import uuid
@@ -72,6 +73,13 @@ def release(*tables: DataFrame) -> None:
         delete_scratch(t.sparkSession, t.scratch)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that have been written: it does so when the driver collects its garbage, which can
+    be long after, with the files of all exchanges on the disks until then. The plan written last may be held until the next one is."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def delete_scratch(spark: SparkSession, path: str) -> None:
     """Delete a path below the shared folder that no returned DataFrame reads any more."""
     jvm = spark.sparkContext._jvm

@@ -35,7 +35,8 @@ def components(edges: DataFrame, u: str = "u", v: str = "v", rounds: int = 200)
         seen = state
         both = now.select("u", "v").union(now.select(F.col("v"), F.col("u")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v"), F.col("m")).where("v <> m").distinct()
+        # repeated edges of this step go with those of the next one: there are no more of them than edges
+        large = both.join(least, "u").where("v > u").select(F.col("v"), F.col("m")).where("v <> m")
         smaller = large.select(F.col("v").alias("u"), F.col("m").alias("v"))  # u > v
         least = smaller.groupBy("u").agg(F.min("v").alias("m"))
         joined = smaller.join(least, "u")

@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodeweave.llm.common import bitmap_has, materialise, may_hold, membership_bitmap, release, trim
+from lodeweave.llm.common import bitmap_has, free_shuffles, materialise, may_hold, membership_bitmap, release, trim
 from lodeweave.llm.components import components
 from lodeweave.llm.shingles import shingle_sets
 
@@ -288,6 +288,7 @@ def _close(pairs: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame,
 def _verify(pairs: DataFrame, sets: DataFrame, docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """a, b and whether they are similar, by the intersection of both texts' shingle sets; once for each pair."""
     given = materialise(pairs, "pairs")
+    free_shuffles(docs.sparkSession)
     close, counts = _close(given, sets, percent)
     pairs = materialise(close, "candidates")
     release(given, counts)
@@ -318,6 +319,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, docs: DataFrame, k: int, percent:
     # a text that two tasks gave is joined twice
     found = materialise(joined.mapInArrow(run, "a bigint, b bigint, ok boolean").distinct(), "verified")
     release(pairs, texts)
+    free_shuffles(docs.sparkSession)
     return found
 
 
@@ -333,6 +335,7 @@ def _buckets(grams: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     part = Window.partitionBy("gram", "salt")
     counted = salted.select("*", F.count("*").over(part).alias("size"), F.min(F.struct("rare", "sid", "n", "i")).over(part).alias("pivot"))
     parts = materialise(counted.where("hot or size > 1").drop("salt", "rare"), "buckets")
+    free_shuffles(grams.sparkSession)  # all prefixes
     hot = parts.where("hot")
     # written, so that the join below is between two exchanges, of which a hot gram's rows can be split
     whole = materialise(hot.groupBy("gram").agg(F.count("*").alias("size"), F.min("pivot").alias("pivot")).where("size > 1"), "hot")
@@ -422,6 +425,7 @@ def around_pivots(members: DataFrame, sets: DataFrame, docs: DataFrame, orders:
 
     rows = materialise(joined.select("p", "sid", "label", "at", "pt").mapInArrow(run, "p bigint, e bigint, sid bigint, label bigint, n bigint, far bigint, i bigint, linked boolean, probe boolean"), "differences")
     release(texts, centres)
+    free_shuffles(docs.sparkSession)
     a = rows.where("not probe").select("p", "e", *[F.col(x).alias(y) for x, y in (("sid", "a"), ("label", "al"), ("n", "an"), ("far", "af"), ("i", "ai"), ("linked", "linked"))])
     b = rows.where("probe").select("p", "e", *[F.col(x).alias(y) for x, y in (("sid", "b"), ("label", "bl"), ("n", "bn"), ("far", "bf"), ("i", "bi"))])
     nearer = F.col("linked") | (F.col("af") < F.col("bf")) | ((F.col("af") == F.col("bf")) & (F.col("a") < F.col("b")))
@@ -487,6 +491,7 @@ def link(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id",
     left, spans = _mixed(buckets, components(tested.where("ok"), "a", "b"))
     left = materialise(left, "mixed")
     release(*behind, spans)
+    free_shuffles(docs.sparkSession)
     few = left.where(F.col("members") <= bucket).join(parities.drop("n"), "sid")
     # the largest part of a bucket against the rest
     a = few.where("label <> main").select("gram", F.col("label").alias("al"), *_member("a"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import time
 import re
 import string
 import zlib
@@ -762,6 +763,32 @@ def test_bpe_prefix_table(vocabulary):
         assert table_ == coder.extend(edited, [])
 
 
+def test_ngram_join_frees_the_prefixes_shuffle(spark, monkeypatch):
+    def files():
+        every = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+        return {str(every.apply(i)) for i in range(every.size()) if "shuffle_" in str(every.apply(i))}
+
+    write, made = ngram_join.materialise, {}
+
+    def watched(df, label, *rest):
+        if label == "counts" and "left" not in made:  # the pairs are written as well; Spark's cleaner works behind the driver's back
+            until = time.time() + 5
+            while time.time() < until and made["buckets"] & files():
+                time.sleep(0.2)
+            made["left"] = made["buckets"] & files()
+        before = files()
+        out = write(df, label, *rest)
+        made[label] = files() - before
+        return out
+
+    monkeypatch.setattr(ngram_join, "materialise", watched)
+    words = [f"w{i}" for i in range(60)]
+    docs = table(spark, [(i, " ".join([*words, f"end{i}"])) for i in range(20)])
+    rows, _ = ngram_join.link(docs, 4, 85)
+    assert {r.component for r in rows.collect()} == {0}
+    assert made["buckets"] and not made["left"]
+
+
 def test_bpe_pieces_share_their_beginnings(vocabulary, monkeypatch):
     ranks = bpe.load_ranks(vocabulary[0].splitlines())
     made, extend = [], bpe.PrefixCoder.extend
