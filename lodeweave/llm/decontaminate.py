@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from lodeweave.llm.common import materialise, release, trim
 
@@ -76,14 +77,25 @@ class _Vocabulary(dict):
         self.most = most
         self.hashes, self.flags = np.zeros(most, dtype=np.uint64), np.zeros(most, dtype=np.uint8)
 
+    def clear(self) -> None:
+        super().clear()
+        self.flags[:] = 0
+
     def __missing__(self, token: str) -> int:
         at = len(self)
         if len(token) == 1 and not token.isalnum():
-            flag = _END
-        else:
-            flag = (_DIGIT if token[0].isdigit() else 0) | (_UNITS if token.lower() in UNITS else 0) | (_CAPITAL if len(token) > 1 and token[0].isupper() and token[1:].islower() else 0) | (_OPENER if token.lower() in OPENERS else 0)
-        self.flags[at] = flag
-        self.hashes[at] = int.from_bytes(hashlib.blake2b(token.lower().encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+            self.flags[at] = _END
+        lower = token.lower()
+        first = token[0]
+        if first.isdigit():
+            self.flags[at] |= _DIGIT
+        if lower in UNITS:
+            self.flags[at] |= _UNITS
+        if lower in OPENERS:
+            self.flags[at] |= _OPENER
+        if first.isupper() and len(token) > 1 and token[1:].islower():
+            self.flags[at] |= _CAPITAL
+        self.hashes[at] = xxh3_64_intdigest(lower.encode("utf-8", "surrogatepass"))
         self[token] = at
         return at
 
@@ -92,7 +104,6 @@ class _Vocabulary(dict):
 class Template:
     """The template of one text: token hashes with placeholders, slot types (0: literal), raw tokens and capitalised first words."""
 
-    tokens: list[str]
     raw: np.ndarray
     codes: np.ndarray
     slots: np.ndarray
@@ -112,7 +123,7 @@ class Template:
         many = np.diff(at, append=len(begin)) > 1
         # what is no name in the item's own words stays literal as a whole
         codes = np.where(many & (self.slots[at] != 3), raw, self.codes[at])
-        return Template([], raw, codes, self.slots[at], self.first[at], self.opener[at], self.adjacent[at])
+        return Template(raw, codes, self.slots[at], self.first[at], self.opener[at], self.adjacent[at])
 
     def forms(self) -> np.ndarray:
         """The codes with first words literal, with first words as names, with all names literal, and the raw tokens."""
@@ -142,7 +153,7 @@ def template(text: str, vocabulary: _Vocabulary) -> Template:
     name, first = capital & ~begins, capital & begins
     slots = np.where(number, 1, np.where(unit, 2, np.where(name, 3, 0))).astype(np.uint8)
     codes = np.where(number, np.uint64(_NUMBER), np.where(unit, np.uint64(_UNIT), np.where(name, np.uint64(_NAME), raw)))
-    return Template([tokens[i] for i in keep.tolist()] if len(keep) < len(tokens) else tokens, raw, codes, slots, first, flags & _OPENER > 0, adjacent)
+    return Template(raw, codes, slots, first, flags & _OPENER > 0, adjacent)
 
 
 def windows(codes: np.ndarray, width: int, step: int = 1) -> np.ndarray:
