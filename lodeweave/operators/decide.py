@@ -98,8 +98,10 @@ def decide(featured: DataFrame, match: float = MATCH, no_match: float = NO_MATCH
 def candidates(signals: DataFrame, catalog: DataFrame, limit: int = retrieve.MOST, embed: Callable = exact.embed) -> DataFrame:
     """Fused candidates of sparse, dense and structured retrieval with their evidence.
 
-    ``embed`` turns a text column into vectors. ``signals`` is read by each retriever, so it should be a table or persisted.
+    ``embed`` turns a text column into vectors. ``signals`` is read by each retriever, so it should be a table or persisted; many are cut from their plan.
     """
+    if not retrieve.few(signals, retrieve.PAIRED_ROWS // 4):
+        signals = retrieve.settled(signals, [])
     catalog = retrieve.spread(catalog)
     posted = retrieve.postings(catalog, "doc_id", text.words(F.col("search_text")))
     wanted = signals.select("query_id", F.explode("tokens").alias("token"))

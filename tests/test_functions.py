@@ -284,6 +284,27 @@ def test_classes_give_what_pairs_give(spark, monkeypatch):
     assert best() == few and made == ["_classed", "_expanded", "_expanded"]
 
 
+def test_plans_of_many_queries_stay_small(spark, monkeypatch):
+    """Results by classes are cut from their plans, which else are repeated wherever a persisted table is read, and hold no tables."""
+    from lodeweave.plans.frames import catalog, query_signals
+
+    for name, value in (("PAIRED_ROWS", 4), ("PAIRS", -1), ("CLASS_TOKENS", 30), ("CLASS_DF", 20)):
+        monkeypatch.setattr(retrieve, name, value)
+    sf = "/root/testdata/sf0.01"
+    s, c = query_signals(spark, sf), catalog(spark, sf)
+    posted = retrieve.postings(c, "doc_id", text.words(F.col("search_text")))
+    wanted, n = s.select("query_id", F.explode("tokens").alias("token")), c.agg(F.count("*").alias("n"))
+    s.count()  # it is persisted for all sources
+    before = {int(k) for k in spark.sparkContext._jsc.getPersistentRDDs()}
+    for found in (retrieve.sparse(wanted, posted, n), retrieve.structured(s, c)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "InMemory" not in plan and "Exchange" not in plan and len(plan) < 1000
+        assert found.groupBy("query_id").count().agg(F.max("count")).first()[0] == 25
+    kept = [r for k, r in spark.sparkContext._jsc.getPersistentRDDs().items() if int(k) not in before]
+    assert not [r for r in kept if r.getStorageLevel().useMemory()]
+    assert decide.candidates(s, c)._jdf.queryExecution().executedPlan().toString().count("FileScan") < 10
+
+
 def test_dense_in_blocks_against_plain_numpy(spark):
     r = np.random.default_rng(3)
     q, d = r.integers(-2, 3, (50, 8)).astype(float), r.integers(-2, 3, (300, 8)).astype(float)  # with ties and null vectors
